@@ -1,0 +1,68 @@
+"""Rewriting many small files as fewer large ones."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlake.operators.compare import compare_groups
+from tarnlake.operators.sync import rows_of_partitions
+from tarnlake.session import session_conf
+from tarnlake.sources.catalog import move_partition, table_facts
+from tarnlake.sources.scratch import settle
+from tarnlake.sources.tables import read_files, write_files
+
+TARGET_BYTES = 512 << 20
+
+
+def file_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """files, bytes and rows per partition, counted by the tasks that open the files."""
+    files = (
+        df.select(*by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+        .groupBy(*by, "file")
+        .agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    )
+    return files.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum("n").alias("rows")
+    )
+
+
+def compact(df: DataFrame, path: str, by: Sequence[str] = (), target_bytes: int = TARGET_BYTES) -> None:
+    """Write the rows of ``df`` to a new path in files of about ``target_bytes`` of shuffled data.
+
+    A partition above the target is split over several tasks, so no task holds a whole hot one.
+    """
+    rows = df if by else df.hint("rebalance")
+    with session_conf(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}):
+        write_files(rows, path, partition_by=by)
+
+
+def compact_partitions(
+    spark: SparkSession, table: str, by: str, target_bytes: int = TARGET_BYTES
+) -> DataFrame:
+    """Compact the partitions of a Parquet table whose files average under half the target.
+
+    They are written to a new folder, compared with the old rows, and then each partition is pointed
+    at its new files, so readers see either the old files or the new. Old files stay. Returns the
+    inventory of the partitions that were rewritten, as it was before. A partition whose value is
+    NULL or would be escaped in a folder name keeps its files.
+    """
+    data = spark.table(table)
+    small = (F.col("files") > 1) & (F.col("bytes") < F.col("files") * F.lit(target_bytes / 2))
+    named = F.coalesce(F.col(f"`{by}`").cast("string").rlike(r"^[\w. -]+$"), F.lit(False))
+    before = settle(file_inventory(data, [by]).filter(small & named), "small-files")
+    if before.isEmpty():
+        return before
+    folder = f"{table_facts(spark, table)['Location']}-compact-{uuid4().hex[:12]}"
+    old = rows_of_partitions(data, before, by)
+    compact(old, folder, [by], target_bytes)
+    new = read_files(spark, folder, data.schema)
+    values = [c for c in data.columns if c != by]
+    if not compare_groups(old, new, [by], values).filter(~F.col("same")).isEmpty():
+        raise RuntimeError(f"compacted files in {folder} differ from {table}; the table is unchanged")
+    for (value,) in before.select(by).toLocalIterator():
+        move_partition(spark, table, by, value, f"{folder}/{by}={value}")
+    return before
