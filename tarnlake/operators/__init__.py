@@ -11,7 +11,7 @@ from tarnlake.operators.audit import (
     row_count_audit,
     table_counts,
 )
-from tarnlake.operators.compact import compact, compact_partitions, file_inventory
+from tarnlake.operators.compaction import compact, compact_partitions, file_inventory
 from tarnlake.operators.compare import sync_plan, table_diff
 from tarnlake.operators.sync import sync_partitions
 

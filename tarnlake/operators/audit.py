@@ -48,16 +48,16 @@ def domain_audit(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFra
 
     All columns are checked in one pass and only values outside leave the scan stage.
     """
-    checks = [
-        F.when(
-            ~F.coalesce(F.col(f"`{name}`").isin(list(values)), F.lit(False)),
-            F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").cast("string").alias("value")),
-        )
-        for name, values in allowed.items()
-    ]
+    texts = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in allowed])
+    inside = F.lit(False)
+    for name, values in allowed.items():
+        kind = df.schema[name].dataType
+        listed = [F.lit(value).cast(kind).cast("string") for value in values]
+        inside |= (F.col("column") == name) & F.col("value").isNotNull() & F.col("value").isin(listed)
     return (
-        df.select(F.explode(F.array_compact(F.array(*checks))).alias("outside"))
-        .groupBy(F.col("outside.column").alias("column"), F.col("outside.value").alias("value"))
+        texts.unpivot([], list(allowed), "column", "value")
+        .filter(~inside)
+        .groupBy("column", "value")
         .agg(row_count().alias("n"))
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tarnlake.functions.dates import day_text
 from tarnlake.functions.money import money_sum
 from tarnlake.operators.audit import row_count, table_counts
-from tarnlake.operators.compact import compact_partitions, file_inventory
+from tarnlake.operators.compaction import compact_partitions, file_inventory
 from tarnlake.operators.compare import sync_plan
 from tarnlake.operators.sync import sync_partitions
 from tarnlake.plans import reports

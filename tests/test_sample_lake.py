@@ -1,0 +1,227 @@
+"""Reports and audits over the sample lake, whose answers are known."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tarnlake.functions.dates import typed_report
+from tarnlake.operators import (
+    domain_audit,
+    duplicate_keys,
+    formula_audit,
+    orphan_keys,
+    orphan_rows,
+    partition_inventory,
+    partition_key_audit,
+    row_count_audit,
+    sync_plan,
+    table_counts,
+    table_diff,
+)
+from tarnlake.plans import reports
+from tarnlake.sources import catalog, samples, schemas
+
+TOTALS = {
+    "sample_db.employees": 8,
+    "hive_db.user_profiles": 15,
+    "hive_db.orders": 50,
+    "hive_db.products": 37,
+    "hive_db.dim_category": 5,
+    "hive_db.user_behavior": 60,
+}
+
+
+def test_headcount_and_mean_salary(lake):
+    report = reports.headcount_and_mean(lake.table("sample_db.employees"), "dept", "salary", "avg_salary")
+    assert report.columns == ["dept", "headcount", "avg_salary"]
+    assert rows(report) == [("Engineering", 4, 96650.0), ("Data Science", 2, 85850.0), ("Analytics", 2, 77900.0)]
+
+
+def test_first_ten_days(lake):
+    report = reports.first_days(lake.table("hive_db.orders"), "dt", "total_amount")
+    assert report.columns == ["dt", "orders", "gmv"]
+    assert rows(report) == [
+        ("2024-01-01", 1, 5699.0),
+        ("2024-01-02", 1, 398.0),
+        ("2024-01-03", 2, 12266.0),
+        ("2024-01-04", 1, 8499.0),
+        ("2024-01-05", 1, 668.0),
+        ("2024-01-06", 1, 3099.0),
+        ("2024-01-07", 1, 295.0),
+        ("2024-01-08", 1, 1148.0),
+        ("2024-01-09", 1, 5399.0),
+        ("2024-01-10", 2, 14198.0),
+    ]
+
+
+def test_reports_equal_the_sql_they_stand_for(lake):
+    w1 = "SELECT dept, COUNT(*) AS headcount, ROUND(AVG(salary), 2) AS avg_salary FROM sample_db.employees GROUP BY dept ORDER BY avg_salary DESC"
+    w2 = "SELECT dt, COUNT(*) AS orders, ROUND(SUM(total_amount), 2) AS gmv FROM hive_db.orders GROUP BY dt ORDER BY dt LIMIT 10"
+    employees, orders = lake.table("sample_db.employees"), lake.table("hive_db.orders")
+    assert rows(lake.sql(w1)) == rows(reports.headcount_and_mean(employees, "dept", "salary", "avg_salary"))
+    assert rows(lake.sql(w2)) == rows(reports.first_days(orders, "dt", "total_amount"))
+
+
+def test_orders_by_month(lake):
+    months = lake.table("hive_db.orders").groupBy(F.substring("dt", 1, 7).alias("month"))
+    found = months.agg(F.count("*"), F.sum("total_amount")).orderBy("month")
+    assert rows(found) == [("2024-01", 20, 86298.0), ("2024-02", 15, 65651.0), ("2024-03", 15, 77043.0)]
+
+
+def test_table_counts_keep_order_of_branches_as_a_set(lake):
+    names = ["products", "dim_category", "user_behavior"]
+    counts = table_counts({n: lake.table(f"hive_db.{n}") for n in names})
+    assert sorted(rows(counts)) == [("dim_category", 5), ("products", 37), ("user_behavior", 60)]
+
+
+def test_totals(lake):
+    assert rows(reports.total_rows(lake.table("sample_db.employees"), "total_employees")) == [(8,)]
+    assert rows(reports.total_rows(lake.table("hive_db.user_profiles"), "user_count")) == [(15,)]
+
+
+def test_row_count_audit(lake):
+    audit = row_count_audit({n: lake.table(n) for n in TOTALS}, TOTALS)
+    assert audit.columns == ["tbl", "expected", "actual", "ok"]
+    assert all(r.ok for r in audit.collect()) and audit.count() == len(TOTALS)
+    wrong = row_count_audit({"hive_db.products": lake.table("hive_db.products")}, {"hive_db.products": 200})
+    assert rows(wrong) == [("hive_db.products", 200, 37, False)]
+
+
+def test_smoke_round_trip(lake):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+    before = {d.name for d in lake.catalog.listDatabases()}
+    result = reports.smoke_round_trip(lake.createDataFrame([(1, "hello"), (2, "world")], schema))
+    assert sorted(rows(result)) == [(1, "hello"), (2, "world")]
+    assert {d.name for d in lake.catalog.listDatabases()} == before
+
+
+def test_readiness_probe(lake):
+    assert rows(lake.sql("SELECT 1")) == [(1,)]
+
+
+def test_partition_listing(lake):
+    days = ["2024-01-15", "2024-01-16", "2024-01-17", "2024-02-01", "2024-03-01"]
+    assert rows(reports.partition_listing(lake, "hive_db.user_behavior")) == [(f"dt={d}",) for d in days]
+    assert reports.partition_listing(lake, "hive_db.orders").count() == 47
+
+
+def test_partition_inventory(lake):
+    found = partition_inventory(lake.table("hive_db.user_behavior"), "dt", "ts").orderBy("dt")
+    assert [r[1] for r in rows(found)] == [15, 15, 15, 7, 8]
+    assert rows(found)[0] == ("2024-01-15", 15, "2024-01-15 08:12:30", "2024-01-15 15:30:00")
+
+
+def test_catalog_listing(lake):
+    tables = {"user_profiles", "orders", "products", "dim_category", "user_behavior"}
+    assert set(rows(reports.catalog_listing(lake, "hive_db"))) == {("hive_db", t) for t in tables}
+    assert lake.catalog.getDatabase("hive_db").description == samples.DATABASE_COMMENTS["hive_db"]
+
+
+@pytest.mark.parametrize("table", schemas.LAKE, ids=lambda t: t.name)
+def test_declared_columns_comments_and_rows(lake, table):
+    loaded = lake.table(table.name)
+    assert [(f.name, f.dataType) for f in loaded.schema.fields] == [(f.name, f.dataType) for f in table.schema.fields]
+    comments = {c.name: c.description for c in lake.catalog.listColumns(table.name)}
+    assert comments == {f.name: f.metadata.get("comment") for f in table.schema.fields}
+    assert [c.name for c in lake.catalog.listColumns(table.name) if c.isPartition] == list(table.partition_by)
+    assert sorted(rows(loaded)) == sorted(samples.ROWS[table.name])
+    facts = catalog.table_facts(lake, table.name)
+    assert facts["Provider"] == table.fmt
+
+
+def test_domain_audit_finds_nothing(lake):
+    for table, domains in schemas.DOMAINS.items():
+        assert rows(domain_audit(lake.table(table), domains)) == []
+
+
+def test_order_status_counts(lake):
+    counts = dict(rows(lake.table("hive_db.orders").groupBy("status").count()))
+    assert counts == {"completed": 37, "shipped": 5, "cancelled": 3, "pending": 3, "refunded": 2}
+
+
+def test_formula_audit_finds_the_one_wrong_total(lake):
+    total = F.col("quantity") * F.col("unit_price") - F.col("discount_amount")
+    found = formula_audit(lake.table("hive_db.orders"), F.col("total_amount"), total, 0.005)
+    assert rows(found.select("order_id", "recorded", "computed", "diff")) == [
+        ("ORD-20240325-001", 4598.0, 4798.0, -200.0)
+    ]
+
+
+def test_orphans(lake):
+    orders, products = lake.table("hive_db.orders"), lake.table("hive_db.products")
+    users, behavior = lake.table("hive_db.user_profiles"), lake.table("hive_db.user_behavior")
+    assert orphan_rows(orders, products, "product_id", "product_id").count() == 50
+    assert rows(orphan_keys(orders, users, "user_id", "user_id")) == []
+    assert rows(orphan_keys(behavior, products, "product_id", "product_id")) == []
+    found = orphan_keys(behavior, users, "user_id", "user_id")
+    assert (found.count(), found.agg(F.sum("n")).first()[0]) == (15, 19)
+    assert sorted(r.key for r in found.collect()) == list(range(16, 31))
+    categories = lake.table("hive_db.dim_category")
+    assert rows(orphan_keys(products, categories, "category_id", "category_id")) == []
+
+
+def _second_edition_behavior(lake):
+    """The shorter edition: the first three days stop after twelve events, ids have three digits."""
+    kept, seen = [], {}
+    for row in samples.ROWS["hive_db.user_behavior"]:
+        seen[row[-1]] = seen.get(row[-1], 0) + 1
+        if seen[row[-1]] <= 12:
+            kept.append((f"ev_{len(kept) + 1:03d}", *row[1:]))
+    return lake.createDataFrame(kept, schemas.USER_BEHAVIOR.schema)
+
+
+def test_second_edition_of_user_behavior(lake):
+    second = _second_edition_behavior(lake)
+    per_day = rows(partition_inventory(second, "dt", "ts").orderBy("dt").select("dt", "rows"))
+    assert [n for _, n in per_day] == [12, 12, 12, 7, 8]
+    found = orphan_keys(second, lake.table("hive_db.user_profiles"), "user_id", "user_id")
+    assert (found.count(), found.agg(F.sum("n")).first()[0]) == (9, 13)
+    types = dict(rows(second.groupBy("event_type").count()))
+    assert types == {"view": 30, "cart": 8, "wishlist": 1, "purchase": 12}
+    plan = sync_plan(lake.table("hive_db.user_behavior"), second, "dt")
+    assert {r.status for r in plan.collect()} == {"changed"} and plan.count() == 5
+    by_count = sync_plan(lake.table("hive_db.user_behavior"), second, "dt", contents=False).orderBy("dt")
+    assert [r.dt for r in by_count.collect()] == ["2024-01-15", "2024-01-16", "2024-01-17"]
+
+
+def test_partition_keys_match_event_days(lake):
+    assert rows(partition_key_audit(lake.table("hive_db.orders"), "dt", "created_at")) == []
+    assert rows(partition_key_audit(lake.table("hive_db.user_behavior"), "dt", "ts")) == []
+
+
+def test_keys_are_unique(lake):
+    keys = {
+        "sample_db.employees": "id",
+        "hive_db.user_profiles": "user_id",
+        "hive_db.orders": "order_id",
+        "hive_db.products": "product_id",
+        "hive_db.dim_category": "category_id",
+        "hive_db.user_behavior": "event_id",
+    }
+    for table, key in keys.items():
+        assert rows(duplicate_keys(lake.table(table), [key])) == []
+
+
+def test_two_editions_differ_in_names_only(lake):
+    products, categories = lake.table("hive_db.products"), lake.table("hive_db.dim_category")
+    names = samples.SECOND_EDITION_PRODUCT_NAMES
+    second = lake.createDataFrame(
+        [(r[0], names.get(r[0], r[1]), *r[2:]) for r in samples.PRODUCTS], schemas.PRODUCTS.schema
+    )
+    assert sorted(rows(table_diff(products, second, ["product_id"]))) == [(k, "changed") for k in sorted(names)]
+    names = samples.SECOND_EDITION_CATEGORY_NAMES
+    second = lake.createDataFrame(
+        [(r[0], names.get(r[0], r[1]), *r[2:]) for r in samples.DIM_CATEGORY], schemas.DIM_CATEGORY.schema
+    )
+    assert rows(table_diff(categories, second, ["category_id"])) == [(2, "changed")]
+
+
+def test_text_dates_are_well_formed(lake):
+    profiles = typed_report(lake.table("hive_db.user_profiles"), {"register_date": "date"})
+    assert rows(profiles) == [("register_date", 15, 0)]
+    orders = typed_report(lake.table("hive_db.orders"), {"dt": "date", "created_at": "timestamp"})
+    assert rows(orders) == [("dt", 50, 0), ("created_at", 50, 0)]
