@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.dates import day_text
+from tarnlake.sources.scratch import settle
 
 def row_count() -> Column:
     return F.count(F.lit(1))
@@ -81,9 +82,14 @@ def orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """The child rows themselves. Adaptive execution splits a hot child key in the join."""
-    parents = parent.select(F.col(f"`{parent_key}`").alias(child_key)).distinct()
-    return child.join(parents, child_key, "left_anti").select(*child.columns)
+    """The child rows themselves.
+
+    The orphan keys are settled first. If they are few, Spark broadcasts them and no child row is
+    shuffled; if not, both join sides are plain shuffles, which is the form in which adaptive
+    execution splits a hot child key. (A side that is still being grouped is never split.)
+    """
+    keys = settle(orphan_keys(child, parent, child_key, parent_key), "orphan-keys").select("key")
+    return child.join(keys, child[child_key].eqNullSafe(keys["key"]), "left_semi")
 
 
 def partition_key_audit(df: DataFrame, by: str, event_time: str) -> DataFrame:

@@ -22,8 +22,16 @@ def headcount_and_mean(df: DataFrame, group: str, amount: str, mean_name: str) -
     )
 
 
-def first_days(df: DataFrame, day: str, amount: str, days: int = 10) -> DataFrame:
-    """Orders and gross merchandise value of the first days."""
+def first_days(df: DataFrame, day: str, amount: str, days: int = 10, stored_by_day: bool = False) -> DataFrame:
+    """Orders and gross merchandise value of the first days.
+
+    On a table partitioned by ``day`` set ``stored_by_day``: the first days are then found from the
+    partition values of its files and only their folders are read.
+    """
+    if stored_by_day:
+        first = df.select(day).distinct().orderBy(day).limit(days)
+        last = first.agg(F.max(day)).scalar()
+        df = df.filter(F.col(day).isNull() | (F.col(day) <= last))
     return (
         df.groupBy(day)
         .agg(row_count().alias("orders"), F.round(money_sum(amount), 2).alias("gmv"))

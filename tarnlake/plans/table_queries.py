@@ -438,6 +438,23 @@ def group_by_partition_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(row_count().alias("cnt"), money_sum("value").alias("total"))
 
 
+@query(
+    "w2_monthly_gmv_first10_stored",
+    """
+    SELECT substr(cast(o_orderdate AS varchar), 1, 7) AS dt, count(*) AS orders,
+           cast(sum(cast(o_totalprice AS decimal(18, 2))) AS double) AS gmv
+    FROM orders GROUP BY 1 ORDER BY dt LIMIT 10
+    """,
+)
+def monthly_gmv_first10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first groups of a table stored by them: other folders are not opened for the sum."""
+    orders = dated_orders(spark, sf_dir)
+    folder = run_folder(spark, "w2")
+    write_files(orders, folder, partition_by=["dt"])
+    stored = read_files(spark, folder, orders.schema)
+    return reports.first_days(stored, "dt", "o_totalprice", stored_by_day=True)
+
+
 @query("r1_replace_load", "SELECT * FROM orders")
 def replace_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded twice, dropped, loaded again: still one copy of every row."""
