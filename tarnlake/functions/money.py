@@ -23,7 +23,7 @@ def _column(column: str | Column) -> Column:
 def money_sum(column: str | Column, decimals: int = 4) -> Column:
     """SUM as DOUBLE, exact for values of at most ``decimals`` decimal places; NULL if all are NULL.
 
-    A group holding NaN, an infinity or an amount of 2^50 units or more gets the plain double sum.
+    NaN, infinities and amounts of 2^50 units or more have no exact units; they are added as doubles.
     """
     amount = _column(column)
     unit = 10**decimals
@@ -32,7 +32,9 @@ def money_sum(column: str | Column, decimals: int = 4) -> Column:
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(19,0)")
     exact = (high * F.lit(Decimal(1 << _LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-decimals))
-    return F.when(F.coalesce(F.bool_and(fits), F.lit(True)), exact.cast("double")).otherwise(F.sum(amount))
+    others = F.sum(F.when(~fits, amount))
+    total = exact.cast("double")
+    return F.when(others.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + others)
 
 
 def money_avg(column: str | Column, decimals: int = 4) -> Column:

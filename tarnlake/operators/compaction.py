@@ -46,9 +46,9 @@ def compact_partitions(
     """Compact the partitions of a Parquet table whose files average under half the target.
 
     They are written to a new folder, compared with the old rows, and then each partition is pointed
-    at its new files, so readers see either the old files or the new. Old files stay. Returns the
-    inventory of the partitions that were rewritten, as it was before. A partition whose value is
-    NULL or would be escaped in a folder name keeps its files.
+    at its new files, so readers see either the old files or the new. Old files stay. Nothing may
+    write to the table meanwhile. Returns the inventory of the partitions that were rewritten, as it
+    was before. A partition whose value is NULL or would be escaped in a folder name keeps its files.
     """
     data = spark.table(table)
     small = (F.col("files") > 1) & (F.col("bytes") < F.col("files") * F.lit(target_bytes / 2))

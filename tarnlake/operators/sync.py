@@ -27,7 +27,7 @@ def rows_of_partitions(df: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     return df.filter(chosen | F.col(f"`{by}`").isNull() if None in listed else chosen)
 
 
-def sync_partitions(src: DataFrame, table: str, by: str, contents: bool = True) -> DataFrame:
+def sync_partitions(src: DataFrame, table: str, by: str, contents: bool = True, clustered: bool = False) -> DataFrame:
     """Bring ``table`` up to ``src``: copy missing and changed partitions, return the plan it followed.
 
     Extra partitions are reported, not dropped. The plan is settled first, because it would read
@@ -37,5 +37,5 @@ def sync_partitions(src: DataFrame, table: str, by: str, contents: bool = True)
     plan = settle(sync_plan(src, spark.table(table), by, contents), "sync-plan")
     stale = plan.filter(F.col("status") != "extra")
     if not stale.isEmpty():
-        replace_partitions(rows_of_partitions(src, stale, by), table)
+        replace_partitions(rows_of_partitions(src, stale, by), table, clustered)
     return plan

@@ -151,6 +151,16 @@ def no_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "s9_sql_text",
+    "SELECT event_type, count(*) AS cnt, max(value) AS top FROM events GROUP BY event_type",
+)
+def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement as a client sends it, answered as a lazy DataFrame."""
+    statement = "SELECT event_type, count(*) AS cnt, max(value) AS top FROM {events} GROUP BY event_type"
+    return spark.sql(statement, events=read(spark, sf_dir, "events"))
+
+
 @query(
     "w1_segment_headcount_avg",
     """

@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 from tarnlake.sources.scratch import run_folder
 
 
-def _text(value: str) -> str:
+def text_literal(value: str) -> str:
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
 
-def _name(table: str) -> str:
+def identifier(table: str) -> str:
     return ".".join(f"`{part}`" for part in table.split("."))
 
 
@@ -25,17 +25,17 @@ def create_database(
     spark: SparkSession, name: str, comment: str | None = None, location: str | None = None
 ) -> None:
     """Create a database unless it is there."""
-    statement = f"CREATE DATABASE IF NOT EXISTS {_name(name)}"
+    statement = f"CREATE DATABASE IF NOT EXISTS {identifier(name)}"
     if comment is not None:
-        statement += f" COMMENT {_text(comment)}"
+        statement += f" COMMENT {text_literal(comment)}"
     if location is not None:
-        statement += f" LOCATION {_text(location)}"
+        statement += f" LOCATION {text_literal(location)}"
     spark.sql(statement)
 
 
 def drop_database(spark: SparkSession, name: str) -> None:
     """Drop an empty database; Spark refuses one that still holds tables."""
-    spark.sql(f"DROP DATABASE {_name(name)}")
+    spark.sql(f"DROP DATABASE {identifier(name)}")
 
 
 @contextmanager
@@ -61,7 +61,7 @@ def temporary_database(spark: SparkSession, label: str) -> Iterator[tuple[str, s
     try:
         yield name, run_folder(spark, label)
     finally:
-        spark.sql(f"DROP DATABASE IF EXISTS {_name(name)} CASCADE")
+        spark.sql(f"DROP DATABASE IF EXISTS {identifier(name)} CASCADE")
 
 
 def create_table(
@@ -83,32 +83,33 @@ def create_table(
     for field in schema.fields:
         line = f"`{field.name}` {field.dataType.simpleString()}"
         if field.metadata.get("comment"):
-            line += f" COMMENT {_text(field.metadata['comment'])}"
+            line += f" COMMENT {text_literal(field.metadata['comment'])}"
         lines.append(line)
-    statement = f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{_name(table)} ({', '.join(lines)})"
+    statement = f"CREATE TABLE {'IF NOT EXISTS ' if if_not_exists else ''}{identifier(table)} ({', '.join(lines)})"
     if fmt is not None:
         statement += f" USING {fmt}"
     if compression is not None:
-        statement += f" OPTIONS ('compression'={_text(compression)})"
+        statement += f" OPTIONS ('compression'={text_literal(compression)})"
     if partition_by:
         statement += f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})"
     if path is not None:
-        statement += f" LOCATION {_text(path)}"
+        statement += f" LOCATION {text_literal(path)}"
     spark.sql(statement)
 
 
 def drop_table(spark: SparkSession, table: str, if_exists: bool = True) -> None:
-    spark.sql(f"DROP TABLE {'IF EXISTS ' if if_exists else ''}{_name(table)}")
+    spark.sql(f"DROP TABLE {'IF EXISTS ' if if_exists else ''}{identifier(table)}")
 
 
 def find_partitions(spark: SparkSession, table: str) -> None:
     """Register the partition folders found under the table's location."""
-    spark.sql(f"ALTER TABLE {_name(table)} RECOVER PARTITIONS")
+    spark.sql(f"ALTER TABLE {identifier(table)} RECOVER PARTITIONS")
 
 
 def move_partition(spark: SparkSession, table: str, column: str, value: str, folder: str) -> None:
     """Point one partition at another folder: one catalog change, the old files stay."""
-    spark.sql(f"ALTER TABLE {_name(table)} PARTITION (`{column}`={_text(value)}) SET LOCATION {_text(folder)}")
+    partition = f"`{column}`={text_literal(value)}"
+    spark.sql(f"ALTER TABLE {identifier(table)} PARTITION ({partition}) SET LOCATION {text_literal(folder)}")
 
 
 def point_table(
@@ -126,16 +127,16 @@ def list_databases(spark: SparkSession) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, database: str) -> DataFrame:
-    return spark.sql(f"SHOW TABLES IN {_name(database)}")
+    return spark.sql(f"SHOW TABLES IN {identifier(database)}")
 
 
 def list_partitions(spark: SparkSession, table: str) -> DataFrame:
-    return spark.sql(f"SHOW PARTITIONS {_name(table)}")
+    return spark.sql(f"SHOW PARTITIONS {identifier(table)}")
 
 
 def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
     """The catalog's facts about a table: Type, Provider, Location and so on."""
-    rows = spark.sql(f"DESCRIBE FORMATTED {_name(table)}").select("col_name", "data_type").toLocalIterator()
+    rows = spark.sql(f"DESCRIBE FORMATTED {identifier(table)}").select("col_name", "data_type").toLocalIterator()
     facts: dict[str, str] = {}
     detailed = False
     for name, value in rows:

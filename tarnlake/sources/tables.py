@@ -3,7 +3,8 @@
 Partitioned writes are spread with the REBALANCE hint. A partition column alone would send all rows
 of one value to one task, and no hint at all would have every task write a small file into every
 partition; with the hint adaptive execution splits the large values over several tasks and puts many
-small ones into one. It needs ``spark.sql.adaptive.enabled`` (Spark's default).
+small ones into one. It needs ``spark.sql.adaptive.enabled`` (Spark's default). The hint costs a
+shuffle of the rows, which ``clustered=True`` saves where they already come by partition.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.session import session_conf
-from tarnlake.sources.catalog import point_table
+from tarnlake.sources.catalog import identifier, point_table, text_literal
 
 DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
@@ -26,26 +27,30 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTyp
     return spark.createDataFrame(rows, schema)
 
 
-def spread(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    return df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by]) if partition_by else df
+def spread(df: DataFrame, partition_by: Sequence[str], clustered: bool = False) -> DataFrame:
+    """Spread rows for a partitioned write. ``clustered`` rows, read from a table stored by the same
+    columns, are left as they come: they need no shuffle to be written back by them."""
+    if clustered or not partition_by:
+        return df
+    return df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by])
 
 
 def _partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def append(df: DataFrame, table: str) -> None:
+def append(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Add rows by position, like INSERT INTO. Running it twice adds them twice."""
-    spread_df = spread(df.toDF(*df.sparkSession.table(table).columns), _partition_columns(df.sparkSession, table))
-    spread_df.write.insertInto(table)
+    spark = df.sparkSession
+    rows = df.toDF(*spark.table(table).columns)
+    spread(rows, _partition_columns(spark, table), clustered).write.insertInto(table)
 
 
 def append_partition(df: DataFrame, table: str, column: str, value: str) -> None:
-    """Add rows to one named partition; ``df`` holds the other columns by position."""
-    text = value.replace("\\", "\\\\").replace("'", "\\'")
-    df.sparkSession.sql(
-        f"INSERT INTO {table} PARTITION (`{column}`='{text}') SELECT * FROM {{rows}}", rows=df
-    )
+    """Add rows to one named partition; ``df`` holds the other columns by position. No shuffle."""
+    partition = f"`{column}`={text_literal(value)}"
+    statement = f"INSERT INTO {identifier(table)} PARTITION ({partition}) SELECT * FROM {{rows}}"
+    df.sparkSession.sql(statement, rows=df)
 
 
 def write_files(
@@ -55,10 +60,12 @@ def write_files(
     partition_by: Sequence[str] = (),
     compression: str = "snappy",
     mode: str = "errorifexists",
+    clustered: bool = False,
     **options: str,
 ) -> None:
     """Write files, in ``column=value`` folders where ``partition_by`` is given."""
-    writer = spread(df, partition_by).write.format(fmt).mode(mode).option("compression", compression).options(**options)
+    writer = spread(df, partition_by, clustered).write.format(fmt).mode(mode)
+    writer = writer.option("compression", compression).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
@@ -76,6 +83,7 @@ def replace_table(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     compression: str = "snappy",
+    clustered: bool = False,
 ) -> str:
     """Make ``df`` the whole content of ``table``; any number of runs gives the same rows.
 
@@ -84,14 +92,14 @@ def replace_table(
     folders of earlier loads stay for readers still on them.
     """
     folder = f"{path}/load-{uuid4().hex[:12]}"
-    write_files(df, folder, fmt, partition_by, compression)
+    write_files(df, folder, fmt, partition_by, compression, clustered=clustered)
     data = [f for f in df.schema.fields if f.name not in partition_by]
     keys = [df.schema[c] for c in partition_by]
     point_table(df.sparkSession, table, T.StructType(data + keys), folder, fmt, partition_by)
     return folder
 
 
-def replace_partitions(df: DataFrame, table: str) -> None:
+def replace_partitions(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Replace the partitions ``df`` has rows for and leave the others; columns match by name.
 
     The dynamic mode has to be a session setting here: ``insertInto`` ignores the write option and
@@ -101,17 +109,25 @@ def replace_partitions(df: DataFrame, table: str) -> None:
     keys = _partition_columns(spark, table)
     if not keys:
         raise ValueError(f"{table} is not partitioned; use replace_table")
-    rows = spread(df.select(*[f"`{c}`" for c in spark.table(table).columns]), keys)
+    rows = spread(df.select(*[f"`{c}`" for c in spark.table(table).columns]), keys, clustered)
     with session_conf(spark, DYNAMIC):
         rows.write.mode("overwrite").insertInto(table)
 
 
-def publish(df: DataFrame, path: str, partition_by: Sequence[str], whole: bool = False) -> None:
+def publish(
+    df: DataFrame, path: str, partition_by: Sequence[str], whole: bool = False, clustered: bool = False
+) -> None:
     """Write Snappy Parquet in ``column=value`` folders at a fixed path for readers of files.
 
     Only partitions with rows in ``df`` are replaced, so publishing again changes nothing;
     ``whole=True`` also removes the partitions ``df`` lacks. Partition values are written as text.
     """
     text = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in partition_by})
-    overwrite = "static" if whole else "dynamic"
-    write_files(text, path, "parquet", partition_by, "snappy", "overwrite", partitionOverwriteMode=overwrite)
+    write_files(
+        text,
+        path,
+        partition_by=partition_by,
+        mode="overwrite",
+        clustered=clustered,
+        partitionOverwriteMode="static" if whole else "dynamic",
+    )

@@ -45,7 +45,9 @@ def test_money_sum_of_nulls_and_nothing(spark):
     assert _sum(spark, [None, -1.25]) == -1.25
 
 
-def test_money_sum_falls_back_to_the_double_sum(spark):
+def test_money_sum_adds_what_has_no_units_as_doubles(spark):
+    assert _sum(spark, [1e300, -1e300, 0.25, None]) == 0.25
+    assert _sum(spark, [1e300]) == 1e300
     assert _sum(spark, [1e300, 1.0]) == 1e300
     assert _sum(spark, [math.inf, 1.0]) == math.inf
     assert math.isnan(_sum(spark, [math.nan, 1.0]))

@@ -231,6 +231,16 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path):
     assert sum(hot) == 100_000 and len(hot) == 8 and max(hot) == 12_500  # one piece per map task
 
 
+def test_clustered_rows_are_written_without_a_shuffle(spark, tmp_path):
+    stored, copy = str(tmp_path / "stored"), str(tmp_path / "copy")
+    tables.write_files(hot_rows(spark), stored, partition_by=["dt"])
+    rows_of_table = tables.read_files(spark, stored, hot_rows(spark).schema)
+    assert "rebalance" in tables.spread(rows_of_table, ["dt"])._jdf.queryExecution().analyzed().toString().lower()
+    tables.publish(rows_of_table, copy, ["dt"], clustered=True)
+    assert len(files(copy)) <= 2 * len(files(stored))
+    assert sorted(rows(tables.read_files(spark, copy, rows_of_table.schema))) == sorted(rows(rows_of_table))
+
+
 def test_small_partitions_share_tasks(spark, data, tmp_path):
     tables.write_files(data.repartition(8), str(tmp_path / "few"), partition_by=["dt"])
     assert len(files(str(tmp_path / "few"))) == 3
