@@ -22,6 +22,13 @@ def day_text(df: DataFrame, column: str) -> Column:
     return value.cast("date").cast("string")
 
 
+def event_time(df: DataFrame, column: str) -> Column:
+    """A time column as it is, or well-formed time text as TIMESTAMP_NTZ."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return _parsed(column, "timestamp")
+    return F.col(f"`{column}`")
+
+
 def _parsed(column: str, kind: str) -> Column:
     text = F.col(f"`{column}`")
     return F.when(text.rlike(_SHAPES[kind]), text.try_cast(_TARGETS[kind]))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.dates import day_text
+from tarnlake.functions.dates import day_text, event_time
 from tarnlake.sources.scratch import settle
 
 def row_count() -> Column:
@@ -37,10 +37,15 @@ def row_count_audit(tables: Mapping[str, DataFrame], expected: Mapping[str, int]
     return reduce(DataFrame.union, counts).withColumn("ok", F.col("expected") == F.col("actual"))
 
 
-def partition_inventory(df: DataFrame, by: str, event_time: str) -> DataFrame:
-    """Rows and first and last event time per partition."""
-    return df.groupBy(by).agg(
-        row_count().alias("rows"), F.min(event_time).alias("first_time"), F.max(event_time).alias("last_time")
+def partition_inventory(df: DataFrame, by: str, time: str) -> DataFrame:
+    """Rows and first and last event time per partition.
+
+    Times kept as text are compared as times (malformed text counts as a row only): the least of a
+    number is kept in a hash table, the least of a text would have every row sorted first.
+    """
+    times = df.select(by, event_time(df, time).alias("time"))
+    return times.groupBy(by).agg(
+        row_count().alias("rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
     )
 
 

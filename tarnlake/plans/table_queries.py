@@ -7,8 +7,6 @@ until the application's scratch folder is cleared.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,18 +72,11 @@ def create_database_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d2_database_comment", "SELECT 'orders of the shop' AS comment, count(*) AS orders FROM orders")
 def database_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
-    name = f"tarnlake_d2_{uuid4().hex[:12]}"
-    catalog.create_database(spark, name, comment="orders of the shop", location=run_folder(spark, "d2"))
-    try:
-        catalog.create_table(spark, f"{name}.orders", plain(orders.schema))
-        append(orders, f"{name}.orders")
-        comment = spark.catalog.getDatabase(name).description
-        counted = spark.table(f"{name}.orders").agg(row_count().alias("orders"))
-        result = settle(counted.select(F.lit(comment).alias("comment"), "orders"), "d2")
-        catalog.drop_table(spark, f"{name}.orders")
-    finally:
-        catalog.drop_database(spark, name)
-    return result
+    with catalog.temporary_database(spark, "d2", comment="orders of the shop") as (database, _):
+        catalog.create_table(spark, f"{database}.orders", plain(orders.schema))
+        append(orders, f"{database}.orders")
+        comment = F.lit(spark.catalog.getDatabase(database).description).alias("comment")
+        return settle(spark.table(f"{database}.orders").agg(row_count().alias("orders")).select(comment, "orders"), "d2")
 
 
 @query("d3_use_database", "SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY o_orderstatus")
@@ -535,13 +526,12 @@ def published_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT cast(cast(ts AS date) AS varchar) AS dt, count(*) AS cnt, true AS fewer_files FROM events GROUP BY 1",
 )
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of each day appended type by type, then compacted."""
+    """The events written by several tasks that each add a file to every day, then compacted."""
     events = dated_events(spark, sf_dir)
     with catalog.temporary_database(spark, "r13") as (database, _):
         table = f"{database}.events"
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"])
-        for kind in ("view", "click", "signup", "error", "purchase"):
-            append(events.filter(F.col("event_type") == kind), table)
+        append(events.repartition(5), table, clustered=True)
         before = compact_partitions(spark, table, "dt")
         after = file_inventory(spark.table(table), ["dt"])
         compared = after.alias("a").join(before.alias("b"), "dt", "left")

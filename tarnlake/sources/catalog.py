@@ -50,14 +50,14 @@ def using_database(spark: SparkSession, name: str) -> Iterator[None]:
 
 
 @contextmanager
-def temporary_database(spark: SparkSession, label: str) -> Iterator[tuple[str, str]]:
+def temporary_database(spark: SparkSession, label: str, comment: str | None = None) -> Iterator[tuple[str, str]]:
     """A database in the scratch folder, dropped with its tables and their files after the block.
 
     Yields its name and a folder of its own for external files, which outlive it. Results read from
     its managed tables are settled inside the block.
     """
     name = f"tarnlake_{label}_{uuid4().hex[:12]}"
-    create_database(spark, name, location=run_folder(spark, f"{label}-database"))
+    create_database(spark, name, comment, run_folder(spark, f"{label}-database"))
     try:
         yield name, run_folder(spark, label)
     finally:
@@ -136,10 +136,9 @@ def list_partitions(spark: SparkSession, table: str) -> DataFrame:
 
 def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
     """The catalog's facts about a table: Type, Provider, Location and so on."""
-    rows = spark.sql(f"DESCRIBE FORMATTED {identifier(table)}").select("col_name", "data_type").toLocalIterator()
     facts: dict[str, str] = {}
     detailed = False
-    for name, value in rows:
+    for name, value, _ in spark.sql(f"DESCRIBE FORMATTED {identifier(table)}").collect():
         detailed = detailed or name == "# Detailed Table Information"
         if detailed and name:
             facts[name] = value

@@ -18,7 +18,9 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tarnlake-"))
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="tarnlake-")
+    return _local_roots[context.applicationId]
 
 
 def application_folder(spark: SparkSession) -> str:

@@ -21,6 +21,7 @@ from tarnlake.operators import (
     table_diff,
 )
 from tarnlake.plans import reports
+from tarnlake.session import session_conf
 
 FEW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 KEYS = st.one_of(st.none(), st.integers(0, 4))
@@ -100,6 +101,34 @@ def test_table_diff_of_a_hot_key_makes_no_pairs(spark):
     assert rows(table_diff(a, b, ["k"])) == [(5, "changed")]
 
 
+def test_a_hot_child_key_is_split(spark):
+    """A third of the child rows share one orphan key, a third of the parent rows another key."""
+    small = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    key = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1000)
+    child = spark.range(0, 300_000, 1, 8).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    parent = spark.range(0, 9_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("id"))
+    with session_conf(spark, small):
+        found = orphan_rows(child, parent, "k", "id").agg(
+            F.count("*"), F.count_if(F.col("k") == -1), F.max(F.length("v"))
+        )
+        expected = sum(1 for i in range(300_000) if i % 3 == 0 or i % 1000 >= 500)
+        assert rows(found) == [(expected, 100_000, 64)]
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_orphan_keys_are_broadcast(spark):
+    child = spark.range(0, 300_000, 1, 8).select((F.col("id") % 1000).alias("k"), "id")
+    found = orphan_rows(child, spark.range(990), "k", "id")
+    assert found.count() == 3_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_domain_audit_reports_null_and_every_type(spark):
     df = spark.createDataFrame(
         [("a", 1.0, True), ("b", 2.5, False), (None, None, None), ("a", 1.0, True)], "s string, d double, f boolean"

@@ -89,7 +89,7 @@ def test_number_of_shuffles(spark, sf_dir, name):
     assert len(re.findall(r"\bExchange\b", tree)) == SHUFFLES[name], tree
 
 
-LAZY = sorted(n for n in QUERIES if not re.match(r"(d\d|s\d|w5|w6|w7|r1_|r2_|r4_|r13|r3_sync_copy|p6|g6)", n))
+LAZY = sorted(n for n in QUERIES if not re.match(r"(d\d|s\d|w2_monthly|w5|w6|w7|r1_|r2_|r4_|r13|r3_sync_copy|p6|g6)", n))
 
 
 @pytest.mark.parametrize("name", LAZY)

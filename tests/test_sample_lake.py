@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -56,6 +59,17 @@ def test_first_ten_days(lake):
     ]
 
 
+def test_first_days_of_a_table_stored_by_day(lake):
+    orders = lake.table("hive_db.orders")
+    pruned = reports.first_days(orders, "dt", "total_amount", stored_by_day=True)
+    assert rows(pruned) == rows(reports.first_days(orders, "dt", "total_amount"))
+    assert rows(reports.first_days(orders, "dt", "total_amount", days=60, stored_by_day=True)) == rows(
+        reports.first_days(orders, "dt", "total_amount", days=60)
+    )
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[\(isnull\(dt#\d+\) OR \(dt#\d+ <= [^]]*subquery", plan, re.IGNORECASE)
+
+
 def test_reports_equal_the_sql_they_stand_for(lake):
     w1 = "SELECT dept, COUNT(*) AS headcount, ROUND(AVG(salary), 2) AS avg_salary FROM sample_db.employees GROUP BY dept ORDER BY avg_salary DESC"
     w2 = "SELECT dt, COUNT(*) AS orders, ROUND(SUM(total_amount), 2) AS gmv FROM hive_db.orders GROUP BY dt ORDER BY dt LIMIT 10"
@@ -112,7 +126,9 @@ def test_partition_listing(lake):
 def test_partition_inventory(lake):
     found = partition_inventory(lake.table("hive_db.user_behavior"), "dt", "ts").orderBy("dt")
     assert [r[1] for r in rows(found)] == [15, 15, 15, 7, 8]
-    assert rows(found)[0] == ("2024-01-15", 15, "2024-01-15 08:12:30", "2024-01-15 15:30:00")
+    first, last = datetime(2024, 1, 15, 8, 12, 30), datetime(2024, 1, 15, 15, 30)
+    assert rows(found)[0] == ("2024-01-15", 15, first, last)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_catalog_listing(lake):
