@@ -115,13 +115,30 @@ def move_partition(spark: SparkSession, table: str, column: str, value: str, fol
 def point_table(
     spark: SparkSession, table: str, schema: T.StructType, path: str, fmt: str, partition_by: Sequence[str] = ()
 ) -> None:
-    """Make ``table`` an external table over the finished files at ``path``."""
+    """Make ``table`` an external table over the finished files at ``path``.
+
+    An external table that is already declared like this only changes its location, in one catalog
+    change. Others, and partitioned ones, are dropped and declared again.
+    """
+    if not partition_by and _declared(spark, table, schema, fmt):
+        spark.sql(f"ALTER TABLE {identifier(table)} SET LOCATION {text_literal(path)}")
+        return
     drop_table(spark, table)
     create_table(spark, table, schema, fmt, partition_by, path, if_not_exists=False)
     if partition_by:
         find_partitions(spark, table)
 
 
+def _declared(spark: SparkSession, table: str, schema: T.StructType, fmt: str) -> bool:
+    """Whether ``table`` is an external, unpartitioned table of these columns, comments and format."""
+    if not spark.catalog.tableExists(table):
+        return False
+    columns = [(c.name, c.dataType, c.description, c.isPartition) for c in spark.catalog.listColumns(table)]
+    wanted = [(f.name, f.dataType.simpleString(), f.metadata.get("comment"), False) for f in schema.fields]
+    facts = table_facts(spark, table)
+    return columns == wanted and (facts["Type"], facts["Provider"].lower()) == ("EXTERNAL", fmt)
+
+
 def list_databases(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW DATABASES")
 

@@ -24,7 +24,7 @@ def spark(tmp_path_factory: pytest.TempPathFactory) -> Iterator[SparkSession]:
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
     }
-    session = build_session("tarnlake-tests", "local[8]", **settings)
+    session = build_session("tarnlake-tests", "local[8,2]", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

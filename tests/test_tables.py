@@ -143,6 +143,49 @@ def test_replace_table_any_number_of_times(spark, database, data, partition_by):
     assert {c.name: c.description for c in spark.catalog.listColumns(table)}["id"] == "it's a key \\ 键"
 
 
+def test_replace_table_changes_only_the_location_of_the_same_table(spark, database, data):
+    table, path = f"{database[0]}.t", f"{database[1]}/t"
+    first = tables.replace_table(data, table, path)
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('kept'='yes')")
+    second = tables.replace_table(data, table, path)
+    assert first != second and catalog.table_facts(spark, table)["Location"].endswith(second)
+    assert "kept=yes" in catalog.table_facts(spark, table)["Table Properties"]
+    tables.replace_table(data.withColumn("more", F.lit(1)), table, path)
+    assert spark.table(table).columns == ["id", "v", "dt", "more"]
+    tables.replace_table(data, table, path, "orc")
+    assert catalog.table_facts(spark, table)["Provider"].lower() == "orc"
+    assert table_rows(spark, table) == sorted(DATA, key=str)
+
+
+def test_replace_table_over_a_managed_table(spark, database, data):
+    table = f"{database[0]}.t"
+    catalog.create_table(spark, table, SCHEMA)
+    tables.append(data, table)
+    tables.replace_table(data, table, f"{database[1]}/t")
+    assert catalog.table_facts(spark, table)["Type"] == "EXTERNAL"
+    assert table_rows(spark, table) == sorted(DATA, key=str)
+
+
+def test_a_lost_task_is_run_again_without_doubling_rows(spark, database, data):
+    def lost_once(batches):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        for batch in batches:
+            yield batch
+        if context.attemptNumber() == 0:
+            raise RuntimeError("lost")
+
+    table = f"{database[0]}.t"
+    catalog.create_table(spark, table, SCHEMA, partition_by=["dt"])
+    many = spark.range(0, 1000, 1, 4).selectExpr("int(id) AS id", "'x' AS v", "concat('2024-01-0', id % 5 + 1) AS dt")
+    flaky = many.mapInPandas(lost_once, many.schema)
+    tables.replace_partitions(flaky, table)
+    tables.append(flaky, table, clustered=True)
+    counts = spark.table(table).groupBy("id").count().groupBy("count").count()
+    assert rows(counts) == [(2, 1000)]
+
+
 def test_replace_table_from_itself(spark, database, data):
     table, path = f"{database[0]}.t", f"{database[1]}/t"
     tables.replace_table(data, table, path, partition_by=["dt"])
