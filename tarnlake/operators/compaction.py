@@ -13,7 +13,7 @@ from tarnlake.operators.sync import rows_of_partitions
 from tarnlake.session import session_conf
 from tarnlake.sources.catalog import move_partition, table_facts
 from tarnlake.sources.scratch import settle
-from tarnlake.sources.tables import read_files, write_files
+from tarnlake.sources.tables import ADAPTIVE, read_files, write_files
 
 TARGET_BYTES = 512 << 20
 
@@ -35,9 +35,9 @@ def compact(df: DataFrame, path: str, by: Sequence[str] = (), target_bytes: int
 
     A partition above the target is split over several tasks, so no task holds a whole hot one.
     """
-    rows = df if by else df.hint("rebalance")
-    with session_conf(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}):
-        write_files(rows, path, partition_by=by)
+    sizing = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}
+    with session_conf(df.sparkSession, {**ADAPTIVE, **sizing}):
+        write_files(df if by else df.hint("rebalance"), path, partition_by=by)
 
 
 def compact_partitions(

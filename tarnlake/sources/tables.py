@@ -3,8 +3,9 @@
 Partitioned writes are spread with the REBALANCE hint. A partition column alone would send all rows
 of one value to one task, and no hint at all would have every task write a small file into every
 partition; with the hint adaptive execution splits the large values over several tasks and puts many
-small ones into one. It needs ``spark.sql.adaptive.enabled`` (Spark's default). The hint costs a
-shuffle of the rows, which ``clustered=True`` saves where they already come by partition.
+small ones into one. Spark drops the hint while adaptive execution is off, so it is switched on for
+the write. The hint costs a shuffle of the rows, which ``clustered=True`` saves where they already
+come by partition.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from tarnlake.session import session_conf
 from tarnlake.sources.catalog import identifier, point_table, text_literal
 
+ADAPTIVE = {"spark.sql.adaptive.enabled": "true"}
 DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
 
@@ -43,7 +45,8 @@ def append(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Add rows by position, like INSERT INTO. Running it twice adds them twice."""
     spark = df.sparkSession
     rows = df.toDF(*spark.table(table).columns)
-    spread(rows, _partition_columns(spark, table), clustered).write.insertInto(table)
+    with session_conf(spark, ADAPTIVE):
+        spread(rows, _partition_columns(spark, table), clustered).write.insertInto(table)
 
 
 def append_partition(df: DataFrame, table: str, column: str, value: str) -> None:
@@ -64,9 +67,10 @@ def write_files(
     **options: str,
 ) -> None:
     """Write files, in ``column=value`` folders where ``partition_by`` is given."""
-    writer = spread(df, partition_by, clustered).write.format(fmt).mode(mode)
-    writer = writer.option("compression", compression).options(**options)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    with session_conf(df.sparkSession, ADAPTIVE):
+        writer = spread(df, partition_by, clustered).write.format(fmt).mode(mode)
+        writer = writer.option("compression", compression).options(**options)
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
 def read_files(
@@ -109,9 +113,9 @@ def replace_partitions(df: DataFrame, table: str, clustered: bool = False) -> No
     keys = _partition_columns(spark, table)
     if not keys:
         raise ValueError(f"{table} is not partitioned; use replace_table")
-    rows = spread(df.select(*[f"`{c}`" for c in spark.table(table).columns]), keys, clustered)
-    with session_conf(spark, DYNAMIC):
-        rows.write.mode("overwrite").insertInto(table)
+    rows = df.select(*[f"`{c}`" for c in spark.table(table).columns])
+    with session_conf(spark, {**ADAPTIVE, **DYNAMIC}):
+        spread(rows, keys, clustered).write.mode("overwrite").insertInto(table)
 
 
 def publish(

@@ -274,6 +274,14 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path):
     assert sum(hot) == 100_000 and len(hot) == 8 and max(hot) == 12_500  # one piece per map task
 
 
+def test_small_partitions_share_tasks_with_adaptive_execution_off(spark, data, tmp_path):
+    with session_conf(spark, {"spark.sql.adaptive.enabled": "false"}):
+        tables.write_files(data.repartition(8), str(tmp_path / "few"), partition_by=["dt"])
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+        compact(spark.range(0, 1000, 1, 16), str(tmp_path / "one"))
+    assert len(files(str(tmp_path / "few"))) == 3 and len(files(str(tmp_path / "one"))) == 1
+
+
 def test_clustered_rows_are_written_without_a_shuffle(spark, tmp_path):
     stored, copy = str(tmp_path / "stored"), str(tmp_path / "copy")
     tables.write_files(hot_rows(spark), stored, partition_by=["dt"])
