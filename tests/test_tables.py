@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 from conftest import rows
@@ -234,6 +235,38 @@ def test_publish_layout(spark, data, tmp_path):
     assert sorted(rows(tables.read_files(spark, path, SCHEMA)), key=str) == sorted(DATA, key=str)
 
 
+def test_published_files_in_another_reader(spark, data, tmp_path):
+    path = str(tmp_path / "published")
+    tables.publish(data, path, ["dt"])
+    query = f"SELECT id, v, dt FROM read_parquet('{path}/*/*.parquet', hive_partitioning=true, hive_types_autocast=false)"
+    assert sorted(duckdb.connect().execute(query).fetchall(), key=str) == sorted(DATA, key=str)
+
+
+def test_statements_as_sql_text(spark, tmp_path):
+    """The surface a SQL client uses, without any helper."""
+    run = spark.sql
+    run(f"CREATE DATABASE IF NOT EXISTS sql_text LOCATION '{tmp_path}/db'")
+    before = spark.catalog.currentDatabase()
+    try:
+        run("USE sql_text")
+        run("CREATE TABLE IF NOT EXISTS t1 (id INT, name STRING)")
+        run("INSERT INTO t1 VALUES (1, 'hello'), (2, 'world')")
+        assert sorted(rows(run("SELECT * FROM t1"))) == [(1, "hello"), (2, "world")]
+        run("CREATE TABLE o (order_id STRING, amount DOUBLE COMMENT 'CNY') USING parquet PARTITIONED BY (dt STRING)")
+        run("INSERT INTO o PARTITION (dt='2024-01-02') VALUES ('b', 398.00)")
+        run("INSERT INTO o PARTITION (dt='2024-01-01') VALUES ('a', 5699.00), ('c', 0.10)")
+        found = run("SELECT dt, COUNT(*) AS orders, ROUND(SUM(amount), 2) AS gmv FROM o GROUP BY dt ORDER BY dt LIMIT 10")
+        assert rows(found) == [("2024-01-01", 2, 5699.1), ("2024-01-02", 1, 398.0)]
+        assert rows(run("SHOW PARTITIONS o")) == [("dt=2024-01-01",), ("dt=2024-01-02",)]
+        union = run("SELECT 't1' AS tbl, COUNT(*) AS cnt FROM t1 UNION ALL SELECT 'o', COUNT(*) FROM o")
+        assert sorted(rows(union)) == [("o", 3), ("t1", 2)]
+        run("DROP TABLE t1")
+        run("DROP TABLE IF EXISTS o")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+    run("DROP DATABASE sql_text")
+
+
 def test_publish_part_and_whole(spark, data, tmp_path):
     path = str(tmp_path / "published")
     tables.publish(data, path, ["dt"])
