@@ -1,4 +1,4 @@
-"""Checks on tables. Each returns what it found; an empty result means nothing is wrong.
+"""Checks on tables. Each returns what it found.
 
 Everything is grouped before it is joined, so a key that holds a third of all rows is reduced to one
 row per map task before it is shuffled. No join side is broadcast by hand: Spark does it when its
@@ -13,13 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.counts import row_count
 from tarnlake.functions.dates import day_text, event_time
 from tarnlake.sources.scratch import settle
 
-def row_count() -> Column:
-    return F.count(F.lit(1))
-
-
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: tbl, cnt. Counts read no column, only file footers."""
     counts = [df.agg(row_count().alias("cnt")).select(F.lit(name).alias("tbl"), "cnt") for name, df in tables.items()]

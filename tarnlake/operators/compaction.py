@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators.compare import compare_groups
 from tarnlake.operators.sync import rows_of_partitions
-from tarnlake.session import session_conf
+from tarnlake.session import adaptive, session_conf
 from tarnlake.sources.catalog import move_partition, table_facts
 from tarnlake.sources.scratch import settle
-from tarnlake.sources.tables import ADAPTIVE, read_files, write_files
+from tarnlake.sources.tables import read_files, write_files
 
 TARGET_BYTES = 512 << 20
 
@@ -36,7 +36,7 @@ def compact(df: DataFrame, path: str, by: Sequence[str] = (), target_bytes: int
     A partition above the target is split over several tasks, so no task holds a whole hot one.
     """
     sizing = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}
-    with session_conf(df.sparkSession, {**ADAPTIVE, **sizing}):
+    with adaptive(df.sparkSession), session_conf(df.sparkSession, sizing):
         write_files(df if by else df.hint("rebalance"), path, partition_by=by)
 
 

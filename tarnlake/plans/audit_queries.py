@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.counts import row_count
 from tarnlake.functions.dates import day_text, typed, typed_report
 from tarnlake.functions.money import money_sum
 from tarnlake.operators.audit import (
@@ -15,7 +16,6 @@ from tarnlake.operators.audit import (
     orphan_rows,
     partition_inventory,
     partition_key_audit,
-    row_count,
     row_count_audit,
 )
 from tarnlake.operators.compare import table_diff

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.counts import row_count
 from tarnlake.functions.dates import day_text
 from tarnlake.functions.money import money_avg, money_sum
-from tarnlake.operators.audit import row_count, table_counts
+from tarnlake.operators.audit import table_counts
 from tarnlake.plans import reports
 from tarnlake.plans.registry import query, read
 

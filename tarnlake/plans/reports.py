@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.functions.counts import row_count
 from tarnlake.functions.money import money_avg, money_sum
-from tarnlake.operators.audit import row_count
 from tarnlake.sources import catalog
 from tarnlake.sources.scratch import settle
 from tarnlake.sources.tables import append

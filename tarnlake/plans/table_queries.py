@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.functions.counts import row_count
 from tarnlake.functions.dates import day_text
 from tarnlake.functions.money import money_sum
-from tarnlake.operators.audit import row_count, table_counts
+from tarnlake.operators.audit import table_counts
 from tarnlake.operators.compaction import compact_partitions, file_inventory
 from tarnlake.operators.compare import sync_plan
 from tarnlake.operators.sync import sync_partitions
@@ -66,7 +67,7 @@ def create_database_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         append(customers, f"{database}.customer")
         named = catalog.list_databases(spark).filter(F.col("namespace") == database).agg(row_count().cast("int").alias("databases"))
         loaded = spark.table(f"{database}.customer").agg(row_count().alias("customers"))
-        return settle(named.crossJoin(loaded), "d1")
+        return settle(loaded.select(named.scalar().alias("databases"), "customers"), "d1")
 
 
 @query("d2_database_comment", "SELECT 'orders of the shop' AS comment, count(*) AS orders FROM orders")
@@ -119,7 +120,8 @@ def list_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog.create_table(spark, f"{database}.part", plain(parts.schema))
         append(parts, f"{database}.part")
         listed = catalog.list_databases(spark).agg(F.bool_or(F.col("namespace") == database).alias("listed"))
-        return settle(listed.crossJoin(reports.total_rows(spark.table(f"{database}.part"), "parts")), "d15")
+        counted = reports.total_rows(spark.table(f"{database}.part"), "parts")
+        return settle(counted.select(listed.scalar().alias("listed"), "parts"), "d15")
 
 
 # Tables

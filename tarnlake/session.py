@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import SparkSession
 
@@ -41,17 +42,32 @@ def shuffle_settings(shuffle_bytes: int, cores: int, partition_bytes: int = 256
     }
 
 
+_locks: dict[str, threading.RLock] = {}
+
+
 @contextmanager
 def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """Set SQL settings for the actions run inside the block, then put the old ones back."""
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+    """Set SQL settings for the actions run inside the block, then put the old ones back.
+
+    Settings belong to the session, so threads that share one wait for each other here: a setting put
+    back too early would change what the other thread writes. Threads with a session of their own
+    (``spark.newSession()``) run side by side.
+    """
+    with _locks.setdefault(spark._jsparkSession.sessionUUID(), threading.RLock()):
+        before = {key: spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)
+
+
+def adaptive(spark: SparkSession) -> AbstractContextManager[None]:
+    """Adaptive execution on inside the block; nothing to do, and nothing to wait for, where it is."""
+    key = "spark.sql.adaptive.enabled"
+    return nullcontext() if spark.conf.get(key) == "true" else session_conf(spark, {key: "true"})

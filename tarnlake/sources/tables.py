@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.session import session_conf
+from tarnlake.session import adaptive, session_conf
 from tarnlake.sources.catalog import identifier, point_table, text_literal
 
-ADAPTIVE = {"spark.sql.adaptive.enabled": "true"}
 DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
 
@@ -45,7 +44,7 @@ def append(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Add rows by position, like INSERT INTO. Running it twice adds them twice."""
     spark = df.sparkSession
     rows = df.toDF(*spark.table(table).columns)
-    with session_conf(spark, ADAPTIVE):
+    with adaptive(spark):
         spread(rows, _partition_columns(spark, table), clustered).write.insertInto(table)
 
 
@@ -67,7 +66,7 @@ def write_files(
     **options: str,
 ) -> None:
     """Write files, in ``column=value`` folders where ``partition_by`` is given."""
-    with session_conf(df.sparkSession, ADAPTIVE):
+    with adaptive(df.sparkSession):
         writer = spread(df, partition_by, clustered).write.format(fmt).mode(mode)
         writer = writer.option("compression", compression).options(**options)
         (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
@@ -114,7 +113,7 @@ def replace_partitions(df: DataFrame, table: str, clustered: bool = False) -> No
     if not keys:
         raise ValueError(f"{table} is not partitioned; use replace_table")
     rows = df.select(*[f"`{c}`" for c in spark.table(table).columns])
-    with session_conf(spark, {**ADAPTIVE, **DYNAMIC}):
+    with adaptive(spark), session_conf(spark, DYNAMIC):
         spread(rows, keys, clustered).write.mode("overwrite").insertInto(table)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pyarrow.parquet as pq
@@ -451,6 +452,24 @@ def test_session_conf_is_put_back(spark):
     assert spark.conf.get(key) == before
 
 
+def test_threads_that_share_a_session_do_not_undo_each_other(spark, database):
+    """A replace that runs while another ends must still leave the other partitions alone."""
+    many = spark.range(0, 2000, 1, 4).selectExpr("int(id) AS id", "'x' AS v", "concat('2024-01-0', id % 5 + 1) AS dt")
+    names = [f"{database[0]}.t{i}" for i in range(4)]
+    for name in names:
+        catalog.create_table(spark, name, SCHEMA, partition_by=["dt"])
+        tables.append(many, name)
+
+    def replace(name):
+        for day in ("2024-01-01", "2024-01-02"):
+            tables.replace_partitions(many.filter(F.col("dt") == day), name)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(replace, names))
+    assert [spark.table(name).count() for name in names] == [2000] * 4
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
 def test_shuffle_settings():
     found = shuffle_settings(shuffle_bytes=100 << 40, cores=8000)
     assert found["spark.sql.shuffle.partitions"] == "409600"
