@@ -75,6 +75,41 @@ def test_orphans_against_brute_force(spark, child, parent):
     assert Counter(r[0] for r in rows(orphan_rows(child_df, parent_df, "k", "id"))) == expected
 
 
+@FEW
+@given(TABLES)
+def test_domain_audit_against_brute_force(spark, table):
+    allowed = {"k": [0, 3], "p": ["x"], "q": ["x", "y"]}
+    expected = Counter()
+    for row in table:
+        for (name, values), value in zip(allowed.items(), row, strict=True):
+            if value not in values:
+                expected[name, None if value is None else str(value)] += 1
+    found = rows(domain_audit(spark.createDataFrame(table, SCHEMA), allowed))
+    assert {(name, value): n for name, value, n in found} == dict(expected) and len(found) == len(expected)
+
+
+@FEW
+@given(TABLES)
+def test_duplicate_keys_against_brute_force(spark, table):
+    expected = {key: n for key, n in Counter((k, p) for k, p, _ in table).items() if n > 1}
+    found = rows(duplicate_keys(spark.createDataFrame(table, SCHEMA), ["k", "p"]))
+    assert {(k, p): n for k, p, n in found} == expected and len(found) == len(expected)
+
+
+AMOUNTS = st.one_of(st.none(), st.integers(-3, 3).map(float))
+
+
+@FEW
+@given(st.lists(st.tuples(AMOUNTS, AMOUNTS), max_size=12))
+def test_formula_audit_against_brute_force(spark, pairs):
+    def off(a, b):
+        return (a is None) != (b is None) or (a is not None and abs(a - b) > 1.5)
+
+    df = spark.createDataFrame(pairs, "a double, b double")
+    found = rows(formula_audit(df, F.col("a"), F.col("b"), 1.5).select("a", "b"))
+    assert Counter(found) == Counter(p for p in pairs if off(*p))
+
+
 def test_table_diff_widens_types_and_ignores_column_order(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([("x", 1)], "v string, k bigint")

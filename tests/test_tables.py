@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tarnlake.operators import compact, compact_partitions, file_inventory, sync
 from tarnlake.operators.sync import sync_partitions
+from tarnlake.plans import reports
 from tarnlake.session import session_conf, shuffle_settings
 from tarnlake.sources import catalog, scratch, tables
 
@@ -216,6 +217,28 @@ def test_replace_partitions_leaves_the_others(spark, database, data):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
+def test_replace_partitions_with_nothing_changes_nothing(spark, database, data):
+    table = f"{database[0]}.t"
+    catalog.create_table(spark, table, SCHEMA, partition_by=["dt"])
+    tables.append(data, table)
+    tables.replace_partitions(data.limit(0), table)
+    assert table_rows(spark, table) == sorted(DATA, key=str)
+
+
+def test_a_partition_without_rows(spark, database):
+    """It is listed, but it is no group, and it does not use up one of the first days."""
+    table = f"{database[0]}.t"
+    schema = T.StructType([T.StructField("amount", T.DoubleType()), SCHEMA["dt"]])
+    catalog.create_table(spark, table, schema, partition_by=["dt"])
+    days = [(1.5, "2024-01-02"), (2.5, "2024-01-03"), (3.5, "2024-01-04")]
+    tables.append(spark.createDataFrame(days, schema), table)
+    spark.sql(f"ALTER TABLE {table} ADD PARTITION (dt='2024-01-01')")
+    assert catalog.list_partitions(spark, table).count() == 4
+    found = reports.first_days(spark.table(table), "dt", "amount", days=2, stored_by_day=True)
+    assert rows(found) == [("2024-01-02", 1, 1.5), ("2024-01-03", 1, 2.5)]
+    assert {r.dt for r in file_inventory(spark.table(table), ["dt"]).collect()} == {d for _, d in days}
+
+
 def test_replace_partitions_needs_partitions(spark, database, data):
     table = f"{database[0]}.t"
     catalog.create_table(spark, table, SCHEMA)
