@@ -27,7 +27,8 @@ from tarnlake.sources.scratch import settle
     "r5_row_count_audit",
     """
     SELECT e.tbl, e.expected, a.cnt AS actual, e.expected = a.cnt AS ok
-    FROM (VALUES ('region', cast(5 AS bigint)), ('nation', 26), ('orders', 15000), ('lineitem', 60000)) AS e(tbl, expected)
+    FROM (VALUES ('region', cast(5 AS bigint)), ('nation', 26), ('orders', 15000), ('lineitem', 60000))
+         AS e(tbl, expected)
     JOIN (SELECT 'region' AS tbl, count(*) AS cnt FROM region UNION ALL SELECT 'nation', count(*) FROM nation
           UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem) a
       ON a.tbl = e.tbl
@@ -193,7 +194,8 @@ def duplicate_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                  o_orderdate, o_orderpriority
           FROM orders WHERE o_orderstatus <> 'O')
     SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
-           CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b' ELSE 'changed' END AS side
+           CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b'
+                ELSE 'changed' END AS side
     FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
     WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice
     """,
@@ -214,7 +216,8 @@ def diff_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
                       CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE l_tax END AS l_tax,
                       l_returnflag, l_linestatus, l_shipdate FROM lineitem),
-    off AS ((SELECT * FROM lineitem EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM lineitem))
+    off AS ((SELECT * FROM lineitem EXCEPT ALL SELECT * FROM b)
+            UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM lineitem))
     SELECT DISTINCT l_orderkey, l_linenumber, 'changed' AS side FROM off
     """,
 )
@@ -227,7 +230,10 @@ def diff_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "r14_typed_text_dates",
-    "SELECT try_cast(concat('2024-02-', lpad(cast(p_size AS varchar), 2, '0')) AS date) AS d, count(*) AS n FROM part GROUP BY 1",
+    """
+    SELECT try_cast(concat('2024-02-', lpad(cast(p_size AS varchar), 2, '0')) AS date) AS d, count(*) AS n
+    FROM part GROUP BY 1
+    """,
 )
 def typed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes 1 to 50 read as days of February; those past its end become NULL."""

@@ -65,7 +65,8 @@ def create_database_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog.create_database(spark, database)
         catalog.create_table(spark, f"{database}.customer", plain(customers.schema))
         append(customers, f"{database}.customer")
-        named = catalog.list_databases(spark).filter(F.col("namespace") == database).agg(row_count().cast("int").alias("databases"))
+        named = catalog.list_databases(spark).filter(F.col("namespace") == database)
+        named = named.agg(row_count().cast("int").alias("databases"))
         loaded = spark.table(f"{database}.customer").agg(row_count().alias("customers"))
         return settle(loaded.select(named.scalar().alias("databases"), "customers"), "d1")
 
@@ -77,7 +78,8 @@ def database_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog.create_table(spark, f"{database}.orders", plain(orders.schema))
         append(orders, f"{database}.orders")
         comment = F.lit(spark.catalog.getDatabase(database).description).alias("comment")
-        return settle(spark.table(f"{database}.orders").agg(row_count().alias("orders")).select(comment, "orders"), "d2")
+        counted = reports.total_rows(spark.table(f"{database}.orders"), "orders")
+        return settle(counted.select(comment, "orders"), "d2")
 
 
 @query("d3_use_database", "SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY o_orderstatus")
@@ -298,7 +300,10 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return settle(listing.join(counts, listing.table_name == counts.tbl).select("table_name", "cnt"), "w7")
 
 
-@query("w6_partitions", "SELECT DISTINCT concat('dt=', cast(cast(ts AS date) AS varchar)) AS partition_spec FROM events")
+@query(
+    "w6_partitions",
+    "SELECT DISTINCT concat('dt=', cast(cast(ts AS date) AS varchar)) AS partition_spec FROM events",
+)
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = dated_events(spark, sf_dir)
     with catalog.temporary_database(spark, "w6") as (database, _):
@@ -310,7 +315,10 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d17_partitions_with_rows",
-    "SELECT concat('dt=', substr(cast(o_orderdate AS varchar), 1, 7)) AS partition_spec, count(*) AS cnt FROM orders GROUP BY 1",
+    """
+    SELECT concat('dt=', substr(cast(o_orderdate AS varchar), 1, 7)) AS partition_spec, count(*) AS cnt
+    FROM orders GROUP BY 1
+    """,
 )
 def partitions_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = dated_orders(spark, sf_dir)
@@ -320,7 +328,8 @@ def partitions_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = plain(orders.schema)
         catalog.point_table(spark, table, schema, f"{folder}/files", "parquet", ["dt"])
         listing = catalog.list_partitions(spark, table).select(F.col("partition").alias("partition_spec"))
-        counts = spark.table(table).groupBy(F.concat(F.lit("dt="), "dt").alias("partition_spec")).agg(row_count().alias("cnt"))
+        months = spark.table(table).groupBy(F.concat(F.lit("dt="), "dt").alias("partition_spec"))
+        counts = months.agg(row_count().alias("cnt"))
         return settle(listing.join(counts, "partition_spec"), "d17")
 
 
