@@ -25,16 +25,16 @@ def filled(text: pa.Array) -> pa.Array:
     return text.cast(pa.large_string()).fill_null("")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``SLICE_BYTES`` of text, a longer text alone in its slice."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of text, a longer text alone in its slice."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        offsets = filled(batch.column(column))
+        offsets = filled(batch.column("text"))
         sizes = pa.compute.binary_length(offsets).to_numpy(zero_copy_only=False)
         first, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += int(size)
