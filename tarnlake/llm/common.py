@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +45,23 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
 def text_key(text: str = "text") -> Column:
     """With the document's id this names a row: rows that agree in both have the same result."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def known_bits(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A packed bit map with the bit ``value mod bits`` set for every value of a long column.
+
+    However many values there are, at most ``bits`` / 32768 rows of 4 KiB reach the driver. Tasks use it to
+    skip most of what a later, exact join would not match; it never decides a result.
+    """
+    bit = F.pmod(F.col(column), F.lit(bits)) + 1  # the functions below count from 1
+    maps = values.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
+    known = np.zeros(bits // 8, np.uint8)
+    for row in maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("held")).collect():
+        held = np.frombuffer(bytes(row["held"]), np.uint8)
+        at = (row["bucket"] - 1) * len(held)
+        known[at : at + len(held)] = held
+    return known
+
+
+def unpacked(known: np.ndarray) -> np.ndarray:
+    return np.unpackbits(known, bitorder="little").astype(bool)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import SPACE, filled, slices, text_key
+from tarnlake.llm.common import SPACE, filled, known_bits, slices, text_key, unpacked
 from tarnlake.llm.words import runs, word_hashes
 from tarnlake.sources.scratch import settle
 
@@ -186,19 +186,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def pattern_occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, total: how often each of the given word pairs occurs in all texts."""
-    bit = F.pmod("pattern", F.lit(BITS)) + 1  # the functions below count from 1
-    maps = patterns.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
-    # At most BITS / 32768 rows of 4 KiB, whatever the number of patterns.
-    held = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    known = np.zeros(BITS, bool)
-    for row in held:
-        bits = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-        at = (row["bucket"] - 1) * len(bits)
-        known[at : at + len(bits)] = bits
-    known = np.packbits(known)
+    known = known_bits(patterns, "pattern", BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(known).astype(bool)
+        wanted = unpacked(known)
         for batch in slices(batches):
             pairs, _ = runs(*word_hashes(filled(batch["text"])), 2)
             found = pairs.view(np.int64)
@@ -206,8 +197,6 @@ def pattern_occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             value, count = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["pattern", "n"])
 
-    if not held:
-        return patterns.select("pattern", F.lit(0).cast("long").alias("total")).limit(0)
     counted = docs.select("text").mapInArrow(rows, "pattern long, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
 
