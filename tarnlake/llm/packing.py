@@ -37,7 +37,7 @@ from tarnlake.sources.scratch import settle
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 600_000
 
 
 class WordEncoder:
@@ -61,13 +61,13 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words; all of them lie one after the other in one array.
 
-        Words are encoded joined by blanks, many in one call; where a token begins says whose it is.
+        Words are encoded joined by blanks, a few thousand in a call; where a token begins says whose it is.
         """
         for word in words:
             self.code[word] = len(self.code)
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         pieces, sizes = [self.ids], []
-        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group in (words[i : i + 2000] for i in range(0, len(words), 2000)):
+            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
             begins = np.cumsum([0] + [len(word) + 1 for word in group])
             at = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
             sizes.append(np.diff(np.searchsorted(at, begins)))
@@ -103,7 +103,7 @@ def token_pieces(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 4 << 20):
             made: dict[str, list] = defaultdict(list)
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(filled(batch["text"]))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
