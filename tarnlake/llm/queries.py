@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import line_dedup, ngram_join, packing, pii, quality, secrets
+from tarnlake.llm import embedding_dedup, line_dedup, ngram_join, packing, pii, quality, secrets
 from tarnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,30 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) d ON d.x = e.vec_id
+JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id
+"""
+
+
+@query("op3_embedding_near_dedup", OP3_SQL)
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_file(name: str) -> str:
     """A public vocabulary's path, from the package that carries it."""
     import public_tokenizers
