@@ -27,6 +27,8 @@ from tarnlake.llm.common import SPACE, SPACE_CLASS
 
 SAMPLE = 20_000
 SYMBOLS = "#*$%&|<>"  # fixed value
+MARKS = r"!?=+@/\\^~_{}\[\]"
+WORD_CLASS = SPACE_CLASS.replace("[", "[^")
 
 #: Statistics that rules may test: shares and means, so that a rule holds for texts of any length.
 FEATURES = {
@@ -35,39 +37,47 @@ FEATURES = {
     "dup_line_share": "n_dup_lines / greatest(n_word_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
-    "digit_share": "n_digits / greatest(word_chars, 1)",
     "mark_share": "n_marks / greatest(n_words, 1)",
     "words": "cast(n_words as double)",
 }
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _without_space(text: Column) -> Column:
+    """``text`` without white space; replacing a plain string is far cheaper than a regular expression."""
+    for character in SPACE:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text.
+def _count(characters: str) -> Column:
+    """How many characters of the text are in a class."""
+    return F.regexp_count("text", F.lit(f"[{characters}]")).cast("long")
+
+
+def with_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and the statistics of every whole text; with ``carry`` also the whole row, as ``__row``.
 
     Repeated windows are found by sorting (hash of three words, position): equal neighbours repeat, and the
     words in repeated windows are counted from the distances between their positions in order. No window is
     compared with all others, however long or repetitive the text is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")] if carry else []
+    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *row)
+    carried = ["doc_id"] + ["__row"] * carry
     split = base.select(
-        "doc_id",
+        *carried,
         "text",
         F.filter(F.split("text", f"{SPACE_CLASS}+"), lambda w: w != "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(WORD_CLASS))).alias("lines"),
     )
     hashed = split.select(
-        "doc_id",
+        *carried,
         F.size("words").cast("long").alias("n_words"),
-        _without(F.col("text"), SPACE).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.length("text") - _without(F.col("text"), "0123456789")).cast("long").alias("n_digits"),
-        (F.length("text") - _without(F.col("text"), "!?=+@/\\^~_{}[]")).cast("long").alias("n_marks"),
-        (F.length("text") - _without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
+        F.length(_without_space(F.col("text"))).cast("long").alias("word_chars"),
+        _count(SYMBOLS).alias("n_symbols"),
+        _count(MARKS).alias("n_marks"),
+        _count("A-Z").alias("n_upper"),
         F.size("lines").cast("long").alias("n_word_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
@@ -78,24 +88,23 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         *rest,
         F.when(
             F.size(hashes) >= 3,
-            F.sort_array(
-                F.transform(
-                    F.slice(hashes, 1, F.size(hashes) - 2),
-                    lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")),
-                )
+            F.transform(
+                F.slice(hashes, 1, F.size(hashes) - 2),
+                lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)),
             ),
         ).alias("windows"),
     )
-    sorted_windows = F.col("windows")
-    repeated = windows.select(
+    sorted_windows = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    # Most texts repeat no window; counting distinct ones is much cheaper than sorting.
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    ranked = windows.select(*rest, F.when(repeats, sorted_windows).alias("ranked"))
+    ranks = F.col("ranked")
+    repeated = ranked.select(
         *rest,
         F.sort_array(
             F.transform(
                 F.filter(
-                    sorted_windows,
-                    lambda w, i: (
-                        (w["h"] == F.get(sorted_windows, i + 1)["h"]) | (w["h"] == F.get(sorted_windows, i - 1)["h"])
-                    ),
+                    ranks, lambda w, i: (w["h"] == F.get(ranks, i + 1)["h"]) | (w["h"] == F.get(ranks, i - 1)["h"])
                 ),
                 lambda w: w["i"],
             )
@@ -236,9 +245,14 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if keep is None else keep.otherwise(True)
 
 
-def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, its statistics, base_failed and kept."""
+def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, its statistics, base_failed and kept (and the row itself)."""
     rules = learn_rules(docs, labels, sample)
     shares = [F.expr(e).cast("double").alias(name) for name, e in FEATURES.items()]
-    scored = with_statistics(docs).select("*", base_failed().alias("base_failed"), *shares)
+    scored = with_statistics(docs, carry).select("*", base_failed().alias("base_failed"), *shares)
     return scored.select("*", (~F.col("base_failed") & verdict(rules)).alias("kept")).drop(*FEATURES)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. No join and no shuffle of texts."""
+    return judged(docs, labels, sample, carry=True).where("kept").select("__row.*")
