@@ -1,10 +1,68 @@
-"""The corpus pipeline: documents through five stages, each a public operator of ``tarnlake.llm``."""
+"""The corpus pipeline: documents through five stages, each by one operator of ``tarnlake.llm``.
+
+Every stage gets what its predecessor kept, as a table with the columns of documents; the last one returns where
+each piece of each document is packed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlake.llm import line_dedup, ngram_join, packing, quality, secrets
+from tarnlake.llm.common import table
+from tarnlake.llm.queries import tokenizer_file
+from tarnlake.sources.scratch import settle
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned list rejects go."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least three documents hold stay in the largest doc_id only."""
+    return line_dedup.without_dropped_lines(docs, line_dedup.keep_bitmaps(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the smallest doc_id stays."""
+    found = ngram_join.similarity_classes(docs)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are replaced by their kind; every document stays."""
+    return secrets.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.packed(packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL can express neither the learned rules nor the packing; tests/llm holds run() against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}
 ORACLES: dict[str, str] = {}

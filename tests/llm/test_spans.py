@@ -1,0 +1,127 @@
+"""Secret scans and PII against plain regular expressions, and what their methods add."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnlake.llm import pii, secrets
+
+from .conftest import documents, prose
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def base_secrets(text: str) -> str:
+    a = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in a.finditer(text) if len(m.group(2)) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def base_pii(text: str) -> list[tuple[int, int, int]]:
+    if len(text) > 1000 and len(set(text)) == 1:
+        return []  # the rules as they stand would take a quadratic time
+    rules = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+    found = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            keep = (
+                True,
+                all(int(p) <= 255 for p in m.group().split(".")) if k == 1 else True,
+                16 <= len(digits) <= 19 and luhn(digits) if k == 2 else True,
+                8 <= len(digits) <= 15,
+            )[k]
+            if keep:
+                found.append((k, *m.span()))
+    return found
+
+
+SECRETS = st.text(alphabet=list("aAbfKIſkeyopsrdwtn09=:\"'_-. AKIA\n") , max_size=60)
+PIECES = st.sampled_from(["password", "ApI_key", "token", "=", ": ", '"', "AKIA", "ABCDEF0123456789", "0a1b2c3d4e5f6789", "x", " ", "é", "\n"])
+PARTS = st.lists(
+    st.sampled_from(["1.2.3.4", "256.1.1.1", ".", "5", "4111 1111 1111 1111", "41111111111111111", "a.b@c.d", "_x@y.z.w", "@", "+1 (234) 555-6789", "+", " ", "-", "é", "(", "12345678", "0", "00012"]),
+    max_size=12,
+).map("".join)
+
+
+@given(st.one_of(SECRETS, st.lists(PIECES, max_size=14).map("".join)))
+@settings(max_examples=400, deadline=None)
+def test_strong_secrets_are_those_of_the_rules(text):
+    assert secrets.listed(secrets.strong_spans(text)) == base_secrets(text)
+
+
+@given(PARTS)
+@settings(max_examples=600, deadline=None)
+def test_seeds_are_those_of_the_rules(text):
+    assert pii.seed_spans(text) == base_pii(text)
+
+
+def test_secret_query_on_edge_cases(spark, edge, edge_rows, empty):
+    found = secrets.secret_spans(edge).select("doc_id", "base_sha256").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, found), key=key) == sorted([(d, sha(base_secrets(t or ""))) for d, t in edge_rows], key=key)
+    assert secrets.secret_spans(empty).count() == 0
+
+
+def test_weak_parts_need_a_part_that_completes_them(spark):
+    opaque = "Zx81Qp" * 5
+    texts = [
+        (1, f"user: alice and {opaque}"),
+        (2, f"alice and {opaque}"),  # nothing completes it
+        (3, f"user: alice {'word ' * 100} {opaque}"),  # out of reach
+        (4, f"user: alice\n\n{opaque}"),  # another scope
+        (5, f"https://host.example/x {opaque}"),
+        (6, "user: alice and db.example.com:5432"),  # no secret
+        (7, "login=bob password=0123456789abcdef"),
+        (8, "db.internal.example:5432 token: abcdefghijkl"),
+    ]
+    docs = documents(spark, texts)
+    found = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in secrets.secret_spans(docs).collect()}
+    assert found == {
+        1: ["user", "opaque"], 2: [], 3: [], 4: [], 5: ["endpoint", "opaque"], 6: [],
+        7: ["user", "assign", "hex"], 8: ["endpoint", "assign"],
+    }
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert clean[1] == "user: [user] and [opaque]" and clean[2] == texts[1][1]
+    assert clean[7] == "login=[user] [assign]"
+    assert secrets.redacted(docs).columns == docs.columns
+
+
+def test_pii_query_on_edge_cases(spark, edge, edge_rows, empty):
+    found = pii.entity_spans(edge).select("doc_id", "base_sha256", "n_ip").collect()
+    expected = []
+    for d, t in edge_rows:
+        spans = base_pii(t or "")
+        expected.append((d, sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)), sum(k == 1 for k, _, _ in spans)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
+    assert pii.entity_spans(empty).count() == 0
+
+
+def test_patterns_learned_from_seeds_find_identifiers_without_a_rule(spark):
+    rows = [(i, f"{prose(i, 20)} please call +1 (234) 555-{1000 + i} {prose(i + 50, 5)}") for i in range(12)]
+    rows += [(100, f"{prose(60, 9)} please call 0171-2345678 {prose(61, 4)}"), (101, f"{prose(62, 9)} order 99887766 shipped")]
+    found = {r["doc_id"]: r["spans"] for r in pii.entity_spans(documents(spark, rows)).collect()}
+    text = dict(rows)[100]
+    start = text.index("0171")
+    assert found[100] == f"id:{start}:{start + len('0171-2345678')}"
+    assert found[101] == ""
+    assert found[3].startswith("phone:") and "id:" not in found[3]
