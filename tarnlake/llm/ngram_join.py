@@ -11,8 +11,8 @@ members only where its overlap with the union allows a link.
    Two sets that link share a token of their prefixes. The order puts tokens in frequent buckets of a sketch
    over all documents last, so passages that many documents share stay out of prefixes. Tokens of one
    set alone go first; what is left are rows (token, group).
-4. A document of the smaller group becomes a query for every other group with which it shares a prefix token.
-   Members are streamed first and make the union, then the queries: one whose overlap with the union is
+4. A document of the smaller group becomes a query for every other group with which it shares prefix tokens,
+   if they are enough to bound the overlap from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
    below 0.8 of its own size is done; the others are compared with the members exactly. Groups are
    dealt out in chunks of ``CHUNK`` members and ``QUERIES_AT_ONCE`` queries, so no task gets a whole hot group.
 5. A link per query and chunk is enough, since a group hangs together already; components give the rest.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import filled, known_bits, slices, unpacked
@@ -251,6 +251,24 @@ def _prefix_tokens(known: np.ndarray | None):
     return rows
 
 
+def _least_shared(percent: int) -> Column:
+    """How many prefix tokens a query of ``n`` tokens must share with a group of sizes ``g_low`` to ``g_high``.
+
+    A link to a set of y tokens needs an overlap of percent / (100 + percent) of n + y. Whichever of the two
+    prefixes ends first in the order, common tokens behind its end are less than percent of that set; all others
+    are in both prefixes. So the overlap less percent of the larger set has to be shared there. As a function
+    of y this is least at an end of the sizes that can link; a group without such a size shares nothing.
+    """
+    low = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
+    high = F.least(F.col("g_high"), F.floor(F.col("n") * 100 / percent))
+
+    def need(y: Column) -> Column:
+        overlap = F.ceil((F.col("n") + y) * percent / (100 + percent) - 1e-6)
+        return overlap - F.ceil(F.greatest(F.col("n"), y) * percent / 100)
+
+    return F.when(low <= high, F.least(need(low), need(high)))
+
+
 def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     signed = settle(signatures(docs, frequency_classes(docs, words), words, percent), "signatures")
@@ -273,18 +291,23 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tokens = marks.mapInArrow(_prefix_tokens(None), "token long, mark long")
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
     known = known_bits(shared, "token", BITS)
-    rows = real.select("prefix", "doc_id").mapInArrow(_prefix_tokens(known), "token long, doc_id long")
+    rows = real.select("prefix", "doc_id", "n").mapInArrow(_prefix_tokens(known), "token long, doc_id long, n long")
     labels = reps.select("doc_id").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labels = settle(labels.select("doc_id", F.coalesce("component", "doc_id").alias("grp")), "groups")
     matrix = settle(rows.join(labels, "doc_id"), "matrix")
     mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id"), "matrix")
+    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "n"), "matrix")
 
-    sizes = labels.groupBy("grp").agg(F.count("*").alias("size"))
+    sizes = reps.join(labels, "doc_id").groupBy("grp").agg(
+        F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
     matrix = matrix.join(sizes, "grp")
-    of_group = matrix.select("token", F.col("grp").alias("g"), F.col("size").alias("g_size")).distinct()
+    of_group = matrix.select(
+        "token", F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("low").alias("g_low"), F.col("high").alias("g_high")
+    ).distinct()
     smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
-    asked = matrix.join(of_group, "token").where(smaller).select(F.col("g").alias("grp"), "doc_id").distinct()
+    met = matrix.join(of_group, "token").where(smaller).groupBy("g", "doc_id", "n", "g_low", "g_high").agg(F.count("*").alias("shared"))
+    asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id").distinct()
     asked = settle(asked, "queries")
     opened = labels.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "doc_id")
     wanted = asked.select("doc_id").union(opened.select("doc_id"))
