@@ -46,8 +46,7 @@ def test_plans_use_every_piece_once(counts):
         for length in lengths:
             used[length] += times
     assert used == Counter({k: v for k, v in counts.items() if v})
-    total = sum(k * v for k, v in counts.items())
-    assert sum(times for _, times in ways) <= max(1, -(-total * 3 // (50 * 2))) + 1  # never worse than first fit
+    assert sum(times for lengths, times in ways if 2 * sum(lengths) <= 50) <= 1  # two of them would fit together
 
 
 def test_exact_complements_are_found():
@@ -86,7 +85,7 @@ def test_packed_pieces_on_edge_cases(spark, edge, edge_rows, empty):
 
 def lattice(text: str) -> tuple[float, list[int]]:
     """The best path over the whole text at once."""
-    marked = [pieces.BLANK if c == " " else "\0" if c == pieces.BLANK else c for c in " " + text]
+    marked = [pieces.BLANK if c == " " else "no piece" if c == pieces.BLANK else c for c in " " + text]
     best, back = [0.0] + [float("-inf")] * len(marked), [None] * (len(marked) + 1)
     for end in range(1, len(marked) + 1):
         for start in range(max(0, end - PIECES.longest), end):
@@ -94,7 +93,7 @@ def lattice(text: str) -> tuple[float, list[int]]:
             if found and best[start] + found[0] > best[end]:
                 best[end], back[end] = best[start] + found[0], (start, [found[1]])
         if back[end] is None:
-            c = pieces.BLANK if marked[end - 1] == "\0" else marked[end - 1]
+            c = pieces.BLANK if marked[end - 1] == "no piece" else marked[end - 1]
             best[end] = best[end - 1] + PIECES.byte_score
             back[end] = (end - 1, [PIECES.byte_ids[b] for b in c.encode()])
     ids, at = [], len(marked)
@@ -113,7 +112,8 @@ def test_streamed_ids_are_those_of_the_whole_lattice(text):
     ids = PIECES.encode(text)
     assert ids == (lattice(text)[1] if text else [])
     assert PIECES.decode(ids) == text
-    assert [i for part in PIECES.stream(" " + text) for i in part] == (ids or PIECES.encode(" ")[:1])
+    if text:
+        assert [i for part in PIECES.stream(" " + text) for i in part] == ids
 
 
 def test_the_stream_commits_as_it_goes():
