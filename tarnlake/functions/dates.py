@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Only zero-padded text sorts in time order, so only zero-padded text counts as well formed.
+# One set of forms for all of the library: a day, or a day and a time after a blank or T, with any number of
+# decimals of a second up to nine; months, days and hours may come without their zero.
+_FORM = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?)?$"
+# Only zero-padded text sorts in time order, so ``typed`` counts only zero-padded text as well formed.
 _SHAPES = {
     "date": r"^\d{4}-\d{2}-\d{2}$",
-    "timestamp": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "timestamp": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,9})?$",
 }
 _TARGETS = {"date": "date", "timestamp": "timestamp_ntz"}
 
 
 def day_text(df: DataFrame, column: str) -> Column:
     """The day of a date, a timestamp or a timestamp text as 'YYYY-MM-DD'; NULL for malformed text."""
-    value = F.col(f"`{column}`")
-    if isinstance(df.schema[column].dataType, T.StringType):
-        value = value.try_cast("timestamp_ntz")
-    return value.cast("date").cast("string")
+    return event_time(df, column).cast("date").cast("string")
 
 
 def event_time(df: DataFrame, column: str) -> Column:
-    """A time column as it is, or well-formed time text as TIMESTAMP_NTZ."""
+    """A time column as it is, or time text in one of the forms above as TIMESTAMP_NTZ; NULL for other text."""
+    value = F.col(f"`{column}`")
     if isinstance(df.schema[column].dataType, T.StringType):
-        return _parsed(column, "timestamp")
-    return F.col(f"`{column}`")
+        return F.when(value.rlike(_FORM), value.try_cast("timestamp_ntz"))
+    return value
 
 
 def _parsed(column: str, kind: str) -> Column:

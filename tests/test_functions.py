@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnlake.functions import day_text, money_avg, money_sum, row_hash, typed, typed_report
+from tarnlake.functions import day_text, event_time, money_avg, money_sum, row_hash, typed, typed_report
 
 FEW = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -119,3 +119,45 @@ def test_day_text_of_every_kind(spark):
     )
     found = df.select(*[day_text(df, c).alias(c) for c in df.columns])
     assert rows(found) == [("2024-01-05", "2024-01-05", "2024-01-05", None)]
+
+
+def test_money_sum_loses_nothing(spark):
+    small = spark.range(0, 100_000, 1, 8)
+    found = small.agg(
+        money_sum(F.lit(0.00004)).alias("a"), money_sum(F.lit(0.00006)).alias("b"), money_avg(F.lit(0.00006)).alias("c")
+    ).first()
+    assert found.a == pytest.approx(4.0, rel=1e-12) and found.b == pytest.approx(6.0, rel=1e-12)
+    assert found.c == pytest.approx(0.00006, rel=1e-12)
+
+
+@FEW
+@given(st.lists(st.one_of(st.integers(-(10**9), 10**9), st.integers(-(10**17), 10**17)), min_size=1, max_size=30), st.randoms())
+def test_money_sum_of_amounts_on_both_sides_of_the_unit_limit(spark, amounts, shuffled):
+    """2^50 units of four decimals are 1.1e11; whole amounts far above it still add up exactly."""
+    values = [float(a) for a in amounts]
+    expected = float(sum(int(v) for v in values))
+    assert _sum(spark, values) == expected
+    shuffled.shuffle(values)
+    assert _sum(spark, values) == expected
+
+
+def test_equal_maps_hash_alike_in_any_order(spark):
+    df = spark.sql(
+        """SELECT map('a', 1, 'b', 2) AS m, array(named_struct('x', map(1, map('p', 1, 'q', 2)))) AS d
+           UNION ALL SELECT map('b', 2, 'a', 1), array(named_struct('x', map(1, map('q', 2, 'p', 1))))
+           UNION ALL SELECT map('a', 2, 'b', 1), array(named_struct('x', map(1, map('p', 2, 'q', 1))))
+           UNION ALL SELECT NULL, NULL UNION ALL SELECT map(), array()"""
+    )
+    found = [tuple(r) for r in df.select(row_hash(df, ["m"]), row_hash(df, ["d"])).collect()]
+    assert found[0] == found[1] and len(set(found)) == 4
+
+
+def test_one_set_of_forms_for_times(spark):
+    texts = ["2024-01-05 03:00:00", "2024-1-5 03:00:00", "2024-01-05T03:00:00", "2024-01-05 03:00:00.125", "2024-01-05"]
+    bad = ["2024-13-01 00:00:00", "soon", "", "2024-01-05 03:00", None, "20240105"]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "ts string")
+    found = [tuple(r) for r in df.select(event_time(df, "ts"), day_text(df, "ts")).collect()]
+    assert all(time is not None and day == "2024-01-05" for time, day in found[: len(texts)])
+    assert all(row == (None, None) for row in found[len(texts) :])
+    report = typed_report(df, {"ts": "timestamp"}).first()
+    assert (report.filled, report.bad) == (10, 8)  # strict: unpadded text, T and bare days are not well formed
