@@ -49,30 +49,37 @@ def partition_inventory(df: DataFrame, by: str, time: str) -> DataFrame:
 def domain_audit(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
     """column, value, n for values outside the allowed lists; NULL is outside every list.
 
-    All columns are checked in one pass and only values outside leave the scan stage.
+    The scan is filtered with the columns' own types, so the test reaches the files; the rows outside are grouped
+    by the audited columns, and only those groups are taken apart into one row per column outside.
     """
-    texts = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in allowed])
-    inside = F.lit(False)
+    outside = {}
     for name, values in allowed.items():
-        kind = df.schema[name].dataType
-        listed = [F.lit(value).cast(kind).cast("string") for value in values]
-        inside |= (F.col("column") == name) & F.col("value").isNotNull() & F.col("value").isin(listed)
-    return (
-        texts.unpivot([], list(allowed), "column", "value")
-        .filter(~inside)
-        .groupBy("column", "value")
-        .agg(row_count().alias("n"))
+        column = F.col(f"`{name}`")
+        listed = [F.lit(value).cast(df.schema[name].dataType) for value in values]
+        outside[name] = column.isNull() | ~column.isin(listed)
+    groups = (
+        df.filter(reduce(Column.__or__, outside.values()))
+        .groupBy(*[f"`{name}`" for name in allowed])
+        .agg(row_count().alias("_n"))
     )
+    found = [
+        F.when(off, F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").cast("string").alias("value")))
+        for name, off in outside.items()
+    ]
+    pairs = groups.select("_n", F.inline(F.array_compact(F.array(*found))))
+    return pairs.groupBy("column", "value").agg(F.sum("_n").alias("n"))
 
 
 def formula_audit(df: DataFrame, lhs: Column, rhs: Column, tolerance: float) -> DataFrame:
     """Rows where the two sides differ by more than ``tolerance``, with recorded, computed, diff.
 
-    A NULL on one side only is a difference; NULL on both is not.
+    A NULL on one side only is a difference; NULL on both is not. The difference is compared in billionths, so
+    that a tolerance of 0.01 allows 100.03 against 100.02, whose double difference is slightly more.
     """
     sides = df.withColumns({"recorded": lhs, "computed": rhs})
     diff = F.col("recorded") - F.col("computed")
-    off = ~F.col("recorded").eqNullSafe(F.col("computed")) & F.coalesce(F.abs(diff) > tolerance, F.lit(True))
+    over = F.rint(F.abs(diff) * 1e9) > F.lit(float(round(tolerance * 1e9)))
+    off = ~F.col("recorded").eqNullSafe(F.col("computed")) & F.coalesce(over, F.lit(True))
     return sides.filter(off).withColumn("diff", diff)
 
 

@@ -81,6 +81,16 @@ def grouped_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_suppkey").agg(money_sum("l_extendedprice").alias("sum_price"))
 
 
+@query(
+    "g4_grouped_sum_small_amounts",
+    "SELECT l_suppkey, sum(l_quantity) / 1048576 AS sum_small FROM lineitem GROUP BY l_suppkey",
+)
+def grouped_sum_of_small_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts far below a unit of four decimals, down to a millionth."""
+    small = (F.col("l_quantity") / F.lit(1048576.0)).alias("small")
+    return read(spark, sf_dir, "lineitem").select("l_suppkey", small).groupBy("l_suppkey").agg(money_sum("small").alias("sum_small"))
+
+
 @query("g5_group_by_data_column", "SELECT event_type, count(*) AS cnt FROM events GROUP BY event_type")
 def group_by_data_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(row_count().alias("cnt"))

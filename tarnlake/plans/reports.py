@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,16 +24,29 @@ def headcount_and_mean(df: DataFrame, group: str, amount: str, mean_name: str) -
     )
 
 
-def first_days(df: DataFrame, day: str, amount: str, days: int = 10, stored_by_day: bool = False) -> DataFrame:
-    """Orders and gross merchandise value of the first days.
+def first_days_stored(spark: SparkSession, table: str, day: str, amount: str, days: int = 10) -> DataFrame:
+    """``first_days`` of a catalog table partitioned by the text column ``day`` alone.
 
-    On a table partitioned by ``day`` set ``stored_by_day``: the first days are then found from the
-    partition values of its files and only their folders are read.
+    The first days come from the catalog's list of partitions, so no file is opened to find them, and only their
+    folders are read. Partitions without rows are passed over: as long as too few of the listed ones hold rows
+    (which the footers of those few tell), twice as many are taken.
     """
-    if stored_by_day:
-        first = df.select(day).distinct().orderBy(day).limit(days)
-        last = first.agg(F.max(day)).scalar()
-        df = df.filter(F.col(day).isNull() | (F.col(day) <= last))
+    listed = sorted(catalog.partition_values(spark, table, day), key=lambda value: (value is not None, value))
+    taken = days
+    while True:
+        stored = spark.table(table).filter(_is_one_of(day, listed[:taken]))
+        if taken >= len(listed) or stored.select(day).distinct().count() >= days:
+            return first_days(stored, day, amount, days)
+        taken *= 2
+
+
+def _is_one_of(column: str, values: Sequence[str | None]) -> Column:
+    named = F.col(column).isin([value for value in values if value is not None])
+    return F.col(column).isNull() | named if None in values else named
+
+
+def first_days(df: DataFrame, day: str, amount: str, days: int = 10) -> DataFrame:
+    """Orders and gross merchandise value of the first days."""
     return (
         df.groupBy(day)
         .agg(row_count().alias("orders"), F.round(money_sum(amount), 2).alias("gmv"))
