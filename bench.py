@@ -25,6 +25,7 @@ HEADLINE = [
     "w3_table_counts",
     "w4_total",
     "g4_grouped_sum",
+    "o1_sort_ascending",
     "o2_sort_by_rounded_alias",
     "u1_bag_union",
     "p1_all_columns",
@@ -32,6 +33,8 @@ HEADLINE = [
     "s4_parquet_roundtrip",
     "s5_partitioned_roundtrip",
     "s6_orc_roundtrip",
+    "g6_group_by_partition_column",
+    "w2_monthly_gmv_first10_stored",
     "w5_smoke_round_trip",
     "w6_partitions",
     "s2_append_twice",
@@ -46,6 +49,7 @@ HEADLINE = [
     "r7_domain_violations",
     "r7_domain_violations_many_columns",
     "r8_formula_violation_count",
+    "r8_formula_violations",
     "r9_orphan_keys",
     "r9_orphan_rows",
     "r10_partition_key_audit",

@@ -3,66 +3,115 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.counts import row_count
 from tarnlake.operators.compare import compare_groups
 from tarnlake.operators.sync import rows_of_partitions
-from tarnlake.session import adaptive, session_conf
-from tarnlake.sources.catalog import move_partition, table_facts
+from tarnlake.session import ADAPTIVE, under
+from tarnlake.sources.catalog import NULL_PARTITION, move_partition, partition_columns, table_facts
 from tarnlake.sources.scratch import settle
 from tarnlake.sources.tables import read_files, write_files
 
 TARGET_BYTES = 512 << 20
 
 
-def file_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """files, bytes and rows per partition, counted by the tasks that open the files."""
-    files = (
-        df.select(*by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        .groupBy(*by, "file")
-        .agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    )
-    return files.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum("n").alias("rows")
+def _listing(df: DataFrame, levels: int) -> DataFrame:
+    """folder (its last ``levels`` names), parent, job (of the writer) and size of every file that ``df`` reads.
+
+    Sizes come from a listing of the folders the files are in; no file is opened.
+    """
+    spark = df.sparkSession
+    # File names come as URIs; a folder's name holds no pattern characters once that encoding is off.
+    folders = sorted({unquote(name).rsplit("/", 1)[0] for name in df.inputFiles()})
+    path = F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")
+    before = F.size(path) - 1 - levels
+    return spark.read.format("binaryFile").load(folders).select(
+        F.array_join(F.slice(path, before + 1, F.lit(levels)), "/").alias("folder") if levels else F.lit("").alias("folder"),
+        F.array_join(F.slice(path, F.lit(1), before), "/").alias("parent"),
+        F.regexp_extract(F.element_at(path, -1), r"([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})", 1).alias("job"),
+        F.col("length").alias("size"),
     )
 
 
+def _value(column: str, at: int):
+    """A partition value from the folder's name, unescaped as Spark escapes it."""
+    text = F.regexp_replace(F.element_at(F.split("folder", "/"), at + 1), "^[^=]*=", "")
+    return F.when(text != NULL_PARTITION, F.url_decode(F.regexp_replace(text, r"\+", "%2B"))).alias(column)
+
+
+def file_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """files, bytes and rows per partition; rows are counted from the footers, files from a listing."""
+    files = _listing(df, len(by)).groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    values = [_value(c, i).cast(df.schema[c].dataType).alias(c) for i, c in enumerate(by)]
+    files = files.select(*values, "files", "bytes")
+    if not by:
+        return files.crossJoin(df.agg(row_count().alias("rows")))  # one row by one row
+    counted = df.groupBy(*by).agg(row_count().alias("rows")).toDF(*[f"_{i}" for i in range(len(by))], "rows")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}"))
+    return files.join(counted, same).select(*by, "files", "bytes", "rows")
+
+
 def compact(df: DataFrame, path: str, by: Sequence[str] = (), target_bytes: int = TARGET_BYTES) -> None:
     """Write the rows of ``df`` to a new path in files of about ``target_bytes`` of shuffled data.
 
     A partition above the target is split over several tasks, so no task holds a whole hot one.
     """
-    sizing = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}
-    with adaptive(df.sparkSession), session_conf(df.sparkSession, sizing):
-        write_files(df if by else df.hint("rebalance"), path, partition_by=by)
+    sizing = ADAPTIVE | {"spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_bytes}b"}
+    with under(df, sizing) as own:
+        write_files(own if by else own.hint("rebalance"), path, partition_by=by)
 
 
-def compact_partitions(
-    spark: SparkSession, table: str, by: str, target_bytes: int = TARGET_BYTES
-) -> DataFrame:
-    """Compact the partitions of a Parquet table whose files average under half the target.
+def compact_partitions(spark: SparkSession, table: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Compact the partitions of a Parquet table that have more files than their bytes need.
 
-    They are written to a new folder, compared with the old rows, and then each partition is pointed
-    at its new files, so readers see either the old files or the new. Old files stay. Nothing may
-    write to the table meanwhile. Returns the inventory of the partitions that were rewritten, as it
-    was before. A partition whose value is NULL or would be escaped in a folder name keeps its files.
+    Each is written anew in as many files as its bytes make targets, one at least, to a new folder, compared
+    with the old rows, and then pointed at its new files, so readers see either the old files or the new. Old
+    files stay. Nothing may write to the table meanwhile. Files that one compaction to the same target wrote are
+    never rewritten, whatever they compressed to; once something is added, the partition is looked at again.
+    Returns folder, partition columns, files, bytes of the partitions that were rewritten, as they were before.
     """
     data = spark.table(table)
-    small = (F.col("files") > 1) & (F.col("bytes") < F.col("files") * F.lit(target_bytes / 2))
-    named = F.coalesce(F.col(f"`{by}`").cast("string").rlike(r"^[\w. -]+$"), F.lit(False))
-    before = settle(file_inventory(data, [by]).filter(small & named), "small-files")
+    keys = partition_columns(spark, table)
+    if not keys:
+        raise ValueError(f"{table} is not partitioned; use compact")
+    mark = f"-compact-{target_bytes}-"
+    listed = _listing(data, len(keys)).groupBy("folder").agg(
+        F.count("*").alias("files"),
+        F.sum("size").alias("bytes"),
+        F.countDistinct("job").alias("jobs"),
+        F.bool_and(F.col("parent").contains(mark)).alias("marked"),
+    )
+    pieces = F.greatest(F.floor(F.col("bytes") / target_bytes), F.lit(1)).cast("int")
+    done = F.col("marked") & (F.col("jobs") == 1)
+    values = [_value(c, i).cast(data.schema[c].dataType).alias(c) for i, c in enumerate(keys)]
+    before = listed.filter((F.col("files") > pieces) & ~done).select("folder", *values, "files", "bytes", pieces.alias("_pieces"))
+    before = settle(before, "small-files")
+    shown = before.drop("_pieces")
     if before.isEmpty():
-        return before
-    folder = f"{table_facts(spark, table)['Location']}-compact-{uuid4().hex[:12]}"
-    old = rows_of_partitions(data, before, by)
-    compact(old, folder, [by], target_bytes)
+        return shown
+    folder = f"{table_facts(spark, table)['Location']}{mark}{uuid4().hex[:12]}"
+    old = rows_of_partitions(data, before, keys)
+    sizes = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_pieces")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    # Rows are dealt to the pieces of their partition; a task writes one file for each piece it gets.
+    dealt = old.join(sizes, same).withColumn("_piece", F.monotonically_increasing_id() % F.col("_pieces"))
+    spread = dealt.repartition(*[F.col(f"`{k}`") for k in keys], "_piece").select(*data.columns)
+    write_files(spread, folder, partition_by=keys, clustered=True)
     new = read_files(spark, folder, data.schema)
-    values = [c for c in data.columns if c != by]
-    if not compare_groups(old, new, [by], values).filter(~F.col("same")).isEmpty():
+    rest = [c for c in data.columns if c not in keys]
+    if not compare_groups(old, new, keys, rest).filter(~F.col("same")).isEmpty():
         raise RuntimeError(f"compacted files in {folder} differ from {table}; the table is unchanged")
-    for (value,) in before.select(by).toLocalIterator():
-        move_partition(spark, table, by, value, f"{folder}/{by}={value}")
-    return before
+    for (name,) in before.select("folder").toLocalIterator():
+        texts = (unquote(part.split("=", 1)[1]) for part in name.split("/"))
+        spec = {k: None if v == NULL_PARTITION else v for k, v in zip(keys, texts)}
+        move_partition(spark, table, spec, f"{folder}/{name}")
+    return shown

@@ -60,8 +60,15 @@ def sync_plan(src: DataFrame, dst: DataFrame, by: str, contents: bool = True) ->
     ``contents=False`` compares row counts alone, reading footers instead of the tables.
     """
     values = _values(src, dst, [by]) if contents else []
-    compared = compare_groups(src, dst, [by], values).filter(~F.col("same"))
+    return statuses(compare_groups(src, dst, [by], values).filter(~F.col("same")), [by])
+
+
+def statuses(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups that differ, with src_rows, dst_rows and status."""
     status = F.when(F.col("rows_b") == 0, "missing").when(F.col("rows_a") == 0, "extra").otherwise("changed")
     return compared.select(
-        f"`{by}`", F.col("rows_a").alias("src_rows"), F.col("rows_b").alias("dst_rows"), status.alias("status")
+        *[f"`{k}`" for k in keys],
+        F.col("rows_a").alias("src_rows"),
+        F.col("rows_b").alias("dst_rows"),
+        status.alias("status"),
     )

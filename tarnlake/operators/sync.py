@@ -2,40 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators.compare import sync_plan
-from tarnlake.sources.scratch import settle
+from tarnlake.operators.compare import compare_groups, statuses
+from tarnlake.sources.catalog import drop_partitions, partition_columns, table_facts
+from tarnlake.sources.scratch import remove_folder, settle
 from tarnlake.sources.tables import replace_partitions
 
-LISTED_PARTITIONS = 5_000
-
 
-def rows_of_partitions(df: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+def rows_of_partitions(df: DataFrame, wanted: DataFrame, by: str | Sequence[str]) -> DataFrame:
     """The rows of ``df`` in the partitions listed in ``wanted`` (one row per partition).
 
-    A list that is short is turned into an IN filter, which opens only the folders of those
-    partitions. A longer one stays distributed and is joined; most of the table is read then anyway.
+    One plan for any number of partitions: a join on plain equality, which Spark turns into a pruning of the
+    folders while the query runs. Partitions with a NULL in their key are found by a second, null-safe join of
+    the rows that have one; if none is wanted, it is left out.
     """
-    listed = [r[0] for r in wanted.select(by).limit(LISTED_PARTITIONS + 1).collect()]
-    if len(listed) > LISTED_PARTITIONS:
-        key = F.col(f"_wanted.`{by}`")
-        other = wanted.select(by).alias("_wanted")
-        return df.join(other, df[by].eqNullSafe(key), "left_semi")
-    chosen = F.col(f"`{by}`").isin([v for v in listed if v is not None])
-    return df.filter(chosen | F.col(f"`{by}`").isNull() if None in listed else chosen)
+    keys = [by] if isinstance(by, str) else list(by)
+    wanted = wanted.select(*[f"`{k}`" for k in keys])
+    found = df.join(wanted.dropna(subset=keys), keys, "left_semi")
+    any_null: Column = reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in keys])
+    null_keys = wanted.filter(any_null)
+    if null_keys.isEmpty():
+        return found
+    other = null_keys.toDF(*[f"_wanted_{i}" for i in range(len(keys))])
+    same = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"_wanted_{i}")) for i, k in enumerate(keys)])
+    return found.unionByName(df.filter(any_null).join(other, same, "left_semi"))
 
 
-def sync_partitions(src: DataFrame, table: str, by: str, contents: bool = True, clustered: bool = False) -> DataFrame:
+def sync_partitions(
+    src: DataFrame,
+    table: str,
+    by: str | Sequence[str] | None = None,
+    contents: bool = True,
+    clustered: bool = False,
+    drop_extra: bool = False,
+) -> DataFrame:
     """Bring ``table`` up to ``src``: copy missing and changed partitions, return the plan it followed.
 
-    Extra partitions are reported, not dropped. The plan is settled first, because it would read
-    differently once the copy has run. An interrupted copy is finished by running it again.
+    Whole partitions are compared and replaced, so ``by`` can only be the partition columns of the table, and
+    may be left out. Row counts are compared first; contents are read only where counts agree. The plan is
+    settled, because it would read differently once the copy has run. An interrupted copy is finished by running
+    it again. Extra partitions are reported; ``drop_extra`` removes them, with their files.
     """
     spark = src.sparkSession
-    plan = settle(sync_plan(src, spark.table(table), by, contents), "sync-plan")
+    keys = partition_columns(spark, table)
+    if by is not None and keys != ([by] if isinstance(by, str) else list(by)):
+        raise ValueError(f"{table} is partitioned by {keys}; sync it by these")
+    dst = spark.table(table)
+    counted = compare_groups(src, dst, keys, [])
+    plan = statuses(counted.filter(~F.col("same")), keys)
+    if contents:
+        counted = settle(counted, "sync-counts")
+        equal = counted.filter("same")
+        values = [c for c in src.columns if c not in keys]
+        inside = [rows_of_partitions(df, equal, keys) for df in (src, dst)]
+        changed = compare_groups(*inside, keys, values).filter(~F.col("same"))
+        plan = statuses(counted.filter(~F.col("same")).unionByName(changed), keys)
+    plan = settle(plan, "sync-plan")
     stale = plan.filter(F.col("status") != "extra")
     if not stale.isEmpty():
-        replace_partitions(rows_of_partitions(src, stale, by), table, clustered)
+        replace_partitions(rows_of_partitions(src, stale, keys), table, clustered)
+    if drop_extra:
+        _drop(spark, table, keys, plan.filter(F.col("status") == "extra"))
     return plan
+
+
+def _drop(spark, table: str, keys: Sequence[str], extra: DataFrame) -> None:
+    """Drop the listed partitions; of an external table their files as well."""
+    texts = extra.select(*[F.col(f"`{k}`").cast("string") for k in keys])
+    listed = [dict(zip(keys, row)) for row in texts.collect()]
+    if not listed:
+        return
+    if table_facts(spark, table)["Type"] == "EXTERNAL":
+        named = spark.table(table).select(*keys, F.col("_metadata.file_path").alias("_file"))
+        files = rows_of_partitions(named, extra, keys)
+        folders = files.select(F.regexp_replace("_file", "/[^/]*$", "").alias("folder")).distinct()
+        folders = [row["folder"] for row in folders.collect()]
+        drop_partitions(spark, table, listed)
+        for folder in folders:
+            remove_folder(spark, folder)
+    else:
+        drop_partitions(spark, table, listed)

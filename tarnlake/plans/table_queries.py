@@ -21,8 +21,9 @@ from tarnlake.operators.compare import sync_plan
 from tarnlake.operators.sync import sync_partitions
 from tarnlake.plans import reports
 from tarnlake.plans.registry import query, read
-from tarnlake.session import session_conf
+from tarnlake.session import own_session
 from tarnlake.sources import catalog
+from tarnlake.sources.retire import retire_folders
 from tarnlake.sources.scratch import run_folder, settle
 from tarnlake.sources.tables import (
     DYNAMIC,
@@ -84,11 +85,13 @@ def database_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d3_use_database", "SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY o_orderstatus")
 def use_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders")
-    with catalog.temporary_database(spark, "d3") as (database, _), catalog.using_database(spark, database):
-        catalog.create_table(spark, "orders", plain(orders.schema))
+    with catalog.temporary_database(spark, "d3") as (database, _):
+        inside = catalog.using_database(spark, database)
+        orders = read(inside, sf_dir, "orders")
+        catalog.create_table(inside, "orders", plain(orders.schema))
         append(orders, "orders")
-        return settle(spark.sql("SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY o_orderstatus"), "d3")
+        counted = inside.sql("SELECT o_orderstatus, count(*) AS cnt FROM orders GROUP BY o_orderstatus")
+        return settle(counted, "d3")
 
 
 @query(
@@ -344,9 +347,9 @@ def session_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = f"{database}.events"
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"])
         append(events, table)
-        with session_conf(spark, DYNAMIC):
-            events.filter(F.col("dt") == DAY).write.mode("overwrite").insertInto(table)
-        return settle(spark.table(table).groupBy("dt").agg(row_count().alias("cnt")), "d18")
+        dynamic = own_session(spark, DYNAMIC)
+        dated_events(dynamic, sf_dir).filter(F.col("dt") == DAY).write.mode("overwrite").insertInto(table)
+        return settle(dynamic.table(table).groupBy("dt").agg(row_count().alias("cnt")), "d18")
 
 
 # Loads
@@ -451,10 +454,12 @@ def group_by_partition_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_gmv_first10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first groups of a table stored by them: other folders are not opened for the sum."""
     orders = dated_orders(spark, sf_dir)
-    folder = run_folder(spark, "w2")
-    write_files(orders, folder, partition_by=["dt"])
-    stored = read_files(spark, folder, orders.schema)
-    return reports.first_days(stored, "dt", "o_totalprice", stored_by_day=True)
+    with catalog.temporary_database(spark, "w2") as (database, folder):
+        table = f"{database}.orders"
+        write_files(orders, folder, partition_by=["dt"])
+        catalog.create_table(spark, table, plain(orders.schema), partition_by=["dt"], path=folder)
+        catalog.find_partitions(spark, table)
+        return settle(reports.first_days_stored(spark, table, "dt", "o_totalprice"), "w2-result").orderBy("dt")
 
 
 @query("r1_replace_load", "SELECT * FROM orders")
@@ -471,6 +476,19 @@ def replace_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, location, orders.schema)
 
 
+@query("r1_replace_and_retire", "SELECT count(*) AS orders, 2 AS retired FROM orders")
+def replace_and_retire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads, of which the first two are retired."""
+    orders = read(spark, sf_dir, "orders")
+    with catalog.temporary_database(spark, "r1r") as (database, folder):
+        table, path = f"{database}.orders", f"{folder}/orders"
+        for _ in range(3):
+            replace_table(orders, table, path)
+        retired = retire_folders(spark, path, [table], older_than=0)
+        counted = reports.total_rows(spark.table(table), "orders")
+        return settle(counted.select("orders", F.lit(len(retired)).alias("retired")), "r1-retired")
+
+
 @query(
     "r1_replace_partitioned_load",
     "SELECT *, substr(cast(o_orderdate AS varchar), 1, 7) AS dt FROM orders",
@@ -543,13 +561,48 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = f"{database}.events"
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"])
         append(events.repartition(5), table, clustered=True)
-        before = compact_partitions(spark, table, "dt")
+        before = compact_partitions(spark, table)
         after = file_inventory(spark.table(table), ["dt"])
         compared = after.alias("a").join(before.alias("b"), "dt", "left")
         fewer = F.coalesce(F.col("a.files") < F.col("b.files"), F.lit(False))
         return settle(compared.select("dt", F.col("a.rows").alias("cnt"), fewer.alias("fewer_files")), "r13-result")
 
 
+def _compacted(spark: SparkSession, rows: DataFrame, label: str, key: str) -> DataFrame:
+    """Rows per partition of a table in many files, after compaction, and whether all but one file are gone."""
+    with catalog.temporary_database(spark, label) as (database, _):
+        table = f"{database}.t"
+        catalog.create_table(spark, table, plain(rows.schema), partition_by=[key])
+        append(rows.repartition(3), table, clustered=True)
+        compact_partitions(spark, table)
+        left = file_inventory(spark.table(table), [key])
+        return settle(left.select(key, F.col("rows").alias("cnt"), (F.col("files") == 1).alias("one_file")), label)
+
+
+@query("r13_compaction_int_key", "SELECT l_linenumber, count(*) AS cnt, true AS one_file FROM lineitem GROUP BY 1")
+def compaction_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_linenumber")
+    return _compacted(spark, lines, "r13n", "l_linenumber")
+
+
+CITIES = {"1-URGENT": "北京", "2-HIGH": "上海/浦东", "3-MEDIUM": "a=b c%"}
+
+
+@query(
+    "r13_compaction_text_key",
+    """
+    SELECT CASE o_orderpriority WHEN '1-URGENT' THEN '北京' WHEN '2-HIGH' THEN '上海/浦东'
+           WHEN '3-MEDIUM' THEN 'a=b c%' END AS city, count(*) AS cnt, true AS one_file
+    FROM orders GROUP BY 1
+    """,
+)
+def compaction_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in Chinese, keys that folder names escape, and NULL."""
+    orders = read(spark, sf_dir, "orders")
+    names = F.create_map(*[F.lit(x) for pair in CITIES.items() for x in pair])
+    return _compacted(spark, orders.select("o_orderkey", names[F.col("o_orderpriority")].alias("city")), "r13t", "city")
+
+
 def _stale_copy(events: DataFrame) -> DataFrame:
     """A copy as an earlier run might have left it: it ends on the 20th, lacks one day's errors, has
     one day's clicks with another value, and holds a day the source does not."""
@@ -605,6 +658,18 @@ def plan_of_sync_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync_plan(events, _stale_copy(events), "dt", contents=False)
 
 
+@query("r3_sync_copy_drop_extra", EVENTS_SQL)
+def sync_copy_drop_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions that the source does not have are removed as well, so the copy ends up equal."""
+    events = dated_events(spark, sf_dir)
+    with catalog.temporary_database(spark, "r3x") as (database, folder):
+        table = f"{database}.events"
+        catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"], path=f"{folder}/files")
+        append(_stale_copy(events), table)
+        sync_partitions(events, table, drop_extra=True)
+    return read_files(spark, f"{folder}/files", events.schema)
+
+
 @query(
     "r3_sync_copy",
     f"WITH {STALE_SQL} SELECT * FROM src UNION ALL SELECT * FROM dst WHERE dt = '2023-12-31'",

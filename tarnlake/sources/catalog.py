@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tarnlake.session import own_session
 from tarnlake.sources.scratch import run_folder
 
 
@@ -38,15 +40,11 @@ def drop_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP DATABASE {identifier(name)}")
 
 
-@contextmanager
-def using_database(spark: SparkSession, name: str) -> Iterator[None]:
-    """Resolve unqualified names in ``name`` inside the block."""
-    before = spark.catalog.currentDatabase()
-    spark.catalog.setCurrentDatabase(name)
-    try:
-        yield
-    finally:
-        spark.catalog.setCurrentDatabase(before)
+def using_database(spark: SparkSession, name: str) -> SparkSession:
+    """A session of its own in which unqualified names are resolved in ``name``; ``spark`` stays where it is."""
+    other = own_session(spark)
+    other.catalog.setCurrentDatabase(name)
+    return other
 
 
 @contextmanager
@@ -106,10 +104,26 @@ def find_partitions(spark: SparkSession, table: str) -> None:
     spark.sql(f"ALTER TABLE {identifier(table)} RECOVER PARTITIONS")
 
 
-def move_partition(spark: SparkSession, table: str, column: str, value: str, folder: str) -> None:
+def partition_spec(values: Mapping[str, str | None]) -> str:
+    """The PARTITION clause of one partition; Spark casts the texts to the columns' types."""
+    return ", ".join(f"`{c}`={'NULL' if v is None else text_literal(v)}" for c, v in values.items())
+
+
+def move_partition(spark: SparkSession, table: str, values: Mapping[str, str | None], folder: str) -> None:
     """Point one partition at another folder: one catalog change, the old files stay."""
-    partition = f"`{column}`={text_literal(value)}"
-    spark.sql(f"ALTER TABLE {identifier(table)} PARTITION ({partition}) SET LOCATION {text_literal(folder)}")
+    spec = partition_spec(values)
+    spark.sql(f"ALTER TABLE {identifier(table)} PARTITION ({spec}) SET LOCATION {text_literal(folder)}")
+
+
+def drop_partitions(spark: SparkSession, table: str, listed: Sequence[Mapping[str, str | None]]) -> None:
+    """Drop partitions, a thousand in a statement; an external table's files stay."""
+    for at in range(0, len(listed), 1000):
+        specs = ", ".join(f"PARTITION ({partition_spec(values)})" for values in listed[at : at + 1000])
+        spark.sql(f"ALTER TABLE {identifier(table)} DROP IF EXISTS {specs}")
+
+
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
 def point_table(
@@ -151,6 +165,19 @@ def list_partitions(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(f"SHOW PARTITIONS {identifier(table)}")
 
 
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder of NULL
+
+
+def partition_values(spark: SparkSession, table: str, column: str) -> list[str | None]:
+    """The values of a partition column, from the catalog alone."""
+    found = set()
+    for (spec,) in list_partitions(spark, table).collect():
+        named = dict(part.split("=", 1) for part in spec.split("/"))
+        value = unquote(named[column])
+        found.add(None if value == NULL_PARTITION or value == "null" else value)
+    return list(found)
+
+
 def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
     """The catalog's facts about a table: Type, Provider, Location and so on."""
     facts: dict[str, str] = {}

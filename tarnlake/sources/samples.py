@@ -218,6 +218,11 @@ SECOND_EDITION_PRODUCT_NAMES = {
 }
 SECOND_EDITION_CATEGORY_NAMES = {2: "笔记本"}
 
+# Events of user_behavior that its second edition lacks; the others are numbered anew there, from ev_001.
+SECOND_EDITION_LACKED_EVENTS = [
+    "ev_0010", "ev_0014", "ev_0015", "ev_0028", "ev_0029", "ev_0030", "ev_0043", "ev_0044", "ev_0045",
+]
+
 # End of fixed values.
 
 

@@ -4,7 +4,7 @@ Partitioned writes are spread with the REBALANCE hint. A partition column alone
 of one value to one task, and no hint at all would have every task write a small file into every
 partition; with the hint adaptive execution splits the large values over several tasks and puts many
 small ones into one. Spark drops the hint while adaptive execution is off, so it is switched on for
-the write. The hint costs a shuffle of the rows, which ``clustered=True`` saves where they already
+the write, on a session of its own. The hint costs a shuffle of the rows, which ``clustered=True`` saves where they already
 come by partition.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.session import adaptive, session_conf
-from tarnlake.sources.catalog import identifier, point_table, text_literal
+from tarnlake.session import ADAPTIVE, under
+from tarnlake.sources.catalog import identifier, partition_columns, point_table, text_literal
 
 DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
@@ -36,16 +36,14 @@ def spread(df: DataFrame, partition_by: Sequence[str], clustered: bool = False)
     return df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by])
 
 
-def _partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-
-
 def append(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Add rows by position, like INSERT INTO. Running it twice adds them twice."""
     spark = df.sparkSession
     rows = df.toDF(*spark.table(table).columns)
-    with adaptive(spark):
-        spread(rows, _partition_columns(spark, table), clustered).write.insertInto(table)
+    keys = partition_columns(spark, table)
+    with under(rows, ADAPTIVE) as own:
+        spread(own, keys, clustered).write.insertInto(table)
+    spark.catalog.refreshTable(table)
 
 
 def append_partition(df: DataFrame, table: str, column: str, value: str) -> None:
@@ -66,8 +64,8 @@ def write_files(
     **options: str,
 ) -> None:
     """Write files, in ``column=value`` folders where ``partition_by`` is given."""
-    with adaptive(df.sparkSession):
-        writer = spread(df, partition_by, clustered).write.format(fmt).mode(mode)
+    with under(df, ADAPTIVE) as own:
+        writer = spread(own, partition_by, clustered).write.format(fmt).mode(mode)
         writer = writer.option("compression", compression).options(**options)
         (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
@@ -105,16 +103,17 @@ def replace_table(
 def replace_partitions(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Replace the partitions ``df`` has rows for and leave the others; columns match by name.
 
-    The dynamic mode has to be a session setting here: ``insertInto`` ignores the write option and
-    would empty the whole table.
+    The dynamic mode has to be a session setting here (``insertInto`` ignores the write option and would
+    empty the whole table), so the write runs on a session of its own.
     """
     spark = df.sparkSession
-    keys = _partition_columns(spark, table)
+    keys = partition_columns(spark, table)
     if not keys:
         raise ValueError(f"{table} is not partitioned; use replace_table")
     rows = df.select(*[f"`{c}`" for c in spark.table(table).columns])
-    with adaptive(spark), session_conf(spark, DYNAMIC):
-        spread(rows, keys, clustered).write.mode("overwrite").insertInto(table)
+    with under(rows, ADAPTIVE | DYNAMIC) as own:
+        spread(own, keys, clustered).write.mode("overwrite").insertInto(table)
+    spark.catalog.refreshTable(table)  # the session that wrote knows of the new files; this one has to be told
 
 
 def publish(

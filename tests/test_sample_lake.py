@@ -61,13 +61,13 @@ def test_first_ten_days(lake):
 
 def test_first_days_of_a_table_stored_by_day(lake):
     orders = lake.table("hive_db.orders")
-    pruned = reports.first_days(orders, "dt", "total_amount", stored_by_day=True)
+    pruned = reports.first_days_stored(lake, "hive_db.orders", "dt", "total_amount")
     assert rows(pruned) == rows(reports.first_days(orders, "dt", "total_amount"))
-    assert rows(reports.first_days(orders, "dt", "total_amount", days=60, stored_by_day=True)) == rows(
+    assert rows(reports.first_days_stored(lake, "hive_db.orders", "dt", "total_amount", days=60)) == rows(
         reports.first_days(orders, "dt", "total_amount", days=60)
     )
     plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[\(isnull\(dt#\d+\) OR \(dt#\d+ <= [^]]*subquery", plan, re.IGNORECASE)
+    assert re.search(r"PartitionFilters: \[dt#\d+ IN \(2024-01-01,", plan) and "subquery" not in plan.lower()
 
 
 def test_reports_equal_the_sql_they_stand_for(lake):
@@ -181,12 +181,10 @@ def test_orphans(lake):
 
 
 def _second_edition_behavior(lake):
-    """The shorter edition: the first three days stop after twelve events, ids have three digits."""
-    kept, seen = [], {}
-    for row in samples.ROWS["hive_db.user_behavior"]:
-        seen[row[-1]] = seen.get(row[-1], 0) + 1
-        if seen[row[-1]] <= 12:
-            kept.append((f"ev_{len(kept) + 1:03d}", *row[1:]))
+    """The shorter edition: it lacks nine events and numbers the others with three digits."""
+    kept = [r for r in samples.ROWS["hive_db.user_behavior"] if r[0] not in samples.SECOND_EDITION_LACKED_EVENTS]
+    kept = [(f"ev_{i + 1:03d}", *row[1:]) for i, row in enumerate(kept)]
+    assert kept[9][1:5] == (6, 5001, "cart", "s006") and kept[11][0] == "ev_012" and len(kept) == 51
     return lake.createDataFrame(kept, schemas.USER_BEHAVIOR.schema)
 
 
@@ -206,7 +204,11 @@ def test_second_edition_of_user_behavior(lake):
 
 def test_partition_keys_match_event_days(lake):
     assert rows(partition_key_audit(lake.table("hive_db.orders"), "dt", "created_at")) == []
-    assert rows(partition_key_audit(lake.table("hive_db.user_behavior"), "dt", "ts")) == []
+    behavior = lake.table("hive_db.user_behavior")
+    assert rows(partition_key_audit(behavior, "dt", "ts")) == []
+    wrong = [("ev_x", 1, 1001, "view", "s000", 1, "ad", "pc", "2024-01-16 00:00:01", "2024-01-15")]
+    filed = behavior.union(lake.createDataFrame(wrong, schemas.USER_BEHAVIOR.schema))
+    assert rows(partition_key_audit(filed, "dt", "ts")) == [("2024-01-15", "2024-01-16", 1)]
 
 
 def test_keys_are_unique(lake):

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.operators import compact, compact_partitions, file_inventory, sync
+from tarnlake.operators import compact, compact_partitions, file_inventory
 from tarnlake.operators.sync import sync_partitions
 from tarnlake.plans import reports
 from tarnlake.session import session_conf, shuffle_settings
@@ -55,9 +55,9 @@ def test_database_statements(spark, tmp_path):
     catalog.create_database(spark, name, comment="another")
     assert spark.catalog.getDatabase(name).description == "it's one"
     before = spark.catalog.currentDatabase()
-    with catalog.using_database(spark, name):
-        catalog.create_table(spark, "t1", SCHEMA)
-        assert spark.catalog.tableExists(f"{name}.t1")
+    inside = catalog.using_database(spark, name)
+    catalog.create_table(inside, "t1", SCHEMA)
+    assert spark.catalog.tableExists(f"{name}.t1") and inside.catalog.currentDatabase() == name
     assert spark.catalog.currentDatabase() == before
     assert (name,) in rows(catalog.list_databases(spark))
     assert rows(catalog.list_tables(spark, name).select("tableName")) == [("t1",)]
@@ -234,7 +234,7 @@ def test_a_partition_without_rows(spark, database):
     tables.append(spark.createDataFrame(days, schema), table)
     spark.sql(f"ALTER TABLE {table} ADD PARTITION (dt='2024-01-01')")
     assert catalog.list_partitions(spark, table).count() == 4
-    found = reports.first_days(spark.table(table), "dt", "amount", days=2, stored_by_day=True)
+    found = reports.first_days_stored(spark, table, "dt", "amount", days=2)
     assert rows(found) == [("2024-01-02", 1, 1.5), ("2024-01-03", 1, 2.5)]
     assert {r.dt for r in file_inventory(spark.table(table), ["dt"]).collect()} == {d for _, d in days}
 
@@ -382,12 +382,12 @@ def test_compact_partitions(spark, database):
     expected = table_rows(spark, table)
     inventory = {r.dt: (r.files, r.rows) for r in file_inventory(spark.table(table), ["dt"]).collect()}
     assert inventory == {"2024-01-01": (2, 2), "2024-01-02": (1, 1), None: (1, 1), "a/b": (2, 2)}
-    done = compact_partitions(spark, table, "dt")
-    assert [(r.dt, r.files) for r in done.collect()] == [("2024-01-01", 2)]
+    done = compact_partitions(spark, table)
+    assert {(r.dt, r.files) for r in done.collect()} == {("2024-01-01", 2), ("a/b", 2)}
     assert table_rows(spark, table) == expected
     inventory = {r.dt: r.files for r in file_inventory(spark.table(table), ["dt"]).collect()}
     assert inventory["2024-01-01"] == 1
-    assert compact_partitions(spark, table, "dt").isEmpty()
+    assert compact_partitions(spark, table).isEmpty()
     tables.replace_partitions(spark.createDataFrame([(7, "g", "2024-01-01")], SCHEMA), table)
     tables.append(spark.createDataFrame([(8, "h", "2024-01-01")], SCHEMA), table)
     assert sorted(r.id for r in spark.table(table).filter("dt = '2024-01-01'").collect()) == [7, 8]
@@ -399,10 +399,8 @@ def _written(spark, table):
     return {r.dt: r.file for r in found.collect()}
 
 
-@pytest.mark.parametrize("listed", [1, sync.LISTED_PARTITIONS])
-def test_sync_copies_only_what_differs(spark, database, data, monkeypatch, listed):
-    """Also with more stale partitions than are listed in a filter, and with a NULL partition."""
-    monkeypatch.setattr(sync, "LISTED_PARTITIONS", listed)
+def test_sync_copies_only_what_differs(spark, database, data):
+    """Also with a NULL partition."""
     source = data.union(spark.createDataFrame([(5, "new", "2024-01-04")], SCHEMA))
     table = f"{database[0]}.t"
     catalog.create_table(spark, table, SCHEMA, partition_by=["dt"])
@@ -432,6 +430,105 @@ def test_sync_by_row_count(spark, database, data):
     assert sorted(r.v for r in spark.table(table).collect()) == ["?", "?", "a", "b"]
 
 
+def test_sync_drops_extra_partitions_when_told(spark, database, data):
+    table = f"{database[0]}.t"
+    path = f"{database[1]}/files"
+    catalog.create_table(spark, table, SCHEMA, partition_by=["dt"], path=path)
+    tables.append(data.union(spark.createDataFrame([(6, "gone", "2023-12-31")], SCHEMA)), table)
+    assert rows(sync_partitions(data, table, "dt")) == [("2023-12-31", 0, 1, "extra")]
+    assert rows(sync_partitions(data, table, "dt", drop_extra=True)) == [("2023-12-31", 0, 1, "extra")]
+    assert sync_partitions(data, table, "dt", drop_extra=True).isEmpty()
+    assert table_rows(spark, table) == sorted(DATA, key=str)
+    assert spark.read.schema(SCHEMA).parquet(path).count() == len(DATA)
+
+
+TWO_LEVELS = T.StructType(
+    [T.StructField("id", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("m", T.DateType())]
+)
+
+
+def _two_levels(spark):
+    return spark.range(60).selectExpr(
+        "int(id) AS id", "int(if(id % 5 = 0, NULL, 2020 + id % 3)) AS y", "date_add(date'2024-01-01', int(id % 2)) AS m"
+    )
+
+
+def test_sync_of_two_levels_converges(spark, database):
+    source = _two_levels(spark)
+    table = f"{database[0]}.t"
+    catalog.create_table(spark, table, TWO_LEVELS, partition_by=["y", "m"])
+    tables.append(source.withColumn("m", F.expr("date_add(m, 1)")), table)
+    with pytest.raises(ValueError, match="partitioned by"):
+        sync_partitions(source, table, "y")
+    sync_partitions(source, table, drop_extra=True)
+    assert sync_partitions(source, table, drop_extra=True).isEmpty()
+    assert sorted(rows(spark.table(table)), key=str) == sorted(rows(source), key=str)
+
+
+def test_compaction_of_typed_and_odd_partitions(spark, database):
+    for i, (schema, keys, frame) in enumerate(
+        [
+            (TWO_LEVELS, ["y", "m"], _two_levels(spark)),
+            (
+                T.StructType([T.StructField("id", T.IntegerType()), T.StructField("city", T.StringType())]),
+                ["city"],
+                spark.range(60).selectExpr("int(id) AS id", "element_at(array('北京', 'a/b=c d%', 'Beijing', NULL), int(id % 4) + 1) AS city"),
+            ),
+        ]
+    ):
+        table = f"{database[0]}.c{i}"
+        catalog.create_table(spark, table, schema, partition_by=keys)
+        for part in range(3):
+            tables.append(frame.filter(F.col("id").between(part * 20, part * 20 + 19)), table)
+        expected = sorted(rows(spark.table(table)), key=str)
+        groups = spark.table(table).select(*keys).distinct().count()
+        done = compact_partitions(spark, table)
+        assert done.count() == groups and all(r.files > 1 for r in done.collect())
+        assert sorted(rows(spark.table(table)), key=str) == expected
+        assert {r.files for r in file_inventory(spark.table(table), keys).collect()} == {1}
+        assert compact_partitions(spark, table).isEmpty()
+
+
+def test_compaction_merges_tiny_files_beside_a_big_one_and_then_stops(spark, database):
+    table = f"{database[0]}.t"
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("dt", T.StringType())])
+    catalog.create_table(spark, table, schema, partition_by=["dt"])
+    big = spark.range(0, 300_000, 1, 1).selectExpr("id", "rand(1) AS x", "'a' AS dt")
+    tables.append(big, table, clustered=True)
+    for k in range(8):
+        tables.append(spark.range(2).selectExpr(f"id + {k} AS id", "0.5D AS x", "'a' AS dt"), table, clustered=True)
+    target = 1 << 20
+    before = file_inventory(spark.table(table), ["dt"]).first()
+    assert compact_partitions(spark, table, target).count() == 1
+    after = file_inventory(spark.table(table), ["dt"]).first()
+    assert after.files < before.files and after.rows == before.rows
+    assert compact_partitions(spark, table, target).isEmpty()
+    tables.append(spark.range(2).selectExpr("id", "0.5D AS x", "'a' AS dt"), table, clustered=True)
+    assert file_inventory(spark.table(table), ["dt"]).first().files > after.files
+
+
+def test_threads_use_a_database_each(spark, sf_dir):
+    from tarnlake.plans import QUERIES
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(lambda _: sorted(rows(QUERIES["d3_use_database"](spark, sf_dir))), range(12)))
+    assert all(x == found[0] for x in found)
+
+
+def test_a_static_overwrite_beside_replace_partitions(spark, database):
+    many = spark.range(0, 3000, 1, 4).selectExpr("int(id) AS id", "'x' AS v", "concat('2024-01-0', id % 5 + 1) AS dt")
+    one, two = (f"{database[0]}.t{i}" for i in range(2))
+    for name in (one, two):
+        catalog.create_table(spark, name, SCHEMA, partition_by=["dt"])
+        tables.append(many, name)
+    with ThreadPoolExecutor(2) as pool:
+        replaced = [pool.submit(tables.replace_partitions, many.filter("dt = '2024-01-01'"), one) for _ in range(3)]
+        many.limit(10).write.mode("overwrite").insertInto(two)
+        for job in replaced:
+            job.result()
+    assert spark.table(one).count() == 3000 and spark.table(two).count() == 10
+
+
 def test_settle_outlives_its_source(spark, data):
     spark.createDataFrame(DATA, SCHEMA).createOrReplaceTempView("gone")
     kept = scratch.settle(spark.table("gone"), "test")
