@@ -301,7 +301,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = reps.join(labels, "doc_id").groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
     )
-    matrix = matrix.join(sizes, "grp")
+    matrix = matrix.join(settle(sizes, "group-sizes"), "grp")  # two written sides: a hot group can be split
     of_group = matrix.select(
         "token", F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("low").alias("g_low"), F.col("high").alias("g_high")
     ).distinct()
