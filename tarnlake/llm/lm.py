@@ -39,7 +39,8 @@ VOCABULARY = 4096
 HEAD = 1 << 17
 DIMENSIONS = 16
 NOISE = 16
-BATCH = 8192
+ROUNDS = 2
+BATCH = 2048
 RATE = 0.05
 SMOOTH = 0.1
 END = 0  # the hash that stands for the end of a document
@@ -101,13 +102,27 @@ class Counts:
 
 
 def summarised(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Counts:
-    """``head`` rows and two totals reach the driver, whatever the number of distinct tokens."""
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head).collect()
+    """At most ``head`` tokens and a few thousand totals reach the driver, whatever the number of distinct tokens.
+
+    Tokens are first counted by the size of their count, in steps of a sixty-fourth of a doubling; the head is all
+    tokens above the lowest step at which they are no more than ``head``.
+    """
+    step = F.floor(F.log2("n") * 64 + 1e-9).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n")).collect()
+    held, lowest = 0, None
+    for row in sorted(steps, key=lambda row: -row["step"]):
+        held += row["tokens"]
+        if held > head:
+            break
+        lowest = row["step"]
+    totals = {"total": sum(row["n"] for row in steps), "distinct": sum(row["tokens"] for row in steps)}
+    top = counts.where(step >= lowest).collect() if lowest is not None else []
+    top.sort(key=lambda row: (-row["n"], row["token"]))
     tokens = np.array([row["token"] for row in top], np.int64)
     n = np.array([row["n"] for row in top], np.int64)
-    classes = np.minimum(np.arange(len(top)), min(vocabulary, len(top)))
-    total, distinct = totals["total"] or 0, totals["distinct"]
+    classes = np.minimum(np.arange(len(top)), vocabulary)
+    total, distinct = totals["total"], totals["distinct"]
+    vocabulary = min(vocabulary, len(top))
     rare_total = total - int(n[:vocabulary].sum())
     order = np.argsort(tokens)
     return Counts(
@@ -221,7 +236,7 @@ def _slice_rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
     )
 
 
-def train(training: DataFrame, counts: Counts, rounds: int = 1) -> Model:
+def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     """Parameters averaged over all tasks, each of which runs through all its training documents."""
     model = Model.start(counts.unigram)
     share = (counts.unigram + SMOOTH) / (counts.unigram + SMOOTH).sum()
