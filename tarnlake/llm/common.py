@@ -65,3 +65,16 @@ def known_bits(values: DataFrame, column: str, bits: int) -> np.ndarray:
 
 def unpacked(known: np.ndarray) -> np.ndarray:
     return np.unpackbits(known, bitorder="little").astype(bool)
+
+
+def hashed_sample(ids: DataFrame, column: str, most: int, total: int) -> DataFrame:
+    """At most ``most`` of the ids, about ``total`` in number and each once: those with the smallest hashes.
+
+    A threshold on the hash leaves somewhat more than ``most`` rows before they are sorted, so no task and no
+    driver gets all of them.
+    """
+    steps = 1 << 30
+    rank = F.pmod(F.xxhash64(F.col(column)), F.lit(steps))
+    if total > most:
+        ids = ids.where(rank < int(steps * min(1.0, 1.25 * (most + 100) / total)))
+    return ids.orderBy(rank, column).limit(most)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import filled, slices
+from tarnlake.llm.common import filled, hashed_sample, slices
 
 BUCKETS = 1 << 14
 SAMPLE = 4_000
@@ -151,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not documents:
         return None
     idf = np.log((1 + documents) / (1 + frequencies)) + 1
-    chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hashed_sample(training.select("doc_id").distinct(), "doc_id", sample, documents)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

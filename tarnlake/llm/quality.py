@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import SPACE, SPACE_CLASS
+from tarnlake.llm.common import SPACE, SPACE_CLASS, hashed_sample
 
 SAMPLE = 20_000
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -213,14 +213,9 @@ def learn(
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """A decision list from at most ``sample`` labelled rows; ``labels`` has doc_id and quality (0 is bad)."""
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy(F.col("doc_id").cast("long").alias("l_doc"))
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("l_doc"), "l_doc")
-        .limit(sample)
-    )
-    # At most ``sample`` rows of two numbers: small enough to send to every task.
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    by_doc = known.groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.min("quality").alias("quality"))
+    chosen = hashed_sample(by_doc, "l_doc", sample, known.count())
     of_label = F.col("doc_id") == F.col("l_doc")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), of_label, "left_semi")
     held = with_statistics(texts).join(F.broadcast(chosen), of_label).where(~base_failed())
