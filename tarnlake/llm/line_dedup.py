@@ -8,8 +8,8 @@ the largest doc_id that holds the key.
 2. The rows are range-partitioned by hash *and document* and sorted by hash, falling document, position.
    A line that a third of all documents share is spread over many ranges. Each range is streamed once:
    the first rows of a key are its largest documents, and ``min_docs`` of them say all there is to say.
-3. What the ranges say of a key is merged (a few rows a key), and a join names the lines that go. Both
-   sides of it are plain shuffles, so adaptive execution splits a hot key.
+3. What the ranges say of a key is merged (a few rows a key) and written, and a join names the lines that go.
+   Both sides of it are plain shuffles, so adaptive execution splits a hot key.
 4. A document gets one compressed bitmap of the lines that stay; texts are only read again to apply it.
 
 Defined results: a null or empty text is one empty line; a document without doc_id takes no part and
@@ -113,6 +113,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         .agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
     )
+    # Both sides of the join are written tables, so adaptive execution can split the rows of a hot line.
+    shared = settle(shared.select("h1", "h2", "keeper"), "shared-lines")
     return lines.join(shared, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "text_key", "position")
 
 
