@@ -11,8 +11,8 @@ members only where its overlap with the union allows a link.
    Two sets that link share a token of their prefixes. The order puts tokens in frequent buckets of a sketch
    over all documents last, so passages that many documents share stay out of prefixes. Tokens of one
    set alone go first; what is left are rows (token, group).
-4. A document of the smaller group becomes a query for every other group with which it shares prefix tokens,
-   if they are enough to bound the overlap from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
+4. A document of the smaller group becomes a query for every other group with which it shares a prefix token that
+   is in the front of the shorter set, if the shared prefix tokens are enough to bound the overlap from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
    below 0.8 of its own size is done; the others are compared with the members exactly. Groups are
    dealt out in chunks of ``CHUNK`` members and ``QUERIES_AT_ONCE`` queries, so no task gets a whole hot group.
 5. A link per query and chunk is enough, since a group hangs together already; components give the rest.
@@ -230,8 +230,12 @@ def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame, percent
     return sorted_rows.mapInArrow(_opened(percent), "a long, b long")
 
 
-def _prefix_tokens(known: np.ndarray | None):
-    """The prefix tokens of every signature as rows, or only those whose bit is set."""
+def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
+    """The prefix tokens of every signature as rows, or only those whose bit is set.
+
+    With ``n`` at hand a row also tells whether the token is in the ``front``: a set that links to one at least as
+    large shares a token of its first n - ceil(2 percent / (100 + percent) n) + 1.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if known is None else unpacked(known)
@@ -240,13 +244,19 @@ def _prefix_tokens(known: np.ndarray | None):
                 part = batch.slice(at, 512)
                 packed = part["prefix"].to_pylist()
                 tokens = np.frombuffer(b"".join(packed), np.int64)
-                row = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
+                sizes = np.array([len(p) // 8 for p in packed], np.int64)
+                row = np.repeat(np.arange(len(packed)), sizes)
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 if held is not None:
                     wanted = held[tokens % BITS]
-                    tokens, row = tokens[wanted], row[wanted]
-                others = [part[c].take(pa.array(row)) for c in part.schema.names if c != "prefix"]
+                    tokens, row, place = tokens[wanted], row[wanted], place[wanted]
                 names = [c for c in part.schema.names if c != "prefix"]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), *others], names=["token", *names])
+                columns = {c: part[c].take(pa.array(row)) for c in names}
+                if "n" in names:
+                    n = part["n"].to_numpy()
+                    front = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+                    columns["front"] = pa.array(place < front[row])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *columns.values()], names=["token", *columns])
 
     return rows
 
@@ -291,22 +301,32 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tokens = marks.mapInArrow(_prefix_tokens(None), "token long, mark long")
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
     known = known_bits(shared, "token", BITS)
-    rows = real.select("prefix", "doc_id", "n").mapInArrow(_prefix_tokens(known), "token long, doc_id long, n long")
+    rows = real.select("prefix", "doc_id", "n").mapInArrow(
+        _prefix_tokens(known, percent), "token long, doc_id long, n long, front boolean"
+    )
     labels = reps.select("doc_id").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labels = settle(labels.select("doc_id", F.coalesce("component", "doc_id").alias("grp")), "groups")
     matrix = settle(rows.join(labels, "doc_id"), "matrix")
     mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "n"), "matrix")
+    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "n", "front"), "matrix")
 
     sizes = reps.join(labels, "doc_id").groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     matrix = matrix.join(settle(sizes, "group-sizes"), "grp")  # two written sides: a hot group can be split
-    of_group = matrix.select(
-        "token", F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("low").alias("g_low"), F.col("high").alias("g_high")
-    ).distinct()
+    group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
+    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(F.max("front").alias("g_front"))
+    of_group = settle(of_group, "group-tokens")
+    # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
+    # sets, but of none so much that they link, joins nothing.
     smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
-    met = matrix.join(of_group, "token").where(smaller).groupBy("g", "doc_id", "n", "g_low", "g_high").agg(F.count("*").alias("shared"))
+    pair = ["g", "doc_id", "n", "g_low", "g_high"]
+    below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
+    above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") <= F.col("n")))
+    pairs = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
+    # For those pairs all shared prefix tokens are counted.
+    both = pairs.join(matrix.select("doc_id", "token"), "doc_id").join(of_group.select("g", "token"), ["g", "token"], "left_semi")
+    met = both.groupBy(pair).agg(F.countDistinct("token").alias("shared"))
     asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id").distinct()
     asked = settle(asked, "queries")
     opened = labels.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "doc_id")
