@@ -59,7 +59,9 @@ class Pieces:
         self.longest = max(map(len, scores))
         # A character of its own bytes is worse than any path through pieces of the same length.
         self.byte_score = min(-1e6, 10 * min((s for s, _ in scores.values() if s > -1e8), default=0.0))
-        self.prefixes = {piece[:n] for piece in scores for n in range(1, len(piece) + 1)}
+        #: Pieces with score and id; what only begins a piece has None, so one look-up tells when to stop.
+        self.begun: dict[str, tuple[float, int] | None] = {p[:n]: None for p in scores for n in range(1, len(p))}
+        self.begun.update(scores)
         self.words_apart = not any(BLANK in piece.lstrip(BLANK) for piece in scores)
         self.code: dict[str, tuple[int, ...]] = {}
 
@@ -122,16 +124,15 @@ class Pieces:
         if n > 4 * self.longest or BLANK in word:
             return tuple(i for ids in self.stream(word) for i in ids)
         text = word.replace(" ", BLANK)
-        scores, prefixes = self.scores, self.prefixes
+        begun, nothing = self.begun, (0.0, -1)
         best = [0.0] + [float("-inf")] * n
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
         for start in range(n):
             here = best[start]
             for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                if piece not in prefixes:
+                found = begun.get(text[start:end], nothing)
+                if found is nothing:
                     break
-                found = scores.get(piece)
                 if found is not None and here + found[0] > best[end]:
                     best[end] = here + found[0]
                     back[end] = (start, (found[1],))
