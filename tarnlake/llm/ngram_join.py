@@ -321,8 +321,10 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # sets, but of none so much that they link, joins nothing.
     smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
     pair = ["g", "doc_id", "n", "g_low", "g_high"]
+    # Sets that link differ in size by no more than percent; a group must have a member of such a size.
+    smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
     below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
-    above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") <= F.col("n")))
+    above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
     pairs = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
     # For those pairs all shared prefix tokens are counted.
     both = pairs.join(matrix.select("doc_id", "token"), "doc_id").join(of_group.select("g", "token"), ["g", "token"], "left_semi")
