@@ -15,20 +15,22 @@ members only where its overlap with the union allows a link.
    is in the front of the shorter set, if the shared prefix tokens are enough to bound the overlap from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
    below 0.8 of its own size is done; the others are compared with the members exactly. Groups are
    dealt out in chunks of ``CHUNK`` members and ``QUERIES_AT_ONCE`` queries, so no task gets a whole hot group.
-5. A link per query and chunk is enough, since a group hangs together already; components give the rest.
+   The members of a group are compared with each other alike, chunk against chunk, each pair in one block.
+5. Every pair of representatives that links is written. Components come from those between groups, since a
+   group hangs together already; numbers of links come from the pairs and the numbers of copies.
 
-No link between different groups is lost, whatever the sketch and the groups are: they only decide how much
-is compared. The sketch (``SKETCH`` bytes) and the bit maps (``BITS``) have a fixed size.
+No link is lost, whatever the sketch and the groups are: they only decide how much is compared. The sketch (``SKETCH`` bytes) and the bit maps (``BITS``) have a fixed size.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a null doc_id links with
 nothing and has no component; rows with the same doc_id are one node with several sets; an empty table gives
-no rows; other columns are not looked at.
+no rows; other columns are not looked at. Links are between sets, so two texts of one doc_id may link as well.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ SKETCH_SLICES = 64
 BITS = 1 << 24
 CHUNK = 256
 QUERIES_AT_ONCE = 4096
+LINKS_AT_ONCE = 1 << 16
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BAND_KEYS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -158,7 +161,7 @@ def signatures(docs: DataFrame, classes: np.ndarray, words: int = WORDS, percent
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and its packed tokens for the documents of ``wanted`` (and a few more, by the bit map)."""
+    """doc_id, f1 and packed tokens of the sets of the documents of ``wanted`` (and a few more, by the bit map)."""
     known = known_bits(wanted, "doc_id", BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,68 +169,124 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for part in slices([batch.filter(pa.array(held[ids % BITS]))]):
-                sets = [s.tobytes() for s in shingle_sets(filled(part["text"]), words)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
+                sets = shingle_sets(filled(part["text"]), words)
+                f1 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(f1.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "f1", "tokens"],
+                )
 
     known_docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    return known_docs.mapInArrow(rows, "doc_id long, tokens binary")
+    return known_docs.mapInArrow(rows, "doc_id long, f1 long, tokens binary")
 
 
 def _opened(percent: int):
-    """Queries against the members that came before them: one link each, if the union's bound allows any."""
+    """All links of queries to the members that came before them, and with salt 0 those of members to each other."""
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        a, a_set, b, b_set, inside = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (a, a_set, b, b_set, inside))), names=LINK.names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, union, owner, sizes = None, [], None, None, None
+        key = last = None
+        members, union, owner, sizes, docs, marks = [], None, None, None, None, None
+        found, held = [], 0
+
+        def gather() -> None:
+            nonlocal union, owner, sizes, docs, marks
+            sizes = np.array([len(t) for _, _, t in members])
+            union = np.concatenate([t for _, _, t in members])
+            owner = np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(union, kind="stable")
+            union, owner = union[order], owner[order]
+            docs, marks = (np.array(c, np.int64) for c in list(zip(*members))[:2])
+
+        def compare(doc: int, mark: int, tokens: np.ndarray, most: int, inside: bool) -> None:
+            nonlocal held
+            low, high = np.searchsorted(union, tokens, "left"), np.searchsorted(union, tokens, "right")
+            if 100 * (high > low).sum() < percent * len(tokens):
+                return  # the group stays closed
+            hits = np.repeat(low, high - low) + np.arange((high - low).sum())
+            hits -= np.repeat(np.cumsum(high - low) - (high - low), high - low)
+            shared = np.bincount(owner[hits], minlength=len(members))
+            linked = np.flatnonzero(100 * shared >= percent * (sizes + len(tokens) - shared))
+            linked = linked[linked < most]
+            if len(linked):
+                n = len(linked)
+                one = np.full(n, doc, np.int64), np.full(n, mark, np.int64)
+                found.append((*one, docs[linked], marks[linked], np.full(n, inside)))
+                held += n
+
+        def full(most: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held >= most:
+                yield packed(found)
+                found.clear()
+                held = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """The links among the members of the block, when all have come."""
+            if key is not None and key[2] == 0 and len(members) > 1:
+                if union is None:
+                    gather()
+                for i, (doc, mark, tokens) in enumerate(members):
+                    compare(doc, mark, tokens, i, True)
+                    yield from full(LINKS_AT_ONCE)
+
         for batch in batches:
-            links = []
-            columns = (batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "doc_id", "tokens"))
-            for grp, part, salt, is_query, doc, packed in zip(*columns):
-                tokens = np.frombuffer(packed, np.uint64)
+            columns = (batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "inside", "doc_id", "f1", "tokens"))
+            for grp, part, salt, is_query, inside, doc, mark, raw in zip(*columns):
+                tokens = np.frombuffer(raw, np.uint64)
                 if (grp, part, salt) != key:
+                    yield from closed()
                     key, members, union = (grp, part, salt), [], None
+                if (key, is_query, doc, mark) == last or not len(tokens):
+                    continue  # a repeated row
+                last = (key, is_query, doc, mark)
                 if not is_query:
-                    members.append((doc, tokens))
-                    continue
-                if not members or not len(tokens):
-                    continue
-                if union is None:
-                    union = np.concatenate([t for _, t in members])
-                    owner = np.repeat(np.arange(len(members)), [len(t) for _, t in members])
-                    order = np.argsort(union, kind="stable")
-                    union, owner = union[order], owner[order]
-                    sizes = np.array([len(t) for _, t in members])
-                low, high = np.searchsorted(union, tokens, "left"), np.searchsorted(union, tokens, "right")
-                if 100 * (high > low).sum() < percent * len(tokens):
-                    continue  # the group stays closed
-                hits = np.repeat(low, high - low) + np.arange((high - low).sum())
-                hits -= np.repeat(np.cumsum(high - low) - (high - low), high - low)
-                shared = np.bincount(owner[hits], minlength=len(members))
-                linked = 100 * shared >= percent * (sizes + len(tokens) - shared)
-                links += [(doc, members[i][0]) for i in np.flatnonzero(linked) if members[i][0] != doc][:1]
-            if links:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q for q, _ in links], pa.int64()), pa.array([m for _, m in links], pa.int64())],
-                    names=["a", "b"],
-                )
+                    members.append((doc, mark, tokens))
+                elif members:
+                    if union is None:
+                        gather()
+                    compare(doc, mark, tokens, len(members), inside)
+                    yield from full(LINKS_AT_ONCE)
+        yield from closed()
+        yield from full(1)
 
     return rows
 
 
-def open_groups(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between queries (grp, doc_id) and members (grp, doc_id): one per query and chunk of a group."""
+LINK = pa.schema([("a", pa.int64()), ("a_set", pa.int64()), ("b", pa.int64()), ("b_set", pa.int64()), ("inside", pa.bool_())])
+
+
+def open_groups(
+    members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int = PERCENT, inside: bool = False
+) -> DataFrame:
+    """Links (a, a_set, b, b_set, inside) of queries (grp, doc_id, f1) to members (grp, doc_id, f1), each once.
+
+    With ``inside`` members link with each other too: those of one chunk where the chunk is, and those of two
+    chunks where the members of the later one are dealt to the earlier one as queries.
+    """
     counts = queries.groupBy("grp").agg(F.count("*").alias("queries"))
-    salts = F.ceil(F.col("queries") / QUERIES_AT_ONCE).cast("int")
+    asking = F.coalesce("queries", F.lit(0)) + (F.col("members") if inside else F.lit(0))
+    salts = F.greatest(F.ceil(asking / QUERIES_AT_ONCE), F.lit(1)).cast("int")
     parts = F.ceil(F.col("members") / CHUNK).cast("int")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("members")).join(counts, "grp")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("members")).join(counts, "grp", "left")
     sizes = sizes.select("grp", salts.alias("salts"), parts.alias("parts"))
     spread = lambda by, n: F.pmod(F.xxhash64("doc_id", F.lit(by)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = members.join(sizes, "grp").select("grp", "doc_id", spread(1, "parts").alias("part"), every("salts").alias("salt"))
-    q = queries.join(sizes, "grp").select("grp", "doc_id", every("parts").alias("part"), spread(2, "salts").alias("salt"))
-    rows = m.withColumn("is_query", F.lit(False)).unionByName(q.withColumn("is_query", F.lit(True)))
-    dealt = rows.join(sets, "doc_id").repartition("grp", "part", "salt")
-    sorted_rows = dealt.sortWithinPartitions("grp", "part", "salt", "is_query")
-    return sorted_rows.mapInArrow(_opened(percent), "a long, b long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    node = ["grp", "doc_id", "f1"]
+    placed = members.join(sizes, "grp").select(*node, spread(1, "parts").alias("part"), "salts")
+    m = placed.select(*node, "part", every(F.col("salts")).alias("salt"), F.lit(False).alias("is_query"), F.lit(True).alias("inside"))
+    q = queries.join(sizes, "grp").select(*node, every(F.col("parts")).alias("part"), spread(2, "salts").alias("salt"))
+    rows = m.unionByName(q.withColumn("is_query", F.lit(True)).withColumn("inside", F.lit(False)))
+    if inside:
+        own = placed.where("part > 0").select(*node, every(F.col("part")).alias("part"), spread(2, "salts").alias("salt"))
+        rows = rows.unionByName(own.withColumn("is_query", F.lit(True)).withColumn("inside", F.lit(True)))
+    dealt = rows.join(sets, ["doc_id", "f1"]).repartition("grp", "part", "salt")
+    # Repeated rows come one after the other; a document has one place as a query and one as a member.
+    sorted_rows = dealt.sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id", "f1")
+    return sorted_rows.mapInArrow(_opened(percent), "a long, a_set long, b long, b_set long, inside boolean")
 
 
 def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
@@ -279,64 +338,103 @@ def _least_shared(percent: int) -> Column:
     return F.when(low <= high, F.least(need(low), need(high)))
 
 
+class Similar(NamedTuple):
+    """What the join finds.
+
+    ``classes``: per row doc_id, n_shingles, component_id. ``links``: a, a_set, b, b_set, every pair of different
+    sets that links, once, each set by its smallest doc_id and its fingerprint. ``copies``: doc_id, f1 (its set),
+    rep, the smallest doc_id with an equal set.
+    """
+
+    classes: DataFrame
+    links: DataFrame
+    copies: DataFrame
+
+
 def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    return similar(docs, words, percent).classes
+
+
+def link_counts(found: Similar) -> DataFrame:
+    """doc_id, f1, n_links for every document's set: its other copies and all copies of the sets it links with."""
+    links, held = found.links, found.copies.select("doc_id", "rep", "f1").distinct()
+    of_set = settle(held.groupBy("rep", "f1").agg(F.count("*").alias("copies")), "copy-counts")
+    both = links.select("a", "a_set", "b", "b_set").union(links.select("b", "b_set", "a", "a_set"))
+    other = of_set.select(F.col("rep").alias("b"), F.col("f1").alias("b_set"), "copies")
+    far = both.join(other, ["b", "b_set"]).groupBy(F.col("a").alias("rep"), F.col("a_set").alias("f1"))
+    total = of_set.join(far.agg(F.sum("copies").alias("far")), ["rep", "f1"], "left")
+    total = total.select("rep", "f1", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return held.join(total, ["rep", "f1"]).select("doc_id", "f1", "n_links")
+
+
+def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Similar:
+    """The whole join; the links and the copies are written."""
     signed = settle(signatures(docs, frequency_classes(docs, words), words, percent), "signatures")
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
     by_set = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    copies = settle(real.select("doc_id", "f1", "f2", "n").join(by_set, ["f1", "f2", "n"]).select("doc_id", "rep", "n"), "copies")
-    reps = copies.where("doc_id = rep").select("doc_id", "n").distinct()
+    copies = settle(real.select("doc_id", "f1", "f2", "n").join(by_set, ["f1", "f2", "n"]).select("doc_id", "rep", "f1", "n"), "copies")
+    reps = copies.where("doc_id = rep").select("doc_id", "f1", "n").distinct()
 
-    bands = real.select("doc_id", F.explode("bands").alias("band")).join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    bands = real.select("doc_id", "f1", F.explode("bands").alias("band")).join(reps, ["doc_id", "f1"], "left_semi")
     bands = settle(bands, "bands")
-    firsts = bands.groupBy("band").agg(F.min("doc_id").alias("grp"), F.max("doc_id").alias("last")).where("grp < last")
-    queries = settle(bands.join(firsts, "band").where("doc_id <> grp").select("grp", "doc_id").distinct(), "near")
-    members = queries.select("grp").distinct().withColumn("doc_id", F.col("grp"))
+    first = F.min(F.struct("doc_id", "f1")).alias("first")
+    firsts = bands.groupBy("band").agg(first, F.max("doc_id").alias("last")).where("first.doc_id < last")
+    firsts = firsts.select("band", F.col("first.doc_id").alias("grp"), F.col("first.f1").alias("grp_f1"))
+    queries = bands.join(firsts, "band").where("doc_id <> grp").select("grp", "grp_f1", "doc_id", "f1").distinct()
+    queries = settle(queries, "near")
+    members = queries.select("grp", F.col("grp").alias("doc_id"), F.col("grp_f1").alias("f1")).distinct()
+    queries = queries.select("grp", "doc_id", "f1").distinct()
     wanted = queries.select("doc_id").union(members.select("doc_id"))
-    near = settle(open_groups(members, queries, sets_of(docs, wanted, words), percent), "links")
-    grouped = components(near)
+    near = settle(open_groups(members, queries, sets_of(docs, wanted, words), percent), "near-links")
+    grouped = components(near.select("a", "b"))
 
     # Tokens of one set only cannot link anything; equal sets have equal fingerprints.
     marks = real.select("prefix", F.shiftright("f1", 16).alias("mark"))
     tokens = marks.mapInArrow(_prefix_tokens(None), "token long, mark long")
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
     known = known_bits(shared, "token", BITS)
-    rows = real.select("prefix", "doc_id", "n").mapInArrow(
-        _prefix_tokens(known, percent), "token long, doc_id long, n long, front boolean"
+    rows = real.select("prefix", "doc_id", "f1", "n").mapInArrow(
+        _prefix_tokens(known, percent), "token long, doc_id long, f1 long, n long, front boolean"
     )
-    labels = reps.select("doc_id").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labels = settle(labels.select("doc_id", F.coalesce("component", "doc_id").alias("grp")), "groups")
-    matrix = settle(rows.join(labels, "doc_id"), "matrix")
+    labels = reps.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labels = settle(labels.select("doc_id", "f1", "n", F.coalesce("component", "doc_id").alias("grp")), "groups")
+    matrix = settle(rows.join(labels.drop("n"), ["doc_id", "f1"]), "matrix")
     mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "n", "front"), "matrix")
+    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "f1", "n", "front"), "matrix")
 
-    sizes = reps.join(labels, "doc_id").groupBy("grp").agg(
+    sizes = labels.groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
     )
-    matrix = matrix.join(settle(sizes, "group-sizes"), "grp")  # two written sides: a hot group can be split
+    sizes = settle(sizes, "group-sizes")
+    matrix = matrix.join(sizes, "grp")  # two written sides: a hot group can be split
     group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
     of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(F.max("front").alias("g_front"))
     of_group = settle(of_group, "group-tokens")
     # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
     # sets, but of none so much that they link, joins nothing.
     smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
-    pair = ["g", "doc_id", "n", "g_low", "g_high"]
+    pair = ["g", "doc_id", "f1", "n", "g_low", "g_high"]
     # Sets that link differ in size by no more than percent; a group must have a member of such a size.
     smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
     below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
     above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
     pairs = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
     # For those pairs all shared prefix tokens are counted.
-    both = pairs.join(matrix.select("doc_id", "token"), "doc_id").join(of_group.select("g", "token"), ["g", "token"], "left_semi")
-    met = both.groupBy(pair).agg(F.countDistinct("token").alias("shared"))
-    asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id").distinct()
+    both = pairs.join(matrix.select("doc_id", "f1", "token"), ["doc_id", "f1"])
+    met = both.join(of_group.select("g", "token"), ["g", "token"], "left_semi").groupBy(pair).agg(F.countDistinct("token").alias("shared"))
+    asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id", "f1").distinct()
     asked = settle(asked, "queries")
-    opened = labels.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "doc_id")
+    of_many = sizes.where("size > 1").select("grp")
+    opened = labels.join(asked.select("grp").union(of_many).distinct(), "grp", "left_semi").select("grp", "doc_id", "f1")
     wanted = asked.select("doc_id").union(opened.select("doc_id"))
-    far = open_groups(opened, asked, sets_of(docs, wanted, words), percent)
+    links = settle(open_groups(opened, asked, sets_of(docs, wanted, words), percent, inside=True), "links")
 
     same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(near.union(far).union(same)).withColumnRenamed("node", "doc_id")
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
+    # Inside a group the links to the first documents of bands are enough.
+    far = links.where("NOT inside").select("a", "b")
+    found = components(near.select("a", "b").union(far).union(same)).withColumnRenamed("node", "doc_id")
+    classes = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+    return Similar(classes, links.drop("inside"), copies)

@@ -111,6 +111,25 @@ def test_join_equals_brute_force(spark, seed, monkeypatch):
     assert classes(documents(spark, rows)) == expected_classes(rows)
 
 
+def test_every_link_of_a_family_is_listed_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "QUERIES_AT_ONCE", 4)
+    rows = corpus(4) + [(0, prose(9, 60)), (1, None), (900, corpus(4)[0][1]), (900, corpus(4)[0][1])]
+    text = split(prose(10, 120))
+    rows += [(1000 + i, " ".join([*text[: 9 * i], f"w{i}", *text[9 * i + 1 :]])) for i in range(12)]  # all link
+    sets = {(d, frozenset(shingles(t))) for d, t in rows if shingles(t)}
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    found = ngram_join.similar(documents(spark, rows))
+    rep = {}
+    for d, s in sorted(sets, key=lambda x: x[0]):
+        rep.setdefault(s, d)
+    expected = sorted(tuple(sorted((rep[x], rep[y]))) for x in rep for y in rep if id(x) < id(y) and linked(x, y))
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in found.links.collect()) == expected
+    counts = sorted((r["doc_id"], r["n_links"]) for r in ngram_join.link_counts(found).collect())
+    assert counts == sorted((d, sum(linked(s, o) for _, o in sets) - 1) for d, s in sets)
+    assert len(expected) >= 66
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     r = random.Random(3)
     ids = r.sample(range(10**6), 300)
