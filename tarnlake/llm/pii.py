@@ -6,13 +6,15 @@ and phone numbers); they are always reported, and they are the seeds. What else
 seed or candidate is the pair of words before it. Patterns and instances (values) form a graph:
 
 * a pattern's score is the summed score of the instances behind it, over all its occurrences in the
-  whole corpus, whatever follows; it needs ``MIN_SEEDS`` different seed values;
-* an instance's score is 1 for a seed, else the best score among its patterns.
+  whole corpus, whatever follows; it needs ``MIN_SEEDS`` different known values;
+* an instance's score is 1 for a known value, else the best score among its patterns.
 
-Spark scores the graph for ``ROUNDS`` rounds; the candidates behind patterns of at least ``CONFIDENT`` are
-reported as kind ``id``. Patterns without enough seeds can never score, so only those with enough are
-counted in the corpus: a bit map of fixed size (``BITS`` bits, 512 KiB) lets each task skip other word pairs
-before its counts are joined exactly. Counts are combined in each task, so a frequent pair is one row a task.
+At first the seeds are known. Spark scores the graph for ``ROUNDS`` rounds; the candidates behind patterns of at
+least ``CONFIDENT`` become known, and the graph is scored anew with the patterns that now have enough known values,
+until no new value appears. The candidates behind the patterns that are confident then are reported as kind ``id``.
+Patterns without ``MIN_SEEDS`` different values of any kind can never score, so only the others are counted in the
+corpus, once: a bit map of fixed size (``BITS`` bits, 512 KiB) lets each task skip other word pairs before its
+counts are joined exactly. Counts are combined in each task, so a frequent pair is one row a task.
 
 Defined results: a null text is an empty one; a null doc_id is an id like any other; repeated rows each get
 a row, and a value counts once for a pattern however often it occurs; an empty table gives no rows; other
@@ -202,20 +204,33 @@ def pattern_occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS, least: float = CONFIDENT) -> DataFrame:
-    """The patterns whose score is at least ``least`` after the last round; one column, pattern."""
-    seeded = edges.where("seed").groupBy("pattern").agg(F.countDistinct("value").alias("seeds"))
-    seeded = settle(seeded.where(F.col("seeds") >= MIN_SEEDS).select("pattern"), "pii-patterns")
-    total = settle(pattern_occurrences(docs, seeded), "pii-totals")
+    """The patterns whose score is at least ``least`` when no new value becomes known; one column, pattern."""
+    enough = F.countDistinct("value") >= MIN_SEEDS
+    possible = settle(edges.groupBy("pattern").agg(enough.alias("enough")).where("enough").select("pattern"), "pii-patterns")
+    total = settle(pattern_occurrences(docs, possible), "pii-totals")
     # An edge's weight is how often the value stands behind the pattern.
-    graph = settle(edges.join(total, "pattern").select("pattern", "value", "seed", "n", "total"), "pii-graph")
-    scores = None
-    for _ in range(rounds):
-        known = F.when(F.col("seed"), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
-        weighed = graph if scores is None else graph.join(scores, "value", "left")
-        patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * known) / F.max("total")).alias("confidence"))
-        behind = graph.where(~F.col("seed")).join(patterns, "pattern")
-        scores = behind.groupBy("value").agg(F.max("confidence").alias("score"))
-    return patterns.where(F.col("confidence") >= least).select("pattern")
+    edges = settle(edges.join(total, "pattern").select("pattern", "value", "seed", "n", "total"), "pii-graph")
+    values = edges.select("value").limit(0)
+    while True:
+        found = values.withColumn("found", F.lit(True))
+        known = F.col("seed") | F.coalesce("found", F.lit(False))
+        marked = edges.join(found, "value", "left").select("pattern", "value", "seed", "n", "total", known.alias("known"))
+        marked = settle(marked, "pii-marked")
+        ready = marked.where("known").groupBy("pattern").agg(enough.alias("enough")).where("enough").select("pattern")
+        graph = settle(marked.join(ready, "pattern", "left_semi"), "pii-graph")
+        scores = None
+        for _ in range(rounds):
+            score = F.when(F.col("known"), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
+            weighed = graph if scores is None else graph.join(scores, "value", "left")
+            patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * score) / F.max("total")).alias("confidence"))
+            behind = graph.where(~F.col("known")).join(patterns, "pattern")
+            scores = behind.groupBy("value").agg(F.max("confidence").alias("score"))
+        sure = settle(patterns.where(F.col("confidence") >= least).select("pattern"), "pii-sure")
+        new = graph.where(~F.col("known")).join(sure, "pattern", "left_semi").select("value").distinct()
+        new = settle(new, "pii-values")
+        if new.isEmpty():
+            return sure
+        values = settle(values.union(new).distinct(), "pii-known")
 
 
 def entity_spans(docs: DataFrame) -> DataFrame:

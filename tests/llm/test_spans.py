@@ -125,3 +125,13 @@ def test_patterns_learned_from_seeds_find_identifiers_without_a_rule(spark):
     assert found[100] == f"id:{start}:{start + len('0171-2345678')}"
     assert found[101] == ""
     assert found[3].startswith("phone:") and "id:" not in found[3]
+
+
+def test_found_identifiers_lead_to_further_patterns(spark):
+    rows = [(i, f"{prose(i, 20)} please call +1 (234) 555-{1000 + i} {prose(i + 50, 5)}") for i in range(12)]
+    behind = {"please call": range(3), "our hotline": range(6), "desk line": range(3, 7), "order number": range(20, 30)}
+    rows += [(100 * k + n, f"{prose(n, 9)} {words} 0171-23456{n:02} {prose(n + 9, 4)}") for k, (words, numbers) in enumerate(behind.items(), 1) for n in numbers]
+    found = {r["doc_id"]: r["spans"] for r in pii.entity_spans(documents(spark, rows)).collect()}
+    for doc, text in rows[12:]:
+        start = text.index("0171")
+        assert found[doc] == ("" if doc >= 400 else f"id:{start}:{start + 12}")
