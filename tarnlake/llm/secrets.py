@@ -10,7 +10,7 @@ few hundred characters of one text, so it holds few parts however many a documen
 Weak parts, by role:
 
 * ``user`` (access identifier): the value of user, username, login, client_id, account or key_id;
-* ``opaque`` (secret): a string of 20 to 128 key characters with upper case, lower case and digits;
+* ``opaque`` (secret): a string of 20 and more key characters with upper case, lower case and digits;
 * ``endpoint``: a URL, or host.name:port.
 
 An ``opaque`` part needs an access identifier or an endpoint beside it, the two others need a secret. An
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,8 +70,7 @@ def strong_spans(text: str) -> list[tuple[int, str, int]]:
 
 def _mixed(value: str) -> bool:
     return (
-        len(value) <= 128
-        and any("a" <= c <= "z" for c in value)
+        any("a" <= c <= "z" for c in value)
         and any("A" <= c <= "Z" for c in value)
         and any("0" <= c <= "9" for c in value)
     )
@@ -87,15 +88,9 @@ def weak_spans(text: str, strong: list[tuple[int, str, int]]) -> list[tuple[int,
     if not found or not strong:
         return found
     taken = sorted((s, e) for s, _, e in strong)
-    clear, i = [], 0
-    reach = 0  # the furthest end of the strong spans that begin before the one in hand
-    for start, kind, end in sorted(found):
-        while i < len(taken) and taken[i][0] < end:
-            reach = max(reach, taken[i][1])
-            i += 1
-        if reach <= start:
-            clear.append((start, kind, end))
-    return clear
+    starts = [s for s, _ in taken]
+    reach = [0, *accumulate((e for _, e in taken), max)]  # the furthest end of the first spans
+    return [(start, kind, end) for start, kind, end in sorted(found) if reach[bisect_left(starts, end)] <= start]
 
 
 def listed(spans: list[tuple[int, str, int]]) -> str:
