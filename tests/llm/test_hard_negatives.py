@@ -1,0 +1,111 @@
+"""Hard negatives against brute force with Python integers."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnlake.llm import hard_negatives
+from tarnlake.llm.hard_negatives import Heaps, strassen
+
+NAN, INF = float("nan"), float("inf")
+
+
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 40), st.integers(1, 5), st.integers(0, 99))
+@settings(max_examples=150, deadline=None)
+def test_strassen_is_the_product(m, n, k, leaf, seed):
+    r = np.random.default_rng(seed)
+    a, b = r.integers(-(2**27), 2**27, (m, k)), r.integers(-(2**27), 2**27, (n, k))
+    expected = [[sum(int(x) * int(y) for x, y in zip(u, v)) for v in b] for u in a]
+    assert strassen(a, b, leaf).tolist() == expected
+
+
+def test_strassen_survives_wrapping_sums():
+    big = np.full((5, 1), 2**62)
+    assert strassen(big, np.array([[1], [-1]]), 1).tolist() == [[2**62, -(2**62)]] * 5
+
+
+@given(st.lists(st.lists(st.integers(-3, 3), min_size=7, max_size=7), min_size=1, max_size=4), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_heaps_merge_to_the_best(rows, k):
+    scores = np.array(rows, np.int64)
+    whole, left, right = Heaps(len(rows), k), Heaps(len(rows), k), Heaps(len(rows), k)
+    whole.offer(scores, 0)
+    left.offer(scores[:, :3], 0)
+    right.offer(scores[:, 3:], 3)
+    right.merge(left)
+    for i, row in enumerate(rows):
+        best = sorted(range(7), key=lambda j: (-row[j], j))[:k]
+        assert whole.place[i, : len(best)].tolist() == right.place[i, : len(best)].tolist() == best
+        assert whole.score[i, : len(best)].tolist() == [row[j] for j in best]
+
+
+def brute(rows: list[tuple]) -> list[tuple]:
+    taken = []
+    for vec_id, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label
+        taken.append((vec_id, [math.floor(256 * float(np.float32(x))) for x in vector], label))
+    taken = [t for t in taken if sum(x * x for x in t[1]) < 2**56]
+    order = lambda t: (-t[1], t[0] is None, t[0] or 0)
+    out = []
+    for i, (anchor, v, label) in enumerate(taken):
+        if anchor is None or anchor % 100:
+            continue
+        score = lambda w: sum(x * y for x, y in zip(v, w))
+        others = [(u, score(w), m) for j, (u, w, m) in enumerate(taken) if j != i]
+        for positive in sorted((o for o in others if o[2] == label), key=order)[:5]:
+            fits = [o for o in others if o[2] != label and 80 * positive[1] <= 100 * o[1] <= 100 * positive[1]]
+            for rank, negative in enumerate(sorted(fits, key=order)[:5], 1):
+                out.append((anchor, positive[0], rank, negative[0], positive[1], negative[1]))
+    return sorted(out, key=str)
+
+
+def found(df) -> list[tuple]:
+    return sorted(map(tuple, hard_negatives.mined(df).collect()), key=str)
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, row string, v string, score string, anchor string, slot int, ca int, cr int, `a.b` int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y", "z", "w", 1, 2, 3, 4) for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_equals_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "CELL_VALUES", 1)  # several cells and tiles
+    monkeypatch.setattr(hard_negatives, "LEAST_ROWS", 23)
+    monkeypatch.setattr(hard_negatives, "TILE_ROWS", 16)
+    r = random.Random(seed)
+    centres = [[r.gauss(0, 1) for _ in range(9)] for _ in range(4)]
+    rows = [(i, [c + r.gauss(0, 0.3) for c in r.choice(centres)], r.randrange(3)) for i in range(0, 500, 4)]
+    rows += [(1000 + i, [float(round(x)) for x in r.choice(centres)], 1) for i in range(30)]  # ties
+    assert found(frame(spark, rows).repartition(5)) == brute(rows) != []
+
+
+def test_mined_on_edge_cases(spark):
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 2.9]
+    rows = [
+        (0, a, 9), (100, a, 1), (100, a, 1), (100, b, 1), (-100, b, 2), (200, None, 1), (300, a, None), (400, [], 1),
+        (500, [1.0, None, 1.0], 1), (600, [NAN, 1.0, 1.0], 1), (700, a, 2), (800, [INF, 0.0, 0.0], 1), (1, a, 0), (2, a, 2),
+        (3, [1.0, 2.0], 2), (None, a, 1), (None, b, 2), (900, [3e38, 1.0, 1.0], 1), (4, b, 2), (5, b, 1), (1000, [-1.0, -2.0, -3.0], 7),
+        (6, [-1.0, -2.0, -3.0], 7), (1100, [0.0, 0.0, 0.0], 8), (8, [0.0, 0.0, 0.0], 8), (9, [0.0, 0.0, 0.0], 6),
+    ]
+    assert found(frame(spark, rows)) == brute(rows)
+    assert found(frame(spark, rows).limit(0)) == []
+    assert found(frame(spark, rows[:1])) == []
+
+
+def test_hot_label_and_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAST_ROWS", 40)
+    monkeypatch.setattr(hard_negatives, "CELL_VALUES", 1)
+    r = random.Random(5)
+    rows = [(i, [1.0, 0.5], 3) for i in range(0, 400, 3)] + [(i, [r.random(), r.random()], 4 + i % 3) for i in range(1, 400, 3)]
+    assert found(frame(spark, rows)) == brute(rows)
