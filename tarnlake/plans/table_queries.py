@@ -23,6 +23,7 @@ from tarnlake.plans import reports
 from tarnlake.plans.registry import query, read
 from tarnlake.session import own_session
 from tarnlake.sources import catalog
+from tarnlake.sources.partitions import point_table
 from tarnlake.sources.retire import retire_folders
 from tarnlake.sources.scratch import run_folder, settle
 from tarnlake.sources.tables import (
@@ -30,6 +31,8 @@ from tarnlake.sources.tables import (
     append,
     append_partition,
     publish,
+    publish_set,
+    published_set,
     read_files,
     replace_partitions,
     replace_table,
@@ -329,7 +332,7 @@ def partitions_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = f"{database}.orders"
         write_files(orders, f"{folder}/files", partition_by=["dt"])
         schema = plain(orders.schema)
-        catalog.point_table(spark, table, schema, f"{folder}/files", "parquet", ["dt"])
+        point_table(spark, table, schema, f"{folder}/files", "parquet", ["dt"])
         listing = catalog.list_partitions(spark, table).select(F.col("partition").alias("partition_spec"))
         months = spark.table(table).groupBy(F.concat(F.lit("dt="), "dt").alias("partition_spec"))
         counts = months.agg(row_count().alias("cnt"))
@@ -462,6 +465,28 @@ def monthly_gmv_first10_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         return settle(reports.first_days_stored(spark, table, "dt", "o_totalprice"), "w2-result").orderBy("dt")
 
 
+@query(
+    "w2_first10_stored_odd_days",
+    """
+    WITH named AS (
+        SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'null' WHEN '2-HIGH' THEN '__null__' WHEN '3-MEDIUM' THEN NULL
+               ELSE substr(cast(o_orderdate AS varchar), 1, 4) END AS dt, o_totalprice FROM orders
+    )
+    SELECT dt, count(*) AS orders, cast(sum(cast(o_totalprice AS decimal(18, 2))) AS double) AS gmv
+    FROM named GROUP BY 1 ORDER BY dt NULLS FIRST LIMIT 10
+    """,
+)
+def first10_stored_odd_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days stored as NULL and as the text ``null`` are two days."""
+    orders, kind = read(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    year = F.date_format("o_orderdate", "yyyy")
+    day = F.when(kind == "1-URGENT", "null").when(kind == "2-HIGH", "__null__").when(kind != "3-MEDIUM", year)
+    with catalog.temporary_database(spark, "w2n") as (database, folder):
+        table = f"{database}.orders"
+        replace_table(orders.select("o_totalprice", day.alias("dt")), table, folder, partition_by=["dt"])
+        return settle(reports.first_days_stored(spark, table, "dt", "o_totalprice"), "w2-result").orderBy("dt")
+
+
 @query("r1_replace_load", "SELECT * FROM orders")
 def replace_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded twice, dropped, loaded again: still one copy of every row."""
@@ -519,7 +544,7 @@ def replace_touched_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         replace_partitions(events, table)
         replace_partitions(events, table)
         replace_partitions(events.filter((F.col("dt") == DAY) & (F.col("event_type") == "view")), table)
-    return read_files(spark, f"{folder}/files", events.schema).groupBy("dt").agg(row_count().alias("cnt"))
+        return settle(spark.table(table).groupBy("dt").agg(row_count().alias("cnt")), "r2-result")
 
 
 @query("r4_publish", EVENTS_SQL)
@@ -531,6 +556,16 @@ def publish_for_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, folder, events.schema)
 
 
+@query("r4_publish_set", EVENTS_SQL)
+def publish_whole_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part first, then everything: a reader of the manifest has the later load alone."""
+    events = dated_events(spark, sf_dir)
+    folder = run_folder(spark, "r4s")
+    publish_set(events.filter(F.col("dt") == DAY), folder, ["dt"])
+    publish_set(events, folder, ["dt"])
+    return published_set(spark, folder, events.schema)
+
+
 @query(
     "s8_published_layout",
     """
@@ -667,7 +702,7 @@ def sync_copy_drop_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"], path=f"{folder}/files")
         append(_stale_copy(events), table)
         sync_partitions(events, table, drop_extra=True)
-    return read_files(spark, f"{folder}/files", events.schema)
+        return settle(spark.table(table), "r3-result")
 
 
 @query(
@@ -681,4 +716,29 @@ def sync_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"], path=f"{folder}/files")
         append(_stale_copy(events), table)
         sync_partitions(events, table, "dt")
-    return read_files(spark, f"{folder}/files", events.schema)
+        return settle(spark.table(table), "r3-result")
+
+
+@query(
+    "r3_sync_twice_by_ledger",
+    f"""
+    WITH src AS ({EVENTS_SQL})
+    SELECT 'first' AS run, dt, count(*) AS src_rows, cast(0 AS bigint) AS dst_rows, 'missing' AS status FROM src GROUP BY dt
+    UNION ALL
+    SELECT 'second', dt, cast(count(*) FILTER (event_type = 'view') AS bigint), count(*), 'changed' FROM src WHERE dt = '{DAY}' GROUP BY dt
+    """,
+)
+def sync_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans of two runs from one table to another; before the second, one day of the source is cut to its views."""
+    events = dated_events(spark, sf_dir)
+    with catalog.temporary_database(spark, "r3l") as (database, folder):
+        src, dst = f"{database}.src", f"{database}.dst"
+        replace_table(events, src, f"{folder}/src", partition_by=["dt"])
+        catalog.create_table(spark, dst, plain(events.schema), partition_by=["dt"])
+        first = sync_partitions(src, dst)
+        replace_partitions(events.filter((F.col("dt") == DAY) & (F.col("event_type") == "view")), src)
+        second = sync_partitions(src, dst)
+        if not sync_partitions(src, dst).isEmpty():
+            raise RuntimeError("two syncs left a difference")
+        named = [plan.select(F.lit(run).alias("run"), "*") for run, plan in (("first", first), ("second", second))]
+        return settle(named[0].unionByName(named[1]), "r3-plans")

@@ -126,31 +126,29 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def point_table(
-    spark: SparkSession, table: str, schema: T.StructType, path: str, fmt: str, partition_by: Sequence[str] = ()
-) -> None:
-    """Make ``table`` an external table over the finished files at ``path``.
+def add_partitions(spark: SparkSession, table: str, listed: Sequence[tuple[Mapping[str, str | None], str]]) -> None:
+    """Add partitions over existing folders, a thousand in a statement; those already there stay as they are."""
+    for at in range(0, len(listed), 1000):
+        parts = [f"PARTITION ({partition_spec(v)}) LOCATION {text_literal(f)}" for v, f in listed[at : at + 1000]]
+        spark.sql(f"ALTER TABLE {identifier(table)} ADD IF NOT EXISTS {' '.join(parts)}")
 
-    An external table that is already declared like this only changes its location, in one catalog
-    change. Others, and partitioned ones, are dropped and declared again.
-    """
-    if not partition_by and _declared(spark, table, schema, fmt):
-        spark.sql(f"ALTER TABLE {identifier(table)} SET LOCATION {text_literal(path)}")
-        return
-    drop_table(spark, table)
-    create_table(spark, table, schema, fmt, partition_by, path, if_not_exists=False)
-    if partition_by:
-        find_partitions(spark, table)
 
+def partition_folders(spark: SparkSession, table: str) -> list[tuple[dict[str, str | None], str]]:
+    """The values and the folder of every partition, from the catalog alone.
 
-def _declared(spark: SparkSession, table: str, schema: T.StructType, fmt: str) -> bool:
-    """Whether ``table`` is an external, unpartitioned table of these columns, comments and format."""
-    if not spark.catalog.tableExists(table):
-        return False
-    columns = [(c.name, c.dataType, c.description, c.isPartition) for c in spark.catalog.listColumns(table)]
-    wanted = [(f.name, f.dataType.simpleString(), f.metadata.get("comment"), False) for f in schema.fields]
-    facts = table_facts(spark, table)
-    return columns == wanted and (facts["Type"], facts["Provider"].lower()) == ("EXTERNAL", fmt)
+    No statement lists the folders of all partitions, so the session's catalog object is asked.
+    """
+    state = spark._jsparkSession.sessionState()
+    name = state.sqlParser().parseTableIdentifier(identifier(table))
+    listed = state.catalog().listPartitions(name, spark._jvm.scala.Option.empty()).iterator()
+    keys, found = partition_columns(spark, table), []
+    while listed.hasNext():
+        part = listed.next()
+        spec = part.spec()
+        values = {k: spec.apply(k) for k in keys}
+        folder = spark._jvm.org.apache.hadoop.fs.Path(part.location()).toString()
+        found.append(({k: None if v == NULL_PARTITION else v for k, v in values.items()}, folder))
+    return found
 
 
 def list_databases(spark: SparkSession) -> DataFrame:
@@ -174,7 +172,7 @@ def partition_values(spark: SparkSession, table: str, column: str) -> list[str |
     for (spec,) in list_partitions(spark, table).collect():
         named = dict(part.split("=", 1) for part in spec.split("/"))
         value = unquote(named[column])
-        found.add(None if value == NULL_PARTITION or value == "null" else value)
+        found.add(None if value == NULL_PARTITION else value)
     return list(found)
 
 

@@ -9,10 +9,12 @@ from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
-from tarnlake.sources.catalog import table_facts
+from tarnlake.sources.catalog import partition_columns, partition_folders, table_facts
+from tarnlake.sources.notes import read_note
+from tarnlake.sources.tables import MANIFEST
 
 DAY = 24 * 3600
-_MADE_HERE = re.compile(r"^(load-[0-9a-f]{12}|.+-compact-\d+-[0-9a-f]{12})$")
+_MADE_HERE = re.compile(r"^(_?load-[0-9a-f]{12}|.+-compact-\d+-[0-9a-f]{12})$")
 
 
 def _plain(path: str) -> str:
@@ -22,13 +24,18 @@ def _plain(path: str) -> str:
 def retire_folders(spark: SparkSession, root: str, tables: Sequence[str], older_than: float = 7 * DAY) -> list[str]:
     """Delete folders directly under ``root`` that a load or a compaction made and no table uses; returns them.
 
-    ``tables`` are all tables with files under ``root``. A folder stays if it holds a location or a file of one
-    of them, or was changed within the last ``older_than`` seconds, which have to cover the longest reader.
+    ``tables`` are all tables with files under ``root``. A folder stays if it holds the location of one of them or of
+    one of its partitions, if a published set's manifest in ``root`` names it, or if it was changed within the last
+    ``older_than`` seconds, which have to cover the longest reader. Only the catalog is asked and only ``root``
+    itself is listed.
     """
     used = set()
     for table in tables:
         used.add(_plain(table_facts(spark, table)["Location"]))
-        used |= {_plain(name).rsplit("/", 1)[0] for name in spark.table(table).inputFiles()}
+        if partition_columns(spark, table):
+            used |= {_plain(folder) for _, folder in partition_folders(spark, table)}
+    if (manifest := read_note(spark, f"{root}/{MANIFEST}")) is not None:
+        used.add(_plain(f"{root}/{manifest['current']}"))
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     retired = []

@@ -10,6 +10,7 @@ come by partition.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from uuid import uuid4
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.session import ADAPTIVE, under
-from tarnlake.sources.catalog import identifier, partition_columns, point_table, text_literal
+from tarnlake.sources.catalog import identifier, partition_columns, table_facts, text_literal
+from tarnlake.sources.notes import read_note, write_note
+from tarnlake.sources.partitions import change_partitions, finish_pending, point_table, written_partitions
 
 DYNAMIC = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
 
@@ -103,17 +106,33 @@ def replace_table(
 def replace_partitions(df: DataFrame, table: str, clustered: bool = False) -> None:
     """Replace the partitions ``df`` has rows for and leave the others; columns match by name.
 
-    The dynamic mode has to be a session setting here (``insertInto`` ignores the write option and would
-    empty the whole table), so the write runs on a session of its own.
+    The rows go to a load folder of their own inside the table's, hidden from readers of its path; then the partitions
+    are pointed at it as one set (``change_partitions``). A failed write changes nothing, and a driver lost
+    between two partitions leaves a note from which the next load carries on. Old files stay until
+    ``retire_folders``. Readers go through the catalog; for readers of plain folders there is ``publish``.
     """
     spark = df.sparkSession
     keys = partition_columns(spark, table)
     if not keys:
         raise ValueError(f"{table} is not partitioned; use replace_table")
-    rows = df.select(*[f"`{c}`" for c in spark.table(table).columns])
-    with under(rows, ADAPTIVE | DYNAMIC) as own:
-        spread(own, keys, clustered).write.mode("overwrite").insertInto(table)
-    spark.catalog.refreshTable(table)  # the session that wrote knows of the new files; this one has to be told
+    finish_pending(spark, table)
+    facts = table_facts(spark, table)
+    folder = f"{facts['Location']}/_load-{uuid4().hex[:12]}"
+    codec = re.search(r"compression=(\w+)", facts.get("Storage Properties", ""))
+    rows = stored_as(df, table)
+    write_files(rows, folder, facts["Provider"].lower(), keys, codec.group(1) if codec else "snappy", clustered=clustered)
+    change_partitions(spark, table, written_partitions(spark, folder, len(keys)))
+
+
+def stored_as(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the columns and types of ``table``; refused where Spark would refuse to store it."""
+    spark = df.sparkSession
+    schema = spark.table(table).schema
+    rows = df.select(*[f"`{f.name}`" for f in schema.fields])
+    if [f.dataType for f in rows.schema.fields] == [f.dataType for f in schema.fields]:
+        return rows
+    spark.sql(f"EXPLAIN INSERT INTO {identifier(table)} SELECT * FROM {{rows}}", rows=rows)  # raises what an INSERT would
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def publish(
@@ -122,7 +141,8 @@ def publish(
     """Write Snappy Parquet in ``column=value`` folders at a fixed path for readers of files.
 
     Only partitions with rows in ``df`` are replaced, so publishing again changes nothing;
-    ``whole=True`` also removes the partitions ``df`` lacks. Partition values are written as text.
+    ``whole=True`` also removes the partitions ``df`` lacks, and empties the folder first: readers that must not see
+    that read a ``publish_set``. Partition values are written as text.
     """
     text = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in partition_by})
     write_files(
@@ -133,3 +153,28 @@ def publish(
         clustered=clustered,
         partitionOverwriteMode="static" if whole else "dynamic",
     )
+
+
+MANIFEST = "_manifest.json"
+
+
+def publish_set(df: DataFrame, path: str, partition_by: Sequence[str], clustered: bool = False) -> str:
+    """Publish ``df`` as the whole set of files at ``path``, for readers that must never meet a part of one.
+
+    Each load is written to a folder of its own under ``path``, in the layout of ``publish``; the manifest, a small
+    JSON file whose ``current`` names that folder, is then replaced in one rename. A reader that takes the
+    folder from the manifest has one whole load; older loads stay until ``retire_folders``. Returns the folder.
+    """
+    folder = f"{path}/load-{uuid4().hex[:12]}"
+    text = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in partition_by})
+    write_files(text, folder, partition_by=partition_by, clustered=clustered)
+    write_note(df.sparkSession, f"{path}/{MANIFEST}", {"current": folder.rsplit("/", 1)[1]})
+    return folder
+
+
+def published_set(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The current load of a published set."""
+    manifest = read_note(spark, f"{path}/{MANIFEST}")
+    if manifest is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return read_files(spark, f"{path}/{manifest['current']}", schema)
