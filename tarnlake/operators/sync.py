@@ -101,8 +101,8 @@ class _Ledger:
         ledger = read_note(self.spark, self._path())
         fits = isinstance(ledger, dict) and ledger.get("columns") == self.head["columns"]
         for side, name in enumerate((self.named, self.table)):
-            if name is None:
-                continue
+            if name is None or (side and not fits):
+                continue  # the table itself, which nobody else writes to, is listed once it is up to date
             held = self.marks[side] = marks(self.spark, partition_folders(self.spark, name))
             if fits and (side or ledger["source"] == name):
                 of = {frozenset(zip(self.keys, texts)): (mark, found) for texts, mark, *found in ledger["partitions"][side]}
@@ -135,8 +135,10 @@ class _Ledger:
         if not self.used:
             return
         new = {frozenset(v.items()) for v in copied}
-        if new:
-            folders = [(v, f) for v, f in partition_folders(self.spark, self.table) if frozenset(v.items()) in new]
+        if new or self.marks[1] is None:
+            folders = partition_folders(self.spark, self.table)
+            if self.marks[1] is not None:
+                folders = [(v, f) for v, f in folders if frozenset(v.items()) in new]
             self.marks[1] = (self.marks[1] or {}) | marks(self.spark, folders)
         sides = []
         for held, prints in zip(self.marks, (src, dst)):

@@ -122,8 +122,16 @@ def drop_partitions(spark: SparkSession, table: str, listed: Sequence[Mapping[st
         spark.sql(f"ALTER TABLE {identifier(table)} DROP IF EXISTS {specs}")
 
 
+def _named(spark: SparkSession, table: str):
+    """The session's catalog object and the table's name in it, for what no statement gives in one go."""
+    state = spark._jsparkSession.sessionState()
+    return state.catalog(), state.sqlParser().parseTableIdentifier(identifier(table))
+
+
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    catalog, name = _named(spark, table)
+    names = catalog.getTableMetadata(name).partitionColumnNames().mkString("\0")
+    return names.split("\0") if names else []
 
 
 def add_partitions(spark: SparkSession, table: str, listed: Sequence[tuple[Mapping[str, str | None], str]]) -> None:
@@ -138,15 +146,15 @@ def partition_folders(spark: SparkSession, table: str) -> list[tuple[dict[str, s
 
     No statement lists the folders of all partitions, so the session's catalog object is asked.
     """
-    state = spark._jsparkSession.sessionState()
-    name = state.sqlParser().parseTableIdentifier(identifier(table))
-    listed = state.catalog().listPartitions(name, spark._jvm.scala.Option.empty()).iterator()
+    catalog, name = _named(spark, table)
     keys, found = partition_columns(spark, table), []
+    listed = catalog.listPartitions(name, spark._jvm.scala.Option.empty()).iterator()
+    path = spark._jvm.org.apache.hadoop.fs.Path
     while listed.hasNext():
         part = listed.next()
         spec = part.spec()
         values = {k: spec.apply(k) for k in keys}
-        folder = spark._jvm.org.apache.hadoop.fs.Path(part.location()).toString()
+        folder = path(part.location()).toString()
         found.append(({k: None if v == NULL_PARTITION else v for k, v in values.items()}, folder))
     return found
 

@@ -21,16 +21,19 @@ def file_system(spark: SparkSession, path: str):
 
 def write_note(spark: SparkSession, path: str, value: object) -> None:
     """Readers see the old note or the new one, never none and never a part of one."""
-    files, fresh = file_system(spark, path), hadoop_path(spark, f"{path}.{uuid4().hex[:12]}")
+    files = file_system(spark, path)
+    fresh = files.makeQualified(hadoop_path(spark, f"{path}.{uuid4().hex[:12]}"))
+    target = files.makeQualified(hadoop_path(spark, path))
     out = files.create(fresh)
     out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
     out.close()
+    if not files.exists(target) and files.rename(fresh, target):
+        return
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
     overwrite = spark._sc._gateway.new_array(rename, 1)
     overwrite[0] = rename.OVERWRITE
-    target = files.makeQualified(hadoop_path(spark, path))
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
-    context.rename(files.makeQualified(fresh), target, overwrite)
+    context.rename(fresh, target, overwrite)
 
 
 def read_note(spark: SparkSession, path: str) -> object | None:

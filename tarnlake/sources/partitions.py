@@ -9,6 +9,7 @@ is never left half done; ``finish_pending`` does the same at any time.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -33,6 +34,7 @@ from tarnlake.sources.notes import file_system, hadoop_path, read_note, remove_n
 PENDING = "_pending.json"
 Values = Mapping[str, str | None]
 STATIC_PARTITIONS = 1000
+STATEMENTS_AT_ONCE = 8
 
 
 def spec_of(name: str) -> dict[str, str | None]:
@@ -77,12 +79,11 @@ def finish_pending(spark: SparkSession, table: str) -> bool:
     if pending is None:
         return False
     there = {_frozen(spec_of(name)) for (name,) in list_partitions(spark, table).collect()}
-    new = []
-    for values, folder in pending["moved"]:
-        if _frozen(values) in there:
-            move_partition(spark, table, values, folder)
-        else:
-            new.append((values, folder))
+    known = [(values, folder) for values, folder in pending["moved"] if _frozen(values) in there]
+    new = [(values, folder) for values, folder in pending["moved"] if _frozen(values) not in there]
+    with ThreadPoolExecutor(STATEMENTS_AT_ONCE) as pool:  # a statement for each partition; they do not touch each other
+        for moved in [pool.submit(move_partition, spark, table, *one) for one in known]:
+            moved.result()
     add_partitions(spark, table, new)
     drop_partitions(spark, table, pending["dropped"])
     if pending["location"]:

@@ -131,7 +131,8 @@ def stored_as(df: DataFrame, table: str) -> DataFrame:
     rows = df.select(*[f"`{f.name}`" for f in schema.fields])
     if [f.dataType for f in rows.schema.fields] == [f.dataType for f in schema.fields]:
         return rows
-    spark.sql(f"EXPLAIN INSERT INTO {identifier(table)} SELECT * FROM {{rows}}", rows=rows)  # raises what an INSERT would
+    # Storing no rows raises what storing them would.
+    spark.sql(f"INSERT INTO {identifier(table)} SELECT * FROM {{none}}", none=rows.limit(0))
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
