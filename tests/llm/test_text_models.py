@@ -123,6 +123,40 @@ def test_the_stream_commits_as_it_goes():
     assert PIECES.decode(PIECES.encode(long)) == long
 
 
+@given(TEXTS)
+@settings(max_examples=150, deadline=None)
+def test_lanes_streams_and_blocks_agree(text):
+    expected = lattice(text)[1] if text else []
+    for lane, block in ((3, 1 << 20), (96, 8)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pieces, "LANE", lane)
+            patch.setattr(pieces, "BLOCK", block)
+            PIECES._forget()
+            assert PIECES.encode(text) == expected
+            assert [i for part in PIECES.encode_parts(text) for i in part.tolist()] == expected
+            crc = zlib.crc32(np.array(expected, "<u4").tobytes())
+            assert list(PIECES.digest([text])) == [(len(text), len(expected), crc, True)]
+    PIECES._forget()
+
+
+def test_many_texts_at_once_and_a_full_memory(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_CHARACTERS", 50)
+    texts = ["", "one two", "", "one", "x" * 300 + " y", "été ▁ 日本", " ", "one two three " * 20, ""]
+    for _ in range(3):
+        ids, sizes = PIECES.encode_all(texts)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [lattice(t)[1] if t else [] for t in texts]
+        assert [d[:2] for d in PIECES.digest(texts)] == [(len(t), n) for t, n in zip(texts, sizes.tolist())]
+        assert all(d[3] for d in PIECES.digest(texts))
+
+
+def test_paths_meet_where_no_piece_holds_the_pair():
+    text = " the quick ▁ brown fox jumps  over日本 it"
+    sure = PIECES.meetings(pieces.characters(text))
+    for at in range(1, len(text)):
+        pair = text[at - 1 : at + 1].replace(pieces.BLANK, "\0").replace(" ", pieces.BLANK)
+        assert sure[at] == (not any(pair in piece for piece in PIECES.scores))
+
+
 def test_sentencepiece_query_on_edge_cases(spark, edge, edge_rows, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = pieces.digests(edge, path).collect()
