@@ -4,13 +4,15 @@ A text is lower-cased, everything but letters becomes a blank, and its 1- to 3-g
 ``BUCKETS`` hash buckets over the whole text. A bucket's weight is (1 + log count) times its inverse
 document frequency, and the vector is scaled to length 1. Document frequencies are counted over all
 training documents. The weights are trained by follow-the-regularised-leader with an L1 and an L2 penalty, on
-the ``SAMPLE`` training documents with the smallest hash of their doc_id (a documented bound: at most that
-many sparse vectors of at most ``BUCKETS`` entries reach the driver); a fifth of them is kept apart to fit
-the temperature that the scores are divided by.
-
-Defined results: a null text, and one without letters, is ``und`` with score 0; so is every text if nothing can
-be learned from; a null doc_id is neither learned from nor held out; documents with a null lang are not
-learned from; repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
+the ``SAMPLE`` training documents with the smallest hash of their doc_id, and the ``EACH`` such documents of every
+language, so that every language in the training documents can be predicted (a documented bound: at most ``SAMPLE``
++ ``EACH`` x languages sparse vectors of at most ``BUCKETS`` entries reach the driver, one for a doc_id); a fifth of
+them is kept apart to fit the temperature that the scores are divided by.
+
+Defined results: a null text, and one without letters (Unicode's: ``str.isalpha``), is ``und`` with score 0; so is
+every text if nothing can be learned from; a null doc_id is neither learned from nor held out; documents with a null
+lang are not learned from; of repeated rows with one doc_id the least (lang, text) is learned from, and each gets a
+row; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,20 +23,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import filled, hashed_sample, slices
+from tarnlake.sources.scratch import settle
 
 BUCKETS = 1 << 14
 SAMPLE = 4_000
+EACH = 50
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _AT_ONCE = 64
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def gram_counts(texts: list[str]) -> np.ndarray:
     """A row of bucket counts for each text."""
     plain = [f" {_OTHER.sub(' ', text.lower())} " for text in texts]
@@ -144,14 +151,23 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
     return found
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def sampled_ids(training: DataFrame, sample: int, each: int) -> DataFrame:
+    """The ids with the smallest hashes: ``sample`` of all, and ``each`` of every language."""
+    ids = settle(training.groupBy("doc_id").agg(F.min("lang").alias("lang")), "training-ids")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # cut before its shuffle
+    of_each = ids.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")
+    return hashed_sample(ids.select("doc_id"), "doc_id", sample, ids.count()).union(of_each).distinct()
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> Model | None:
     """A model of the documents in ``docs`` that have a lang; None if there are none."""
-    training = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
+    training = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    training = training.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     frequencies, documents = document_frequencies(training)
     if not documents:
         return None
     idf = np.log((1 + documents) / (1 + frequencies)) + 1
-    chosen = hashed_sample(training.select("doc_id").distinct(), "doc_id", sample, documents)
+    chosen = sampled_ids(training, sample, each)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -164,10 +180,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 [batch["doc_id"], batch["lang"], pa.array(packed, pa.binary())], names=["doc_id", "lang", "packed"]
             )
 
-    # At most ``sample`` ids: small enough to send to every task.
-    picked = training.join(F.broadcast(chosen), "doc_id", "left_semi")
+    # At most ``sample`` + ``each`` x languages ids: small enough to send to every task.
+    picked = training.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id")
+    picked = picked.agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.lang", "row.text")
     found = picked.mapInArrow(vectors, "doc_id long, lang string, packed binary").collect()
-    found = sorted(found, key=lambda row: (row["doc_id"], row["lang"], bytes(row["packed"])))[:sample]
+    found = sorted(found, key=lambda row: row["doc_id"])
+    if not found:
+        return None
     languages = sorted({row["lang"] for row in found})
     labels = np.array([languages.index(row["lang"]) for row in found])
     rows = []
@@ -193,7 +212,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in slices(batches):
             texts = filled(batch["text"]).to_pylist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            lettered = [i for i, text in enumerate(texts) if model and _LETTER.search(text)]
+            lettered = [i for i, text in enumerate(texts) if model and has_letter(text)]
             for at in range(0, len(lettered), _AT_ONCE):
                 part = lettered[at : at + _AT_ONCE]
                 p = model.probabilities(weighted(gram_counts([texts[i] for i in part]), model.idf))
