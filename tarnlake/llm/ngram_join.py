@@ -16,8 +16,9 @@ members only where its overlap with the union allows a link.
    below 0.8 of its own size is done; the others are compared with the members exactly. Groups are
    dealt out in chunks of ``CHUNK`` members and ``QUERIES_AT_ONCE`` queries, so no task gets a whole hot group.
    The members of a group are compared with each other alike, chunk against chunk, each pair in one block.
-5. Every pair of representatives that links is written. Components come from those between groups, since a
-   group hangs together already; numbers of links come from the pairs and the numbers of copies.
+5. Every pair of representatives that links is found in one block. The block hands out how many documents each of its
+   rows links with (a link counts for every copy) and the edges of a spanning forest, so what is written follows
+   the number of documents, not of pairs. ``pairs=True`` has the pairs themselves written instead.
 
 No link is lost, whatever the sketch and the groups are: they only decide how much is compared. The sketch (``SKETCH`` bytes) and the bit maps (``BITS``) have a fixed size.
 
@@ -180,42 +181,69 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
     return known_docs.mapInArrow(rows, "doc_id long, f1 long, tokens binary")
 
 
-def _opened(percent: int):
-    """All links of queries to the members that came before them, and with salt 0 those of members to each other."""
+def _opened(percent: int, pairs: bool):
+    """All links of queries to the members that came before them, and with salt 0 those of members to each other.
+
+    With ``pairs`` each link is a row (a, a_set, b, b_set, inside). Without, rows with ``far`` 0 are a spanning forest of
+    the block's links, and the others, whose b is a, give in ``far`` how many documents of the block a links with.
+    """
+    names = (LINK if pairs else REACH).names
 
     def packed(found: list[tuple]) -> pa.RecordBatch:
-        a, a_set, b, b_set, inside = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays(list(map(pa.array, (a, a_set, b, b_set, inside))), names=LINK.names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = last = None
-        members, union, owner, sizes, docs, marks = [], None, None, None, None, None
+        members, union, owner, sizes, docs, marks, copies = [], None, None, None, None, None, None
+        tree = far = None  # of the members: which of them hang together, and the documents each links with
         found, held = [], 0
 
         def gather() -> None:
-            nonlocal union, owner, sizes, docs, marks
-            sizes = np.array([len(t) for _, _, t in members])
-            union = np.concatenate([t for _, _, t in members])
+            nonlocal union, owner, sizes, docs, marks, copies, tree, far
+            sizes = np.array([len(t) for *_, t in members])
+            union = np.concatenate([t for *_, t in members])
             owner = np.repeat(np.arange(len(members)), sizes)
             order = np.argsort(union, kind="stable")
             union, owner = union[order], owner[order]
-            docs, marks = (np.array(c, np.int64) for c in list(zip(*members))[:2])
+            docs, marks, copies = (np.array(c, np.int64) for c in list(zip(*members))[:3])
+            tree, far = np.arange(len(members)), np.zeros(len(members), np.int64)
 
-        def compare(doc: int, mark: int, tokens: np.ndarray, most: int, inside: bool) -> None:
-            nonlocal held
+        def linked_with(tokens: np.ndarray, most: int) -> np.ndarray:
             low, high = np.searchsorted(union, tokens, "left"), np.searchsorted(union, tokens, "right")
             if 100 * (high > low).sum() < percent * len(tokens):
-                return  # the group stays closed
+                return np.empty(0, np.int64)  # the group stays closed
             hits = np.repeat(low, high - low) + np.arange((high - low).sum())
             hits -= np.repeat(np.cumsum(high - low) - (high - low), high - low)
             shared = np.bincount(owner[hits], minlength=len(members))
             linked = np.flatnonzero(100 * shared >= percent * (sizes + len(tokens) - shared))
-            linked = linked[linked < most]
-            if len(linked):
-                n = len(linked)
-                one = np.full(n, doc, np.int64), np.full(n, mark, np.int64)
-                found.append((*one, docs[linked], marks[linked], np.full(n, inside)))
-                held += n
+            return linked[linked < most]
+
+        def add(*columns: np.ndarray) -> None:
+            nonlocal held
+            found.append(columns)
+            held += len(columns[0])
+
+        def compare(doc: int, mark: int, weight: int, tokens: np.ndarray, own: int | None, inside: bool) -> None:
+            """``own`` is the number of a member that is compared with those before it."""
+            linked = linked_with(tokens, len(members) if own is None else own)
+            n = len(linked)
+            if not n:
+                return
+            one = np.full(n, doc, np.int64), np.full(n, mark, np.int64)
+            if pairs:
+                add(*one, docs[linked], marks[linked], np.full(n, inside))
+                return
+            far[linked] += weight
+            if own is None:
+                add(*(c[:1] for c in one * 2), copies[linked].sum(keepdims=True))
+            else:
+                far[own] += copies[linked].sum()
+            roots, at = np.unique(tree[linked], return_index=True)
+            if own is not None:
+                at, roots = at[roots != tree[own]], np.append(roots, tree[own])
+            joined = linked[at]  # a member of each other tree that this row brings together
+            add(*(c[: len(at)] for c in one), docs[joined], marks[joined], np.zeros(len(at), np.int64))
+            tree[np.isin(tree, roots)] = roots[0]
 
         def full(most: int) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -225,17 +253,21 @@ def _opened(percent: int):
                 held = 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            """The links among the members of the block, when all have come."""
+            """When all of the block have come: the links among its members, and what was counted for them."""
             if key is not None and key[2] == 0 and len(members) > 1:
                 if union is None:
                     gather()
-                for i, (doc, mark, tokens) in enumerate(members):
-                    compare(doc, mark, tokens, i, True)
+                for i, (doc, mark, weight, tokens) in enumerate(members):
+                    compare(doc, mark, weight, tokens, i, True)
                     yield from full(LINKS_AT_ONCE)
+            if union is not None and not pairs:
+                some = np.flatnonzero(far)
+                if len(some):
+                    add(docs[some], marks[some], docs[some], marks[some], far[some])
 
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "inside", "doc_id", "f1", "tokens"))
-            for grp, part, salt, is_query, inside, doc, mark, raw in zip(*columns):
+            columns = (batch[c].to_pylist() for c in ("grp", "part", "salt", "is_query", "inside", "doc_id", "f1", "copies", "tokens"))
+            for grp, part, salt, is_query, inside, doc, mark, weight, raw in zip(*columns):
                 tokens = np.frombuffer(raw, np.uint64)
                 if (grp, part, salt) != key:
                     yield from closed()
@@ -244,11 +276,11 @@ def _opened(percent: int):
                     continue  # a repeated row
                 last = (key, is_query, doc, mark)
                 if not is_query:
-                    members.append((doc, mark, tokens))
+                    members.append((doc, mark, weight, tokens))
                 elif members:
                     if union is None:
                         gather()
-                    compare(doc, mark, tokens, len(members), inside)
+                    compare(doc, mark, weight, tokens, None, inside)
                     yield from full(LINKS_AT_ONCE)
         yield from closed()
         yield from full(1)
@@ -257,15 +289,23 @@ def _opened(percent: int):
 
 
 LINK = pa.schema([("a", pa.int64()), ("a_set", pa.int64()), ("b", pa.int64()), ("b_set", pa.int64()), ("inside", pa.bool_())])
+REACH = pa.schema([("a", pa.int64()), ("a_set", pa.int64()), ("b", pa.int64()), ("b_set", pa.int64()), ("far", pa.int64())])
 
 
 def open_groups(
-    members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int = PERCENT, inside: bool = False
+    members: DataFrame,
+    queries: DataFrame,
+    sets: DataFrame,
+    percent: int = PERCENT,
+    inside: bool = False,
+    pairs: bool = True,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
-    """Links (a, a_set, b, b_set, inside) of queries (grp, doc_id, f1) to members (grp, doc_id, f1), each once.
+    """Links of queries (grp, doc_id, f1) to members (grp, doc_id, f1), as ``_opened`` gives them, each in one block.
 
     With ``inside`` members link with each other too: those of one chunk where the chunk is, and those of two
-    chunks where the members of the later one are dealt to the earlier one as queries.
+    chunks where the members of the later one are dealt to the earlier one as queries. ``copies`` (doc_id, f1, copies)
+    tells which sets more than one document has.
     """
     counts = queries.groupBy("grp").agg(F.count("*").alias("queries"))
     asking = F.coalesce("queries", F.lit(0)) + (F.col("members") if inside else F.lit(0))
@@ -283,10 +323,15 @@ def open_groups(
     if inside:
         own = placed.where("part > 0").select(*node, every(F.col("part")).alias("part"), spread(2, "salts").alias("salt"))
         rows = rows.unionByName(own.withColumn("is_query", F.lit(True)).withColumn("inside", F.lit(True)))
+    if copies is None:
+        rows = rows.withColumn("copies", F.lit(1))
+    else:
+        rows = rows.join(copies, ["doc_id", "f1"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     dealt = rows.join(sets, ["doc_id", "f1"]).repartition("grp", "part", "salt")
     # Repeated rows come one after the other; a document has one place as a query and one as a member.
     sorted_rows = dealt.sortWithinPartitions("grp", "part", "salt", "is_query", "doc_id", "f1")
-    return sorted_rows.mapInArrow(_opened(percent), "a long, a_set long, b long, b_set long, inside boolean")
+    schema = "a long, a_set long, b long, b_set long, " + ("inside boolean" if pairs else "far long")
+    return sorted_rows.mapInArrow(_opened(percent, pairs), schema)
 
 
 def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
@@ -341,9 +386,10 @@ def _least_shared(percent: int) -> Column:
 class Similar(NamedTuple):
     """What the join finds.
 
-    ``classes``: per row doc_id, n_shingles, component_id. ``links``: a, a_set, b, b_set, every pair of different
-    sets that links, once, each set by its smallest doc_id and its fingerprint. ``copies``: doc_id, f1 (its set),
-    rep, the smallest doc_id with an equal set.
+    ``classes``: per row doc_id, n_shingles, component_id and n_links, the other documents it links with, its copies
+    included. ``links``: with ``pairs`` a, a_set, b, b_set, every pair of different sets that links, once, each set by
+    its smallest doc_id and its fingerprint; without, what ``_opened`` gives. ``copies``: doc_id, f1 (its set),
+    rep, the smallest doc_id with an equal set, and copies, the documents that have it.
     """
 
     classes: DataFrame
@@ -352,28 +398,29 @@ class Similar(NamedTuple):
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links."""
     return similar(docs, words, percent).classes
 
 
-def link_counts(found: Similar) -> DataFrame:
-    """doc_id, f1, n_links for every document's set: its other copies and all copies of the sets it links with."""
-    links, held = found.links, found.copies.select("doc_id", "rep", "f1").distinct()
-    of_set = settle(held.groupBy("rep", "f1").agg(F.count("*").alias("copies")), "copy-counts")
-    both = links.select("a", "a_set", "b", "b_set").union(links.select("b", "b_set", "a", "a_set"))
-    other = of_set.select(F.col("rep").alias("b"), F.col("f1").alias("b_set"), "copies")
-    far = both.join(other, ["b", "b_set"]).groupBy(F.col("a").alias("rep"), F.col("a_set").alias("f1"))
-    total = of_set.join(far.agg(F.sum("copies").alias("far")), ["rep", "f1"], "left")
-    total = total.select("rep", "f1", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    return held.join(total, ["rep", "f1"]).select("doc_id", "f1", "n_links")
+def link_counts(links: DataFrame, copies: DataFrame, pairs: bool) -> DataFrame:
+    """rep, f1, n_links for every set: its other copies and all copies of the sets it links with."""
+    of_set = copies.where("doc_id = rep").select("rep", "f1", "copies").distinct()
+    if pairs:
+        both = links.select("a", "a_set", "b", "b_set").union(links.select("b", "b_set", "a", "a_set"))
+        other = of_set.select(F.col("rep").alias("b"), F.col("f1").alias("b_set"), F.col("copies").alias("far"))
+        links = both.join(other, ["b", "b_set"])
+    far = links.groupBy(F.col("a").alias("rep"), F.col("a_set").alias("f1")).agg(F.sum("far").alias("far"))
+    total = of_set.join(far, ["rep", "f1"], "left")
+    return total.select("rep", "f1", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
 
 
-def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Similar:
+def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs: bool = False) -> Similar:
     """The whole join; the links and the copies are written."""
     signed = settle(signatures(docs, frequency_classes(docs, words), words, percent), "signatures")
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    by_set = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    copies = settle(real.select("doc_id", "f1", "f2", "n").join(by_set, ["f1", "f2", "n"]).select("doc_id", "rep", "f1", "n"), "copies")
+    held = settle(real.select("doc_id", "f1", "f2", "n").distinct(), "sets")
+    by_set = held.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = settle(held.join(by_set, ["f1", "f2", "n"]).select("doc_id", "rep", "f1", "n", "copies"), "copies")
     reps = copies.where("doc_id = rep").select("doc_id", "f1", "n").distinct()
 
     bands = real.select("doc_id", "f1", F.explode("bands").alias("band")).join(reps, ["doc_id", "f1"], "left_semi")
@@ -419,22 +466,27 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Simi
     smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
     below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
     above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
-    pairs = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
+    touching = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
     # For those pairs all shared prefix tokens are counted.
-    both = pairs.join(matrix.select("doc_id", "f1", "token"), ["doc_id", "f1"])
+    both = touching.join(matrix.select("doc_id", "f1", "token"), ["doc_id", "f1"])
     met = both.join(of_group.select("g", "token"), ["g", "token"], "left_semi").groupBy(pair).agg(F.countDistinct("token").alias("shared"))
     asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id", "f1").distinct()
     asked = settle(asked, "queries")
     of_many = sizes.where("size > 1").select("grp")
     opened = labels.join(asked.select("grp").union(of_many).distinct(), "grp", "left_semi").select("grp", "doc_id", "f1")
     wanted = asked.select("doc_id").union(opened.select("doc_id"))
-    links = settle(open_groups(opened, asked, sets_of(docs, wanted, words), percent, inside=True), "links")
+    several = copies.where("doc_id = rep AND copies > 1").select("doc_id", "f1", "copies").distinct()
+    links = settle(open_groups(opened, asked, sets_of(docs, wanted, words), percent, True, pairs, several), "links")
 
     same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # Inside a group the links to the first documents of bands are enough.
-    far = links.where("NOT inside").select("a", "b")
+    far = links.where("NOT inside" if pairs else "far = 0").select("a", "b")
     found = components(near.select("a", "b").union(far).union(same)).withColumnRenamed("node", "doc_id")
-    classes = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    # A document with several texts is one node; its number of links is the largest of its sets'.
+    counts = link_counts(links, copies, pairs).where("n_links > 0")
+    counts = copies.join(counts, ["rep", "f1"]).groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+    classes = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").join(counts, "doc_id", "left")
+    classes = classes.select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return Similar(classes, links.drop("inside"), copies)
+    return Similar(classes, links.drop("inside") if pairs else links, copies)

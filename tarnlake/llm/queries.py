@@ -71,8 +71,9 @@ WITH RECURSIVE split AS (
   UNION
   SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other
 )
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, coalesce(l.n, 0) AS n_links
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS n FROM edges GROUP BY x) l ON l.x = d.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 

@@ -55,8 +55,19 @@ def expected_classes(rows: list[tuple]) -> list[tuple]:
     return sorted(((d, len(s), label[d]) for d, s in sets), key=str)
 
 
+def expected_links(rows: list[tuple]) -> dict:
+    """Of each doc_id the largest number of documents that a set of it links with."""
+    sets = {(d, frozenset(shingles(t))) for d, t in rows if d is not None and shingles(t)}
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    found: dict = {d: 0 for d, _ in rows}
+    for d, s in sets:
+        found[d] = max(found[d], sum(linked(s, o) for _, o in sets) - 1)
+    return found
+
+
 def classes(df) -> list[tuple]:
-    return sorted(map(tuple, ngram_join.similarity_classes(df).collect()), key=str)
+    found = ngram_join.similarity_classes(df).select("doc_id", "n_shingles", "component_id")
+    return sorted(map(tuple, found.collect()), key=str)
 
 
 @given(st.lists(st.text(alphabet=list("aB é\n\x0b\x1cßİ"), max_size=12), max_size=8))
@@ -83,6 +94,8 @@ def test_words_longer_than_a_block_are_hashed_alike():
 
 def test_join_on_edge_cases(spark, edge, edge_rows, empty):
     assert classes(edge) == expected_classes(edge_rows)
+    links = {r["doc_id"]: r["n_links"] for r in ngram_join.similarity_classes(edge).collect()}
+    assert links == expected_links(edge_rows)
     assert classes(empty) == []
 
 
@@ -119,15 +132,41 @@ def test_every_link_of_a_family_is_listed_once(spark, monkeypatch):
     rows += [(1000 + i, " ".join([*text[: 9 * i], f"w{i}", *text[9 * i + 1 :]])) for i in range(12)]  # all link
     sets = {(d, frozenset(shingles(t))) for d, t in rows if shingles(t)}
     linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
-    found = ngram_join.similar(documents(spark, rows))
+    found = ngram_join.similar(documents(spark, rows), pairs=True)
     rep = {}
     for d, s in sorted(sets, key=lambda x: x[0]):
         rep.setdefault(s, d)
     expected = sorted(tuple(sorted((rep[x], rep[y]))) for x in rep for y in rep if id(x) < id(y) and linked(x, y))
     assert sorted(tuple(sorted((r["a"], r["b"]))) for r in found.links.collect()) == expected
-    counts = sorted((r["doc_id"], r["n_links"]) for r in ngram_join.link_counts(found).collect())
-    assert counts == sorted((d, sum(linked(s, o) for _, o in sets) - 1) for d, s in sets)
     assert len(expected) >= 66
+    for by_pairs in (found.classes, ngram_join.similarity_classes(documents(spark, rows))):
+        assert {r["doc_id"]: r["n_links"] for r in by_pairs.collect()} == expected_links(rows)
+
+
+def test_a_family_writes_rows_in_proportion_to_its_documents(spark):
+    text = split(prose(11, 160))
+    rows = [(i, " ".join([*text[: i % 150], f"w{i}", *text[i % 150 + 1 :]])) for i in range(600)]
+    found = ngram_join.similar(documents(spark, rows))
+    assert {r["n_links"] for r in found.classes.collect()} == {599}
+    assert {r["component_id"] for r in found.classes.collect()} == {0}
+    assert found.links.count() <= 5 * 600  # 179,700 pairs
+
+
+def test_trees_of_a_block_that_grow_together(spark, monkeypatch):
+    """Chains whose ends are far apart, in one chunk and in several, with copies."""
+    rows = []
+    for chain in range(3):
+        text = split(prose(20 + chain, 60))
+        for step in range(14):
+            rows.append((100 * chain + step, " ".join(text)))
+            text[4 * step] = f"new{chain}x{step}"
+        rows += [(100 * chain + 50 + i, rows[-1][1]) for i in range(chain)]
+    for chunk, at_once in ((256, 4096), (3, 2), (1, 1)):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        monkeypatch.setattr(ngram_join, "QUERIES_AT_ONCE", at_once)
+        found = ngram_join.similarity_classes(documents(spark, rows)).collect()
+        assert {r["doc_id"]: r["n_links"] for r in found} == expected_links(rows)
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == expected_classes(rows)
 
 
 def test_components_of_paths_stars_and_cycles(spark):
