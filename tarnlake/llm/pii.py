@@ -2,23 +2,27 @@
 
 Every whole text is scanned for entities whose form alone gives them away (e-mail and IP addresses, card
 and phone numbers); they are always reported, and they are the seeds. What else looks like an identifier
-(a string with ``MIN_DIGITS`` digits that no seed covers) is only a candidate. The lexical pattern of a
-seed or candidate is the pair of words before it. Patterns and instances (values) form a graph:
-
-* a pattern's score is the summed score of the instances behind it, over all its occurrences in the
-  whole corpus, whatever follows; it needs ``MIN_SEEDS`` different known values;
+(a string with ``MIN_DIGITS`` digits that no seed covers) is only a candidate. The lexical patterns of a
+seed or candidate are, from the narrowest to the widest, the two words before it, the word before, the word behind (a
+quote or bracket that touches it is no word), and its own shape: which runs of how many digits or letters,
+and what stands between them. Patterns and instances (values) form a graph:
+
+* a pattern's score is the summed score of the instances at it, over all its occurrences in the whole corpus,
+  whatever follows; it needs ``MIN_SEEDS`` different known values, and a shape as many seeds: found values show where
+  identifiers stand, but not what they look like;
 * an instance's score is 1 for a known value, else the best score among its patterns.
 
-At first the seeds are known. Spark scores the graph for ``ROUNDS`` rounds; the candidates behind patterns of at
+At first the seeds are known. Spark scores the graph for ``ROUNDS`` rounds; the candidates at patterns of at
 least ``CONFIDENT`` become known, and the graph is scored anew with the patterns that now have enough known values,
-until no new value appears. The candidates behind the patterns that are confident then are reported as kind ``id``.
+until no new value appears. The candidates at the patterns that are confident then are reported as kind ``id``,
+and so is every other place where their values stand.
 Patterns without ``MIN_SEEDS`` different values of any kind can never score, so only the others are counted in the
-corpus, once: a bit map of fixed size (``BITS`` bits, 512 KiB) lets each task skip other word pairs before its
+corpus, once: a bit map of fixed size (``BITS`` bits, 512 KiB) lets each task skip other words and pairs before its
 counts are joined exactly. Counts are combined in each task, so a frequent pair is one row a task.
 
 Defined results: a null text is an empty one; a null doc_id is an id like any other; repeated rows each get
 a row, and a value counts once for a pattern however often it occurs; an empty table gives no rows; other
-columns are not looked at. A candidate with fewer than two words before it has no pattern.
+columns are not looked at. A candidate without words around it has only its shape.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import SPACE, filled, known_bits, slices, text_key, unpacked
-from tarnlake.llm.words import runs, word_hashes
+from tarnlake.llm.words import mix, runs, word_hashes
 from tarnlake.sources.scratch import settle
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -50,7 +54,8 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT_RUN = re.compile(r"[0-9][^\x20\x09-\x0D]*")
-TWO_WORDS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+\Z")
+RUN = re.compile(r"[0-9]+|[A-Za-z]+")
+_SALTS = {"before": 0x51A7E1, "behind": 0x51A7E2, "shape": 0x51A7E3}  # patterns of different forms never meet
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -131,42 +136,87 @@ def candidate_spans(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[
     return found
 
 
-def before(text: str, start: int, window: int = 200) -> str:
-    """The two words before ``start``, or nothing; words that do not fit in the window make no pattern."""
-    m = TWO_WORDS.search(text[max(0, start - window) : start])
-    return m.group() if m else ""
+def words_before(text: str, start: int) -> str:
+    """The two words before the one that holds ``start``, or as many as there are."""
+    def back(at: int, inside: bool) -> int:
+        while at and (text[at - 1] not in SPACE) == inside:
+            at -= 1
+        return at
+
+    end = at = back(start, True)
+    for _ in range(2):
+        at = back(back(at, False), True)
+    return text[at:end].strip(SPACE)
+
+
+def word_behind(text: str, end: int) -> str:
+    """The word after the one that ends at or after ``end``, or nothing."""
+    n = len(text)
+
+    def ahead(at: int, inside: bool) -> int:
+        while at < n and (text[at] not in SPACE) == inside:
+            at += 1
+        return at
+
+    start = ahead(ahead(end, True), False)
+    return text[start : ahead(start, True)]
+
+
+def shape(value: str) -> str:
+    """Digits and letters as how many stand together, everything else as it is."""
+    return RUN.sub(lambda m: f"{'d' if m.group()[0].isdigit() else 'a'}{m.end() - m.start()}", value)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _salted(hashes: np.ndarray, form: str) -> np.ndarray:
+    return mix(hashes ^ np.uint64(_SALTS[form])).view(np.int64)
+
+
+def patterns_of(texts: list[str], spans: list[list[tuple[int, int, bool]]]) -> list[list[int]]:
+    """For every span its patterns: two words before, one word before, one behind, as far as there are; its shape last."""
+    before = [words_before(t, s) for t, row in zip(texts, spans) for s, _, _ in row]
+    behind = [word_behind(t, e) for t, row in zip(texts, spans) for _, e, _ in row]
+    shapes = [shape(t[s:e]) for t, row in zip(texts, spans) for s, e, _ in row]
+    single, n = word_hashes(pa.array(before, pa.large_string()))
+    pairs, have = runs(single, n, 2)
+    last = _salted(single, "before")
+    after, m = word_hashes(pa.array(behind, pa.large_string()))
+    after = _salted(after, "behind")
+    formed = _salted(np.array([_hash(x) for x in shapes], np.int64).view(np.uint64), "shape").tolist()
+    pair_at, last_at, after_at = np.cumsum(have) - 1, np.cumsum(n) - 1, np.cumsum(m) - 1
+    found = []
+    for i, form in enumerate(formed):
+        row = [int(pairs[pair_at[i]].view(np.int64))] if have[i] else []
+        row += [int(last[last_at[i]])] if n[i] else []
+        row += [int(after[after_at[i]])] if m[i] else []
+        found.append([*row, form])
+    return found
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = pa.struct(
-        [("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int64()), ("value", pa.int64()), ("seed", pa.bool_())]
+        [
+            ("start", pa.int32()),
+            ("end", pa.int32()),
+            ("patterns", pa.list_(pa.int64())),
+            ("value", pa.int64()),
+            ("seed", pa.bool_()),
+        ]
     )
     for batch in slices(batches):
-        counts, bases, parts, lead, values = [], [], [], [], []
-        for text in filled(batch["text"]).to_pylist():
+        texts, counts, bases, spans = filled(batch["text"]).to_pylist(), [], [], []
+        for text in texts:
             seeds = seed_spans(text)
             counts.append([sum(k == kind for kind, _, _ in seeds) for k in range(4)])
             bases.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in seeds))
             row = [(s, e, True) for _, s, e in seeds]
-            row += [(s, e, False) for s, e in candidate_spans(text, seeds)]
-            parts.append(row)
-            lead += [before(text, s) for s, _, _ in row]
-            values += [text[s:e] for s, e, _ in row]
-        pairs, have = runs(*word_hashes(pa.array(lead, pa.large_string())), 2)
-        pattern = np.full(len(lead), -1, np.int64)
-        at = np.cumsum(have) - have
-        # ``lead`` begins where the regular expression's first word does, so its last pair is the pattern.
-        pattern[have > 0] = pairs[(at + have - 1)[have > 0]].view(np.int64)
-        value = [int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True) for v in values]
-        k, lists = 0, []
-        for row in parts:
-            lists.append(
-                [
-                    {"start": s, "end": e, "pattern": int(pattern[k + i]) if have[k + i] else None, "value": value[k + i], "seed": z}
-                    for i, (s, e, z) in enumerate(row)
-                ]
-            )
-            k += len(row)
+            spans.append(row + [(s, e, False) for s, e in candidate_spans(text, seeds)])
+        patterns, lists = iter(patterns_of(texts, spans)), []
+        for text, row in zip(texts, spans):
+            lists.append([{"start": s, "end": e, "patterns": next(patterns), "value": _hash(text[s:e]), "seed": z} for s, e, z in row])
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["text_key"]]
             + [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
@@ -178,7 +228,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Seeds and candidates of every row of ``docs``, with their patterns."""
-    part = "struct<start:int,end:int,pattern:long,value:long,seed:boolean>"
+    part = "struct<start:int,end:int,patterns:array<long>,value:long,seed:boolean>"
     return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key")).mapInArrow(
         _scan,
         "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, "
@@ -187,36 +237,45 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def pattern_occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each of the given word pairs occurs in all texts."""
+    """pattern, total: how often the words of each of the given patterns occur in all texts; shapes have no words."""
     known = known_bits(patterns, "pattern", BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = unpacked(known)
         for batch in slices(batches):
-            pairs, _ = runs(*word_hashes(filled(batch["text"])), 2)
-            found = pairs.view(np.int64)
-            found = found[wanted[found % BITS]]
-            value, count = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["pattern", "n"])
+            hashes, sizes = word_hashes(filled(batch["text"]))
+            single, times = np.unique(hashes, return_counts=True)
+            pairs, _ = runs(hashes, sizes, 2)
+            for found, n in [(pairs.view(np.int64), None)] + [(_salted(single, form), times) for form in ("before", "behind")]:
+                held = wanted[found % BITS]
+                value, count = (found[held], n[held]) if n is not None else np.unique(found[held], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["pattern", "n"])
 
     counted = docs.select("text").mapInArrow(rows, "pattern long, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
 
 
-def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS, least: float = CONFIDENT) -> DataFrame:
-    """The patterns whose score is at least ``least`` when no new value becomes known; one column, pattern."""
-    enough = F.countDistinct("value") >= MIN_SEEDS
-    possible = settle(edges.groupBy("pattern").agg(enough.alias("enough")).where("enough").select("pattern"), "pii-patterns")
+def confident(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS, least: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
+    """The patterns whose score is at least ``least`` when no new value becomes known, and the values found by then.
+
+    ``edges``: pattern, shape (whether it is one), value, seed and n, how often the value stands at the pattern.
+    """
+    enough = lambda known: F.count_distinct(F.when(known, F.col("value"))) >= MIN_SEEDS
+    possible = settle(edges.groupBy("pattern").agg(enough(F.lit(True)).alias("enough")).where("enough").select("pattern"), "pii-patterns")
     total = settle(pattern_occurrences(docs, possible), "pii-totals")
-    # An edge's weight is how often the value stands behind the pattern.
-    edges = settle(edges.join(total, "pattern").select("pattern", "value", "seed", "n", "total"), "pii-graph")
-    values = edges.select("value").limit(0)
+    # Whatever has a shape is a seed or a candidate, so a shape occurs as often as its values do.
+    edges = edges.join(possible, "pattern", "left_semi")
+    shapes = edges.where("shape").groupBy("pattern").agg(F.sum("n").alias("total"))
+    total = total.select("pattern", "total").unionByName(shapes)
+    edges = settle(edges.join(total, "pattern").select("pattern", "shape", "value", "seed", "n", "total"), "pii-graph")
+    values = settle(edges.select("value").limit(0), "pii-known")
     while True:
         found = values.withColumn("found", F.lit(True))
         known = F.col("seed") | F.coalesce("found", F.lit(False))
-        marked = edges.join(found, "value", "left").select("pattern", "value", "seed", "n", "total", known.alias("known"))
+        marked = edges.join(found, "value", "left").select(*edges.columns, known.alias("known"))
         marked = settle(marked, "pii-marked")
-        ready = marked.where("known").groupBy("pattern").agg(enough.alias("enough")).where("enough").select("pattern")
+        counted = (F.col("known") & ~F.col("shape")) | F.col("seed")
+        ready = marked.where("known").groupBy("pattern").agg(enough(counted).alias("enough")).where("enough").select("pattern")
         graph = settle(marked.join(ready, "pattern", "left_semi"), "pii-graph")
         scores = None
         for _ in range(rounds):
@@ -229,26 +288,35 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS,
         new = graph.where(~F.col("known")).join(sure, "pattern", "left_semi").select("value").distinct()
         new = settle(new, "pii-values")
         if new.isEmpty():
-            return sure
+            return sure, values
         values = settle(values.union(new).distinct(), "pii-known")
 
 
 def entity_spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, the counts, base_sha256, and all spans as text (seeds, then ids)."""
+    """Per row of ``docs``: doc_id, the counts, base_sha256, all spans as text (seeds, then ids), and how many of ids
+    and of all there are."""
     scanned = settle(scan(docs), "pii-scan")
     parts = scanned.select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p.*")
-    parts = parts.where("pattern IS NOT NULL")
-    edges = settle(parts.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n")), "pii-edges")
-    sure = confident_patterns(edges, docs)
-    found = parts.where(~F.col("seed")).dropDuplicates(["doc_id", "text_key", "start"]).join(sure, "pattern", "left_semi")
+    shape_at = F.size("patterns") - 1  # the last one
+    edges = parts.select("value", "seed", shape_at.alias("last"), F.posexplode("patterns").alias("at", "pattern"))
+    edges = edges.groupBy("pattern", (F.col("at") == F.col("last")).alias("shape"), "value", "seed").agg(F.count("*").alias("n"))
+    sure, values = confident(settle(edges, "pii-edges"), docs)
+    candidates = parts.where(~F.col("seed")).select("doc_id", "text_key", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    place = ["doc_id", "text_key", "start", "end"]
+    found = candidates.join(sure, "pattern", "left_semi").select(place)
+    found = found.union(candidates.join(values, "value", "left_semi").select(place)).distinct()
     ids = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = ids.select(
         F.col("doc_id").alias("r_doc"),
         F.col("text_key").alias("r_key"),
+        F.size("ids").cast("long").alias("ids"),
         F.array_join(F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"], s["end"])), ",").alias("more"),
     )
     match = scanned["doc_id"].eqNullSafe(ids["r_doc"]) & (scanned["text_key"] == ids["r_key"])
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("more")).alias("spans")
+    n_id = F.coalesce("ids", F.lit(0))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    n_all = sum((F.col(c) for c in counts), n_id)
     return scanned.join(ids, match, "left").select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both
+        "doc_id", *counts, "base_sha256", both, n_id.alias("n_id"), n_all.alias("n_entities")
     )

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnlake.llm import pii, secrets
+from tarnlake.llm.common import SPACE
 
 from .conftest import documents, prose
 
@@ -144,3 +148,106 @@ def test_found_identifiers_lead_to_further_patterns(spark):
     for doc, text in rows[12:]:
         start = text.index("0171")
         assert found[doc] == ("" if doc >= 400 else f"id:{start}:{start + 12}")
+
+
+def test_quotes_and_brackets_do_not_hide_a_pattern(spark):
+    rows = [(i, f"{prose(i, 20)} please call +1 (234) 555-{1000 + i} {prose(i + 50, 5)}") for i in range(12)]
+    forms = ["88-1234-77", '"88-1234-78"', "(88-1234-79)", "#881234"]
+    rows += [(100 + i, f"{prose(60 + i, 9)} please call {form} {prose(70 + i, 4)}") for i, form in enumerate(forms)]
+    rows += [(110, f"{prose(80, 7)} 88-1234-78 {prose(81, 3)}"), (111, f"{prose(82, 7)} 88-1234-99 {prose(83, 3)}")]
+    found = {r["doc_id"]: r for r in pii.entity_spans(documents(spark, rows)).collect()}
+    text = dict(rows)
+    for i, form in enumerate(forms):
+        value = form.strip('"()#')
+        start = text[100 + i].index(value)
+        assert found[100 + i]["spans"] == f"id:{start}:{start + len(value)}" and found[100 + i]["n_id"] == 1
+    start = text[110].index("88-")  # the value is known from elsewhere
+    assert found[110]["spans"] == f"id:{start}:{start + 10}" and found[111]["spans"] == ""
+    assert found[3]["n_entities"] == found[3]["n_phone"] == 1
+
+
+def test_the_shape_of_seeds_finds_values_that_fail_the_rule(spark):
+    rows, r = [], random.Random(4)
+    for i in range(40):
+        digits = [r.randrange(10) for _ in range(16)]
+        rows.append((i, f"{prose(i, 9)} of {''.join(map(str, digits))} at {prose(i + 90, 4)} no {r.randrange(10**8):08}"))
+    for i in range(12):
+        digits = "".join(str(r.randrange(10)) for _ in range(15))
+        digits = next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+        rows.append((100 + i, f"{prose(i + 200, 9)} or {digits} by {prose(i + 290, 4)}"))
+    found = {r["doc_id"]: r["spans"] for r in pii.entity_spans(documents(spark, rows)).collect()}
+    for doc, text in rows:
+        start = re.search("[0-9]{16}", text).start()
+        assert found[doc] in (f"card:{start}:{start + 16}", f"id:{start}:{start + 16}")
+
+
+@given(st.text(alphabet=list("ab1 \t\"(#9"), max_size=30), st.integers(0, 29), st.integers(0, 29))
+@settings(max_examples=300, deadline=None)
+def test_words_around_a_span(text, a, b):
+    start, end = min(a, b, len(text)), min(max(a, b), len(text))
+    first = len(re.split(f"[{SPACE}]", text[:start])[-1])
+    before = re.split(f"[{SPACE}]+", text[: start - first].strip(SPACE))
+    assert re.split(f"[{SPACE}]+", pii.words_before(text, start)) == before[-2:]
+    rest = re.sub(f"^[^{SPACE}]*", "", text[end:]).strip(SPACE)
+    assert pii.word_behind(text, end) == re.split(f"[{SPACE}]+", rest)[0]
+
+
+def plain_scores(edges, total, rounds=3, least=0.5):
+    """The graph scored with dictionaries: (pattern, shape, value, seed) -> n."""
+    values = set()
+    while True:
+        known = {v for (_, _, v, seed) in edges if seed} | values
+        is_known = lambda e: e[3] or e[2] in values
+        ready = set()
+        for p in {e[0] for e in edges}:
+            own = [e for e in edges if e[0] == p]
+            if len({e[2] for e in own if (is_known(e) and not e[1]) or e[3]}) >= pii.MIN_SEEDS:
+                ready.add(p)
+        score = {}
+        for _ in range(rounds):
+            confidence = {
+                p: sum(n * (1.0 if is_known(e) else score.get(e[2], 0.0)) for e, n in edges.items() if e[0] == p) / total[p] for p in ready
+            }
+            score = {}
+            for e in edges:
+                if e[0] in ready and not is_known(e):
+                    score[e[2]] = max(score.get(e[2], 0.0), confidence[e[0]])
+        sure = {p for p, c in confidence.items() if c >= least} if ready else set()
+        new = {e[2] for e in edges if e[0] in sure and not is_known(e)}
+        if not new:
+            return sure, values
+        values |= new
+        assert known
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_graph_is_scored_as_by_hand(spark, seed):
+    r = random.Random(seed)
+    docs, edges, lines = [], {}, []
+    words = [f"w{i}" for i in range(8)]
+    for i in range(150):
+        value, is_seed = r.randrange(60), r.random() < 0.35
+        words_of = (r.choice(words), r.choice(words))
+        lines.append((words_of, value * 2 + is_seed, is_seed))
+        docs.append((i, f"{words_of[0]} {words_of[1]}" + " filler w3" * r.randrange(2)))
+    names = [f"{a} {b}" for (a, b), _, _ in lines]
+    single, n = pii.word_hashes(pa.array(names, pa.large_string()))
+    pairs = pii.runs(single, n, 2)[0].view("int64").tolist()
+    last = pii._salted(single, "before").tolist()
+    for i, (_, value, is_seed) in enumerate(lines):
+        for pattern, is_shape in ((pairs[i], False), (last[2 * i + 1], False), (-1 - value % 5, True)):
+            edges[pattern, is_shape, value, is_seed] = edges.get((pattern, is_shape, value, is_seed), 0) + 1
+    total = {}
+    texts = [t.split() for _, t in docs]
+    name_of = {p: name for p, name in zip(pairs, names)}
+    word_of = {p: name.split()[1] for p, name in zip(last[1::2], names)}
+    for pattern, is_shape, *_ in edges:
+        if is_shape:
+            total[pattern] = sum(n for e, n in edges.items() if e[0] == pattern)
+        elif pattern in name_of:
+            total[pattern] = sum(t[i : i + 2] == name_of[pattern].split() for t in texts for i in range(len(t)))
+        else:
+            total[pattern] = sum(t.count(word_of[pattern]) for t in texts)
+    df = spark.createDataFrame([(*e, n) for e, n in edges.items()], "pattern long, shape boolean, value long, seed boolean, n long")
+    sure, values = pii.confident(df, documents(spark, docs))
+    assert ({x[0] for x in sure.collect()}, {x[0] for x in values.collect()}) == plain_scores(edges, total)
