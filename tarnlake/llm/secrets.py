@@ -9,9 +9,9 @@ few hundred characters of one text, so it holds few parts however many a documen
 
 Weak parts, by role:
 
-* ``user`` (access identifier): the value of user, username, login, client_id, account or key_id;
-* ``opaque`` (secret): a string of 20 and more key characters with upper case, lower case and digits;
-* ``endpoint``: a URL, or host.name:port.
+* ``user`` (access identifier): the value of user, username, login, client_id, account or key_id, or a mail address;
+* ``opaque`` (secret): a string of 20 and more key characters with a digit (16 and more digits are a hex run);
+* ``endpoint``: a URL, host.name:port, a bare host.name of three and more parts, or an IP address.
 
 An ``opaque`` part needs an access identifier or an endpoint beside it, the two others need a secret. An
 assignment and a hex run count as secrets, an access key id as an access identifier.
@@ -53,6 +53,9 @@ USER = re.compile(
     re.I | re.A,
 )
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])")
+# Possessive, so that a run that holds no match is passed over once.
+HOST = re.compile(r"(?<![A-Za-z0-9@.-])[a-z0-9][a-z0-9-]*+(?:\.[a-z0-9-]++){2,}")
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SECTION = re.compile(r"\n[\x20\t]*\n")
 
@@ -68,12 +71,17 @@ def strong_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _mixed(value: str) -> bool:
-    return (
-        any("a" <= c <= "z" for c in value)
-        and any("A" <= c <= "Z" for c in value)
-        and any("0" <= c <= "9" for c in value)
-    )
+def _key_like(value: str) -> bool:
+    """With a digit: a long word is no key."""
+    return any("0" <= c <= "9" for c in value)
+
+
+def _host_like(value: str) -> bool:
+    """An IP address, or a name whose last part is no number."""
+    parts = value.split(".")
+    if all(part.isdigit() for part in parts):
+        return len(parts) == 4 and all(len(part) <= 3 and int(part) <= 255 for part in parts)
+    return len(parts[-1]) >= 2 and parts[-1].isalpha()
 
 
 def weak_spans(text: str, strong: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -83,14 +91,26 @@ def weak_spans(text: str, strong: list[tuple[int, str, int]]) -> list[tuple[int,
         found += [(m.start(1), "user", m.end(1)) for m in USER.finditer(text)]
         if ":" in text:
             found += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
+    bare = []
+    if "@" in text:
+        bare += [(m.start(), "user", m.end()) for m in MAIL.finditer(text)]
+    if "." in text:
+        bare += [(m.start(), "endpoint", m.end()) for m in HOST.finditer(text) if _host_like(m.group())]
+    found += _apart(bare, found)
     if found or any(kind == "access" for _, kind, _ in strong):
-        found += [(m.start(), "opaque", m.end()) for m in OPAQUE.finditer(text) if _mixed(m.group())]
-    if not found or not strong:
-        return found
-    taken = sorted((s, e) for s, _, e in strong)
+        opaque = [(m.start(), "opaque", m.end()) for m in OPAQUE.finditer(text) if _key_like(m.group())]
+        found += _apart(opaque, bare)
+    return _apart(found, strong)
+
+
+def _apart(spans: list[tuple[int, str, int]], others: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The spans that overlap none of the others."""
+    if not spans or not others:
+        return sorted(spans)
+    taken = sorted((s, e) for s, _, e in others)
     starts = [s for s, _ in taken]
     reach = [0, *accumulate((e for _, e in taken), max)]  # the furthest end of the first spans
-    return [(start, kind, end) for start, kind, end in sorted(found) if reach[bisect_left(starts, end)] <= start]
+    return [(start, kind, end) for start, kind, end in sorted(spans) if reach[bisect_left(starts, end)] <= start]
 
 
 def listed(spans: list[tuple[int, str, int]]) -> str:
