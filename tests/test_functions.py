@@ -53,6 +53,22 @@ def test_money_sum_adds_what_has_no_units_as_doubles(spark):
     assert math.isnan(_sum(spark, [math.nan, 1.0]))
 
 
+@pytest.mark.parametrize("decimals", [6, 9])
+def test_sums_below_a_unit_are_the_same_in_any_order(spark, decimals):
+    r = random.Random(decimals)
+    values = [r.randrange(-(10**12), 10**12) / 10**decimals for _ in range(20_000)] + [1e-13, -3e-15, 0.1, 1e7 / 3]
+    data = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "x double, k int").persist()
+    found = set()
+    for n in (1, 3, 8):
+        dealt = data.repartition(n, F.rand(n))
+        totals = dealt.groupBy("k").agg(money_sum("x").alias("s"), money_avg("x").alias("m")).orderBy("k").collect()
+        found.add(tuple((t["s"].hex(), t["m"].hex()) for t in totals))
+    assert len(found) == 1
+    expected = [sum(Decimal(v) for v in values[k::3]) for k in range(3)]
+    assert all(math.isclose(float.fromhex(s), float(e), rel_tol=1e-12) for (s, _), e in zip(found.pop(), expected))
+    data.unpersist()
+
+
 def test_money_sum_decimals(spark):
     assert _sum(spark, [0.000001] * 7, decimals=6) == 0.000007
     assert _sum(spark, [1.005, 1.005]) == 2.01
