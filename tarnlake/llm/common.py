@@ -47,6 +47,23 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text and text_key: all columns but the text as one struct, so that no name of theirs can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+
+
+def with_texts(batch: pa.RecordBatch, texts: list[str | None], columns: list[str]) -> pa.RecordBatch:
+    """The rows of ``carried`` as they were, with other texts (and n_chars, if there is one)."""
+    row = batch["row"]
+    made = dict(zip([field.name for field in row.type], row.flatten()))
+    made["text"] = pa.array(texts, batch["text"].type)
+    if "n_chars" in made:
+        counts = [None if text is None else len(text) for text in texts]
+        made["n_chars"] = pa.array(counts, pa.int64()).cast(made["n_chars"].type)
+    return pa.RecordBatch.from_arrays([made[c] for c in columns], names=columns)
+
+
 def known_bits(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A packed bit map with the bit ``value mod bits`` set for every value of a long column.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import SPACE, filled, slices, text_key
+from tarnlake.llm.common import SPACE, carried, filled, slices, text_key, with_texts
 from tarnlake.sources.scratch import settle
 
 MIN_CHARS = 20
@@ -153,32 +153,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the bitmap beside each row; documents that lose nothing have none."""
-    keyed = docs.withColumn("__key", text_key())
-    found = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text_key"), "bitmap")
-    match = (keyed["doc_id"] == found["__doc"]) & (keyed["__key"] == found["__text_key"])
-    return keyed.join(found.withColumnRenamed("bitmap", "__bitmap"), match, "left").drop("__doc", "__text_key", "__key")
+    """The rows of ``docs``, ``carried``, with the bitmap of each; documents that lose nothing have none."""
+    rows = carried(docs)
+    found = bitmaps.select(F.col("doc_id").alias("b_doc"), F.col("text_key").alias("b_key"), "bitmap")
+    match = (F.col("doc_id") == F.col("b_doc")) & (F.col("text_key") == F.col("b_key"))
+    return rows.join(found, match, "left").select("row", "doc_id", "text", "bitmap")
 
 
 def without_dropped_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents, all their columns as they are, with the shortened text (and n_chars, if there is one)."""
     columns = docs.columns
-    held = apply_bitmaps(docs, bitmaps)
-    schema = held.drop("__bitmap").schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [
                 text if bitmap is None else "\n".join(kept_lines((text or "").split("\n"), bitmap))
-                for text, bitmap in zip(batch["text"].to_pylist(), batch["__bitmap"].to_pylist())
+                for text, bitmap in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist())
             ]
-            made = {"text": pa.array(texts, batch["text"].type)}
-            if "n_chars" in columns:
-                counts = [None if text is None else len(text) for text in texts]
-                made["n_chars"] = pa.array(counts, pa.int64()).cast(batch["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([made.get(c, batch[c]) for c in columns], names=columns)
+            yield with_texts(batch, texts, columns)
 
-    return held.mapInArrow(rows, schema)
+    return apply_bitmaps(docs, bitmaps).mapInArrow(rows, docs.schema)
 
 
 def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -187,7 +181,7 @@ def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             totals, drops, digests = [], [], []
-            for text, bitmap in zip(filled(batch["text"]).to_pylist(), batch["__bitmap"].to_pylist()):
+            for text, bitmap in zip(filled(batch["text"]).to_pylist(), batch["bitmap"].to_pylist()):
                 lines = text.split("\n")
                 kept = kept_lines(lines, bitmap)
                 totals.append(len(lines))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import filled, slices, text_key
+from tarnlake.llm.common import carried, filled, slices, text_key, with_texts
 from tarnlake.sources.scratch import settle
 
 REACH = 200
@@ -231,15 +231,14 @@ def redacted(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
     """``docs`` with every span of every text replaced by its kind, overlapping spans by that of the first."""
     columns = docs.columns
     found = secret_spans(docs).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__of"), F.col("found").alias("__found"))
-    keyed = docs.withColumn("__key", text_key())
-    match = keyed["doc_id"].cast("long").eqNullSafe(found["__doc"]) & (keyed["__key"] == found["__of"])
-    held = keyed.join(found, match, "left").select(*[keyed[c] for c in columns], "__found")
+    found = found.select(F.col("doc_id").alias("f_doc"), F.col("text_key").alias("f_key"), "found")
+    match = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key"))
+    held = carried(docs).join(found, match, "left").select("row", "text", "found")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["__found"].to_pylist()):
+            for text, spans in zip(batch["text"].to_pylist(), batch["found"].to_pylist()):
                 if spans:
                     pieces, at = [], 0
                     for span in spans:
@@ -248,10 +247,6 @@ def redacted(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
                         at = max(at, span["end"])
                     text = "".join([*pieces, text[at:]])
                 texts.append(text)
-            made = {"text": pa.array(texts, batch["text"].type)}
-            if "n_chars" in columns:
-                counts = [None if text is None else len(text) for text in texts]
-                made["n_chars"] = pa.array(counts, pa.int64()).cast(batch["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([made.get(c, batch[c]) for c in columns], names=columns)
+            yield with_texts(batch, texts, columns)
 
     return held.mapInArrow(rows, docs.schema)

@@ -88,6 +88,25 @@ def test_stages_take_edge_cases_and_empty_tables(spark, edge, empty, tmp_path):
         assert stage(spark, edge, str(tmp_path)).count() > 0
 
 
+def test_odd_column_names_pass_through_the_stages(spark, sf_dir):
+    odd = ["__key", "__bitmap", "__found", "__gone", "a.b", "row", "bitmap", "found", "__row", "f_doc", "s_length"]
+    line = "a line that three documents hold, of some length\n"
+    texts = [(i, line + " ".join(f"w{i}x{k}." for k in range(60)) + " token = abcdefghijklmnop") for i in range(4)]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in odd)
+    docs = spark.createDataFrame([(d, t, 7, *(f"{c}{d}" for c in odd)) for d, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns and found.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+        rows = [r.asDict() for r in found.collect()]
+        assert len(rows) == 4 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in odd), name
+        if name == "line_dedup":
+            assert {r["doc_id"] for r in rows if r["text"].startswith("a line")} == {3}
+            assert all(r["n_chars"] == len(r["text"]) for r in rows)
+        if name == "secret_scans":
+            assert all(r["text"].endswith("[assign]") for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 4
+
+
 def test_every_operator_is_registered():
     numbers = [int(re.match(r"op(\d+)_", name).group(1)) for name in queries.QUERIES]
     assert sorted(numbers) == list(range(1, 14))
