@@ -16,7 +16,9 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def file_system(spark: SparkSession, path: str):
-    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """The file system of a path; the local one without its checksum files, which a rename could not replace as well."""
+    files = hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getRawFileSystem() if files.getUri().getScheme() == "file" else files
 
 
 def write_note(spark: SparkSession, path: str, value: object) -> None:
@@ -27,8 +29,8 @@ def write_note(spark: SparkSession, path: str, value: object) -> None:
     out = files.create(fresh)
     out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
     out.close()
-    if not files.exists(target) and files.rename(fresh, target):
-        return
+    if (files.getUri().getScheme() == "file" or not files.exists(target)) and files.rename(fresh, target):
+        return  # a local rename replaces the old file in one step
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
     overwrite = spark._sc._gateway.new_array(rename, 1)
     overwrite[0] = rename.OVERWRITE
