@@ -154,8 +154,13 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
 def sampled_ids(training: DataFrame, sample: int, each: int) -> DataFrame:
     """The ids with the smallest hashes: ``sample`` of all, and ``each`` of every language."""
     ids = settle(training.groupBy("doc_id").agg(F.min("lang").alias("lang")), "training-ids")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # cut before its shuffle
-    of_each = ids.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")
+    # Of each language only ids whose hash is below a threshold are ranked, somewhat more than ``each``.
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    share = F.least(F.lit(1.0), F.lit(1.25 * (each + 100)) / F.col("n"))
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = ids.join(F.broadcast(counts), "lang").where(rank < share * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
+    of_each = near.withColumn("place", place).where(F.col("place") <= each).select("doc_id")
     return hashed_sample(ids.select("doc_id"), "doc_id", sample, ids.count()).union(of_each).distinct()
 
 
