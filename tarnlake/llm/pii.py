@@ -46,6 +46,7 @@ MIN_SEEDS = 3
 CONFIDENT = 0.5
 ROUNDS = 3
 BITS = 1 << 22
+COUNTED_AT_ONCE = 1 << 20
 
 # The entity rules.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -240,16 +241,29 @@ def pattern_occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, total: how often the words of each of the given patterns occur in all texts; shapes have no words."""
     known = known_bits(patterns, "pattern", BITS)
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        value, at = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        return value, np.bincount(at, np.concatenate([n for _, n in held]), len(value)).astype(np.int64)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = unpacked(known)
+        wanted, held, size = unpacked(known), [], 0
         for batch in slices(batches):
             hashes, sizes = word_hashes(filled(batch["text"]))
             single, times = np.unique(hashes, return_counts=True)
             pairs, _ = runs(hashes, sizes, 2)
-            for found, n in [(pairs.view(np.int64), None)] + [(_salted(single, form), times) for form in ("before", "behind")]:
-                held = wanted[found % BITS]
-                value, count = (found[held], n[held]) if n is not None else np.unique(found[held], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["pattern", "n"])
+            found, n = pairs.view(np.int64), np.ones(len(pairs), np.int64)
+            for found, n in [(found, n)] + [(_salted(single, form), times) for form in ("before", "behind")]:
+                some = wanted[found % BITS]
+                held.append(merged([(found[some], n[some])]))
+                size += len(held[-1][0])
+            if size > COUNTED_AT_ONCE:  # counts are added up over the whole task as long as they are few
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > COUNTED_AT_ONCE // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["pattern", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged(held))), names=["pattern", "n"])
 
     counted = docs.select("text").mapInArrow(rows, "pattern long, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
