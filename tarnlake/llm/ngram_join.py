@@ -12,7 +12,8 @@ members only where its overlap with the union allows a link.
    over all documents last, so passages that many documents share stay out of prefixes. Tokens of one
    set alone go first; what is left are rows (token, group).
 4. A document of the smaller group becomes a query for every other group with which it shares a prefix token that
-   is in the front of the shorter set, if the shared prefix tokens are enough to bound the overlap from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
+   is in the front of the shorter set, if that token's places in both leave room for the overlap and the shared prefix
+   tokens are enough to bound it from below (``_least_shared``). Members are streamed first and make the union, then the queries: one whose overlap with the union is
    below 0.8 of its own size is done; the others are compared with the members exactly. Groups are
    dealt out in chunks of ``CHUNK`` members and ``QUERIES_AT_ONCE`` queries, so no task gets a whole hot group.
    The members of a group are compared with each other alike, chunk against chunk, each pair in one block.
@@ -35,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.common import filled, known_bits, slices, unpacked
@@ -337,8 +338,9 @@ def open_groups(
 def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
     """The prefix tokens of every signature as rows, or only those whose bit is set.
 
-    With ``n`` at hand a row also tells whether the token is in the ``front``: a set that links to one at least as
-    large shares a token of its first n - ceil(2 percent / (100 + percent) n) + 1.
+    With ``n`` at hand a row also tells how many tokens of the set come after it (``rest``), and whether the token is
+    in the ``front``: a set that links to one at least as large shares a token of its first
+    n - ceil(2 percent / (100 + percent) n) + 1.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +362,7 @@ def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
                     n = part["n"].to_numpy()
                     front = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
                     columns["front"] = pa.array(place < front[row])
+                    columns["rest"] = pa.array(n[row] - place - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *columns.values()], names=["token", *columns])
 
     return rows
@@ -442,13 +445,16 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
     known = known_bits(shared, "token", BITS)
     rows = real.select("prefix", "doc_id", "f1", "n").mapInArrow(
-        _prefix_tokens(known, percent), "token long, doc_id long, f1 long, n long, front boolean"
+        _prefix_tokens(known, percent), "token long, doc_id long, f1 long, n long, front boolean, rest long"
     )
     labels = reps.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labels = settle(labels.select("doc_id", "f1", "n", F.coalesce("component", "doc_id").alias("grp")), "groups")
     matrix = settle(rows.join(labels.drop("n"), ["doc_id", "f1"]), "matrix")
     mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    matrix = settle(matrix.join(mixed.select("token"), "token").select("token", "grp", "doc_id", "f1", "n", "front"), "matrix")
+    matrix = matrix.join(mixed.select("token"), "token")
+    # How many tokens before this one in the order the set could share with another group: those of the matrix.
+    ahead = F.row_number().over(Window.partitionBy("doc_id", "f1").orderBy(F.desc("rest"))) - 1
+    matrix = settle(matrix.select("token", "grp", "doc_id", "f1", "n", "front", "rest", ahead.alias("ahead")), "matrix")
 
     sizes = labels.groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
@@ -456,7 +462,8 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     sizes = settle(sizes, "group-sizes")
     matrix = matrix.join(sizes, "grp")  # two written sides: a hot group can be split
     group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
-    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(F.max("front").alias("g_front"))
+    most = [F.max(c).alias(f"g_{c}") for c in ("front", "rest", "ahead")]
+    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(*most)
     of_group = settle(of_group, "group-tokens")
     # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
     # sets, but of none so much that they link, joins nothing.
@@ -464,6 +471,11 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     pair = ["g", "doc_id", "f1", "n", "g_low", "g_high"]
     # Sets that link differ in size by no more than percent; a group must have a member of such a size.
     smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
+    # What two sets share is this token, no more of those ahead of it than either has, and no more of the rest. So
+    # sets that share one passage only, ahead of which each has tokens of its own, join if the passage is long enough.
+    overlap = F.least("ahead", "g_ahead") + 1 + F.least("rest", "g_rest")
+    smallest = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
+    smaller &= overlap >= F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
     below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
     above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
     touching = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
