@@ -53,6 +53,7 @@ BITS = 1 << 24
 CHUNK = 256
 QUERIES_AT_ONCE = 4096
 LINKS_AT_ONCE = 1 << 16
+LOOK_BACK = 8
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BAND_KEYS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -386,6 +387,18 @@ def _least_shared(percent: int) -> Column:
     return F.when(low <= high, F.least(need(low), need(high)))
 
 
+def leading(matrix: DataFrame) -> DataFrame:
+    """The tokens that do not follow one and the same other token in all sets that hold them (``before``, in order).
+
+    The first token that two sets share is one of these: any other is shared together with the one it follows.
+    """
+    follows = F.try_element_at("before", F.lit(-1))
+    of_token = matrix.groupBy("token").agg(
+        F.min(follows).alias("low"), F.max(follows).alias("high"), F.count_if(F.size("before") == 0).alias("none")
+    )
+    return of_token.where("none > 0 OR low < high").select("token")
+
+
 class Similar(NamedTuple):
     """What the join finds.
 
@@ -452,9 +465,13 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     matrix = settle(rows.join(labels.drop("n"), ["doc_id", "f1"]), "matrix")
     mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
     matrix = matrix.join(mixed.select("token"), "token")
-    # How many tokens before this one in the order the set could share with another group: those of the matrix.
-    ahead = F.row_number().over(Window.partitionBy("doc_id", "f1").orderBy(F.desc("rest"))) - 1
-    matrix = settle(matrix.select("token", "grp", "doc_id", "f1", "n", "front", "rest", ahead.alias("ahead")), "matrix")
+    # How many tokens before this one in the order the set could share with another group (those of the matrix), and
+    # the last of them.
+    of_set = Window.partitionBy("doc_id", "f1").orderBy(F.desc("rest"))
+    ahead = F.row_number().over(of_set) - 1
+    before = F.collect_list("token").over(of_set.rowsBetween(-LOOK_BACK, -1))
+    places = [ahead.alias("ahead"), before.alias("before")]
+    matrix = settle(matrix.select("token", "grp", "doc_id", "f1", "n", "front", "rest", *places), "matrix")
 
     sizes = labels.groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
@@ -463,8 +480,11 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     matrix = matrix.join(sizes, "grp")  # two written sides: a hot group can be split
     group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
     most = [F.max(c).alias(f"g_{c}") for c in ("front", "rest", "ahead")]
-    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(*most)
+    # Of a group of several sets any may be the one that is met, so what is ahead in one of them tells nothing.
+    alone = F.min_by(F.when(F.col("size") == 1, F.col("before")), "ahead").alias("g_before")
+    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(*most, alone)
     of_group = settle(of_group, "group-tokens")
+    met_at = of_group.join(leading(matrix), "token", "left_semi")
     # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
     # sets, but of none so much that they link, joins nothing.
     smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
@@ -476,8 +496,9 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     overlap = F.least("ahead", "g_ahead") + 1 + F.least("rest", "g_rest")
     smallest = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
     smaller &= overlap >= F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
-    below = matrix.where("front").join(of_group, "token").where(smaller & (F.col("g_high") >= F.col("n")))
-    above = matrix.join(of_group.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
+    smaller &= ~F.coalesce(F.arrays_overlap("before", "g_before"), F.lit(False))
+    below = matrix.where("front").join(met_at, "token").where(smaller & (F.col("g_high") >= F.col("n")))
+    above = matrix.join(met_at.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
     touching = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
     # For those pairs all shared prefix tokens are counted.
     both = touching.join(matrix.select("doc_id", "f1", "token"), ["doc_id", "f1"])

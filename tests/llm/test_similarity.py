@@ -124,6 +124,30 @@ def test_join_equals_brute_force(spark, seed, monkeypatch):
     assert classes(documents(spark, rows)) == expected_classes(rows)
 
 
+@pytest.mark.parametrize("look_back", [1, 8])
+def test_texts_of_shared_sentences_equal_brute_force(spark, look_back, monkeypatch):
+    """Short texts of a few common sentences in any order share many prefix tokens, in other places each."""
+    monkeypatch.setattr(ngram_join, "LOOK_BACK", look_back)
+    r = random.Random(look_back)
+    pool = [prose(500 + k, r.randrange(6, 20)) for k in range(14)]
+    rows = []
+    for k in range(150):
+        picked = r.sample(pool, r.randrange(3, 9))
+        rows.append(" ".join(picked + ([f"own{k} words{k}"] if k % 3 else [])))
+        if k % 5 == 0:
+            rows.append(rows[-1] + " end")
+    rows = list(enumerate(rows)) + [(3, rows[7]), (3, rows[7])]
+    found = ngram_join.similarity_classes(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == expected_links(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == expected_classes(rows)
+
+
+def test_tokens_that_always_follow_another_do_not_lead(spark):
+    rows = [(1, []), (2, [1]), (3, [1, 2]), (1, []), (2, [1]), (4, [9]), (4, [8]), (5, [7]), (5, [])]
+    matrix = spark.createDataFrame(rows, "token long, before array<long>")
+    assert {r["token"] for r in ngram_join.leading(matrix).collect()} == {1, 4, 5}
+
+
 def test_every_link_of_a_family_is_listed_once(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)
     monkeypatch.setattr(ngram_join, "QUERIES_AT_ONCE", 4)
