@@ -8,6 +8,7 @@ sequence depends only on their lengths, so the plan is made from the histogram o
    of the lengths still available; a combination that fills the gap exactly is used as often as the counts
    of its lengths allow.
 2. What no combination completes is placed by best fit, longest first, into the fullest sequence with room.
+3. The same is planned with pair sums at most, single lengths at most and none, and the shortest plan is used.
 
 The plan is a list of (a way to fill a sequence, how many sequences). Each way takes, of each length it
 uses, the next so many pieces. So a piece needs only its number among the pieces of its length: pieces are
@@ -147,19 +148,14 @@ class Plan:
             self.ways.append((lengths, times))
         return times
 
-    def exact(self) -> None:
-        """Gaps of each length, longest first, filled by one, two or three lengths that sum up to them."""
+    def exact(self, most: int = 3) -> None:
+        """Gaps of each length, longest first, filled by one, two, ... ``most`` lengths that sum up to them."""
         self.use((self.capacity,))
-        for length in sorted(self.left, reverse=True):
-            gap = self.capacity - length
-            if length in self.left and gap > 0:
-                self.use((length, gap))
-        for length in sorted(self.left, reverse=True):
-            if length in self.left:
-                self._pairs((length,), self.capacity - length)
-        for length in sorted(self.left, reverse=True):
-            if length in self.left:
-                self._triples(length)
+        fill = [lambda n: self.use((n, self.capacity - n)), lambda n: self._pairs((n,), self.capacity - n), self._triples]
+        for fitting in fill[:most]:
+            for length in sorted(self.left, reverse=True):
+                if length in self.left and length < self.capacity:
+                    fitting(length)
 
     def _pairs(self, head: tuple[int, ...], gap: int) -> None:
         """Use up the pairs that sum up to ``gap``; the larger partner first."""
@@ -212,10 +208,22 @@ class Plan:
 
 
 def plan_of(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    plan = Plan(counts, capacity)
-    plan.exact()
-    plan.best_fit()
-    return plan.ways
+    """The shortest of four plans: exact sums of up to three, two, one or no lengths, then best fit.
+
+    Exact sums can leave lengths that fit badly together, so fewer of them sometimes need fewer sequences.
+    """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best, shortest = [], None
+    for most in (3, 2, 1, 0):
+        plan = Plan(counts, capacity)
+        plan.exact(most)
+        plan.best_fit()
+        needed = sum(times for _, times in plan.ways)
+        if shortest is None or needed < shortest:
+            best, shortest = plan.ways, needed
+        if shortest == least:
+            break
+    return best
 
 
 def slots_of(ways: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -55,6 +55,18 @@ def test_exact_complements_are_found():
     assert sum(n for _, n in packing.plan_of({20: 3, 13: 3, 10: 3, 7: 3}, 50)) == 3
 
 
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 60), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_no_plan_is_longer_than_best_fit_alone(counts):
+    pieces, rooms = sorted((length for length, n in counts.items() for _ in range(n)), reverse=True), []
+    for length in pieces:  # piece by piece
+        fitting = [room for room in rooms if room >= length]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append((min(fitting) if fitting else 60) - length)
+    assert sum(times for _, times in packing.plan_of(counts, 60)) <= len(rooms)
+
+
 def test_packed_pieces_on_edge_cases(spark, edge, edge_rows, empty):
     made = packing.token_pieces(edge, BPE)
     found = packing.packed(made).collect()
