@@ -3,9 +3,9 @@
 The statistics of a text are built-in SQL expressions. A decision list is learned from labelled rows by
 sequential covering: a rule starts empty and grows by the threshold (statistic at least or at most a value)
 that gains most on one part of the rows, is pruned by dropping its last thresholds while that helps on the
-other part, and is kept if it is precise and supported there; the rows it covers are then set aside and the
-next rule is grown, until none qualifies. Rules name bad texts; the default is to keep. The list becomes one
-``CASE`` expression, in order.
+other part, and is kept if it is precise there, and that is not likely by chance; the rows it covers are then set
+aside and the next rule is grown, until no bad row is left to grow from. Rules name bad texts; the default is to
+keep. The list becomes one ``CASE`` expression, in order.
 
 Learning uses the ``SAMPLE`` labelled rows with the smallest hash of their doc_id (a documented bound: at
 most that many rows of a dozen numbers reach the driver). Everything else covers all rows and whole texts.
@@ -173,54 +173,69 @@ def _best_test(columns: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray
     return found
 
 
+def _by_chance(hits: int, total: int, share: float) -> float:
+    """A bound (Chernoff's) on the chance that so many of ``total`` rows are bad if each is with probability ``share``."""
+    p = hits / total if total else 0.0
+    if p <= share:
+        return 1.0
+    apart = p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0)
+    return float(np.exp(-total * apart))
+
+
 def learn(
     columns: dict[str, np.ndarray],
     bad: np.ndarray,
-    most_rules: int = 8,
-    most_tests: int = 4,
     precision: float = 0.97,
     support: int = 5,
+    chance: float = 0.01,
     seed: int = 7,
 ) -> list[Rule]:
-    """Sequential covering with grown and pruned rules; deterministic for the same rows in the same order."""
+    """Sequential covering with grown and pruned rules; deterministic for the same rows in the same order.
+
+    A grown rule that is not kept has its growing rows set aside, and the next is grown from the others, until no bad
+    row is left to grow from; neither rules nor thresholds are limited in number. The more rules were tried, the less
+    likely by chance a rule's success on the other part has to be, so trying many does not let noise in.
+    """
     grow = np.random.default_rng(seed).random(len(bad)) < 2 / 3
-    left, rules = np.ones(len(bad), bool), []
-    while len(rules) < most_rules:
+    left, fresh, rules, tried = np.ones(len(bad), bool), grow.copy(), [], 0
+    while True:
         rule: Rule = ()
-        while len(rule) < most_tests:
-            test = _best_test(columns, bad, covers(rule, columns) & left & grow)
-            if test is None:
-                break
+        while (test := _best_test(columns, bad, covers(rule, columns) & fresh)) is not None:
             rule += (test,)
         if not rule:
-            break
+            return rules
 
         def worth(candidate: Rule) -> float:
             held = covers(candidate, columns) & left & ~grow
             p = bad[held].sum()
             return (p + 1) / (held.sum() + 2) if candidate else 0.0
 
+        grown = covers(rule, columns)
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
         held = covers(rule, columns) & left
-        tried = held & ~grow
-        if bad[held].sum() < support or not tried.sum() or bad[tried].mean() < precision or bad[held].mean() < precision:
-            break
+        other = held & ~grow
+        tried += 1
+        share = bad[left & ~grow].mean() if (left & ~grow).any() else 1.0
+        likely = _by_chance(int(bad[other].sum()), int(other.sum()), share) * tried * (tried + 1) > chance
+        if likely or bad[held].sum() < support or bad[other].mean() < precision or bad[held].mean() < precision:
+            fresh &= ~grown
+            continue
         rules.append(rule)
         left &= ~held
-    return rules
+        fresh &= ~held
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """A decision list from at most ``sample`` labelled rows; ``labels`` has doc_id and quality (0 is bad)."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     by_doc = known.groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.min("quality").alias("quality"))
-    chosen = hashed_sample(by_doc, "l_doc", sample, known.count())
+    chosen = hashed_sample(by_doc, "l_doc", sample, by_doc.count())
     of_label = F.col("doc_id") == F.col("l_doc")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), of_label, "left_semi")
     held = with_statistics(texts).join(F.broadcast(chosen), of_label).where(~base_failed())
     shares = [F.expr(e).cast("double").alias(name) for name, e in FEATURES.items()]
-    rows = held.select("doc_id", "quality", *shares).orderBy("doc_id", *FEATURES).collect()
+    rows = held.select("doc_id", "quality", *shares).distinct().orderBy("doc_id", *FEATURES).limit(sample).collect()
     if not rows:
         return []
     bad = np.array([row["quality"] == 0 for row in rows])
