@@ -54,6 +54,7 @@ CHUNK = 256
 QUERIES_AT_ONCE = 4096
 LINKS_AT_ONCE = 1 << 16
 LOOK_BACK = 8
+FEW = 4  # sets; the sets of a token that no more hold are paired where they lie
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BAND_KEYS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -336,13 +337,8 @@ def open_groups(
     return sorted_rows.mapInArrow(_opened(percent, pairs), schema)
 
 
-def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
-    """The prefix tokens of every signature as rows, or only those whose bit is set.
-
-    With ``n`` at hand a row also tells how many tokens of the set come after it (``rest``), and whether the token is
-    in the ``front``: a set that links to one at least as large shares a token of its first
-    n - ceil(2 percent / (100 + percent) n) + 1.
-    """
+def _prefix_tokens(known: np.ndarray | None):
+    """The prefix tokens of every signature as rows, or only those whose bit is set, with their ``place`` in the prefix."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if known is None else unpacked(known)
@@ -359,11 +355,8 @@ def _prefix_tokens(known: np.ndarray | None, percent: int = PERCENT):
                     tokens, row, place = tokens[wanted], row[wanted], place[wanted]
                 names = [c for c in part.schema.names if c != "prefix"]
                 columns = {c: part[c].take(pa.array(row)) for c in names}
-                if "n" in names:
-                    n = part["n"].to_numpy()
-                    front = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
-                    columns["front"] = pa.array(place < front[row])
-                    columns["rest"] = pa.array(n[row] - place - 1)
+                if known is not None:
+                    columns["place"] = pa.array(place.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *columns.values()], names=["token", *columns])
 
     return rows
@@ -399,6 +392,51 @@ def leading(matrix: DataFrame) -> DataFrame:
     return of_token.where("none > 0 OR low < high").select("token")
 
 
+PAIR = ["g", "doc_id", "f1", "n", "g_low", "g_high"]
+
+
+def _may_meet(percent: int) -> Column:
+    """Whether a set of a smaller group and a group that share a token may link, by their sizes and the token's places."""
+    smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
+    # Sets that link differ in size by no more than percent; a group must have a member of such a size.
+    smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
+    # What two sets share is this token, no more of those ahead of it than either has, and no more of the rest. So
+    # sets that share one passage only, ahead of which each has tokens of its own, join if the passage is long enough.
+    overlap = F.least("ahead", "g_ahead") + 1 + F.least("rest", "g_rest")
+    smallest = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
+    return smaller & (overlap >= F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6))
+
+
+def _touching_by_few(matrix: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``PAIR``) that meet at a token of at most ``FEW`` sets: one shuffle brings these together."""
+    columns = [c for c in matrix.columns if c not in ("token", "many", "before")]
+    # Dealt out first, so that the lists are made after the shuffle only.
+    held = matrix.repartition("token").groupBy("token").agg(F.collect_list(F.struct(*columns)).alias("held"))
+    every = held.select(F.explode("held").alias("one"), "held").select("one", F.explode("held").alias("other"))
+    other = [F.col(f"other.{c}").alias(f"g_{c}") for c in columns if c not in ("doc_id", "f1", "n", "grp")]
+    every = every.select("one.*", F.col("other.grp").alias("g"), *other)
+    # The shorter of two sets that link shares a token of its front.
+    in_front = (F.col("front") & (F.col("g_high") >= F.col("n"))) | (F.col("g_front") & (F.col("g_low") < F.col("n")))
+    return every.where(_may_meet(percent) & in_front).select(PAIR)
+
+
+def _touching_by_many(matrix: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``PAIR``) that meet at a token of more sets, if they share none of the last tokens before it."""
+    group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
+    most = [F.max(c).alias(f"g_{c}") for c in ("front", "rest", "ahead")]
+    # Of a group of several sets any may be the one that is met, so what is ahead in one of them tells nothing.
+    alone = F.min_by(F.when(F.col("size") == 1, F.col("before")), "ahead").alias("g_before")
+    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(*most, alone)
+    of_group = settle(of_group, "group-tokens")
+    met_at = of_group.join(leading(matrix), "token", "left_semi")
+    # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
+    # sets, but of none so much that they link, joins nothing.
+    smaller = _may_meet(percent) & ~F.coalesce(F.arrays_overlap("before", "g_before"), F.lit(False))
+    below = matrix.where("front").join(met_at, "token").where(smaller & (F.col("g_high") >= F.col("n")))
+    above = matrix.join(met_at.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
+    return below.select(PAIR).union(above.select(PAIR))
+
+
 class Similar(NamedTuple):
     """What the join finds.
 
@@ -457,52 +495,39 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, pairs:
     tokens = marks.mapInArrow(_prefix_tokens(None), "token long, mark long")
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
     known = known_bits(shared, "token", BITS)
-    rows = real.select("prefix", "doc_id", "f1", "n").mapInArrow(
-        _prefix_tokens(known, percent), "token long, doc_id long, f1 long, n long, front boolean, rest long"
+    rows = real.select("prefix", "doc_id", "f1").mapInArrow(
+        _prefix_tokens(known), "token long, doc_id long, f1 long, place int"
     )
     labels = reps.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labels = settle(labels.select("doc_id", "f1", "n", F.coalesce("component", "doc_id").alias("grp")), "groups")
-    matrix = settle(rows.join(labels.drop("n"), ["doc_id", "f1"]), "matrix")
-    mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    matrix = matrix.join(mixed.select("token"), "token")
-    # How many tokens before this one in the order the set could share with another group (those of the matrix), and
-    # the last of them.
-    of_set = Window.partitionBy("doc_id", "f1").orderBy(F.desc("rest"))
-    ahead = F.row_number().over(of_set) - 1
-    before = F.collect_list("token").over(of_set.rowsBetween(-LOOK_BACK, -1))
-    places = [ahead.alias("ahead"), before.alias("before")]
-    matrix = settle(matrix.select("token", "grp", "doc_id", "f1", "n", "front", "rest", *places), "matrix")
-
     sizes = labels.groupBy("grp").agg(
         F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     sizes = settle(sizes, "group-sizes")
-    matrix = matrix.join(sizes, "grp")  # two written sides: a hot group can be split
-    group = [F.col(c).alias(f"g_{c}") for c in ("size", "low", "high")]
-    most = [F.max(c).alias(f"g_{c}") for c in ("front", "rest", "ahead")]
-    # Of a group of several sets any may be the one that is met, so what is ahead in one of them tells nothing.
-    alone = F.min_by(F.when(F.col("size") == 1, F.col("before")), "ahead").alias("g_before")
-    of_group = matrix.groupBy("token", F.col("grp").alias("g"), *group).agg(*most, alone)
-    of_group = settle(of_group, "group-tokens")
-    met_at = of_group.join(leading(matrix), "token", "left_semi")
-    # The shorter of two sets that link shares a token of its front, so a passage that fills most of many
-    # sets, but of none so much that they link, joins nothing.
-    smaller = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
-    pair = ["g", "doc_id", "f1", "n", "g_low", "g_high"]
-    # Sets that link differ in size by no more than percent; a group must have a member of such a size.
-    smaller &= (F.col("g_high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("g_low") * percent)
-    # What two sets share is this token, no more of those ahead of it than either has, and no more of the rest. So
-    # sets that share one passage only, ahead of which each has tokens of its own, join if the passage is long enough.
-    overlap = F.least("ahead", "g_ahead") + 1 + F.least("rest", "g_rest")
-    smallest = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
-    smaller &= overlap >= F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
-    smaller &= ~F.coalesce(F.arrays_overlap("before", "g_before"), F.lit(False))
-    below = matrix.where("front").join(met_at, "token").where(smaller & (F.col("g_high") >= F.col("n")))
-    above = matrix.join(met_at.where("g_front"), "token").where(smaller & (F.col("g_low") < F.col("n")))
-    touching = settle(below.select(pair).union(above.select(pair)).distinct(), "pairs")
+    matrix = settle(rows.join(labels.drop("n"), ["doc_id", "f1"]), "matrix")
+    mixed = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("held"))
+    mixed = mixed.where("low < high").select("token", (F.col("held") > FEW).alias("many"))
+    matrix = matrix.drop("grp").join(mixed, "token")
+    # How many tokens before this one in the order the set could share with another group (those of the matrix), and
+    # the last of them; for a token of few sets these are not asked for.
+    of_set = Window.partitionBy("doc_id", "f1").orderBy("place")
+    ahead = F.row_number().over(of_set) - 1
+    before = F.when(F.col("many"), F.collect_list("token").over(of_set.rowsBetween(-LOOK_BACK, -1)))
+    matrix = matrix.select("token", "many", "doc_id", "f1", "place", ahead.alias("ahead"), before.alias("before"))
+    # What is the same in all rows of a set comes in where they lie together, not before. ``rest`` are the tokens
+    # of the set after this one; a set that links to one at least as large shares a token of its ``front``.
+    matrix = matrix.join(labels.join(sizes, "grp"), ["doc_id", "f1"])  # two written sides: a hot group can be split
+    n, place = F.col("n"), F.col("place")
+    front = place < n - F.floor((n * (2 * percent) + 99 + percent) / (100 + percent)) + 1
+    matrix = settle(matrix.withColumns({"front": front, "rest": n - place - 1}).drop("place"), "matrix")
+
+    touching = _touching_by_few(matrix.where("NOT many"), percent).union(_touching_by_many(matrix.where("many"), percent))
+    touching = settle(touching.distinct(), "pairs")
     # For those pairs all shared prefix tokens are counted.
     both = touching.join(matrix.select("doc_id", "f1", "token"), ["doc_id", "f1"])
-    met = both.join(of_group.select("g", "token"), ["g", "token"], "left_semi").groupBy(pair).agg(F.countDistinct("token").alias("shared"))
+    of_group = matrix.select(F.col("grp").alias("g"), "token", "size")
+    of_group = of_group.where("size = 1").union(of_group.where("size > 1").distinct()).drop("size")
+    met = both.join(of_group, ["g", "token"], "left_semi").groupBy(PAIR).agg(F.countDistinct("token").alias("shared"))
     asked = met.where(F.col("shared") >= _least_shared(percent)).select(F.col("g").alias("grp"), "doc_id", "f1").distinct()
     asked = settle(asked, "queries")
     of_many = sizes.where("size > 1").select("grp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,20 @@ def test_join_equals_brute_force(spark, seed, monkeypatch):
     assert classes(documents(spark, rows)) == expected_classes(rows)
 
 
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_only_tokens_of_many_sets_carry_the_tokens_before_them(spark, few, monkeypatch):
+    """Most shared tokens are shared by two sets by chance; what is written for these stays short."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    settled, real = {}, ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", lambda df, label: settled.setdefault(label, []).append(real(df, label)) or settled[label][-1])
+    rows = corpus(4)
+    assert classes(documents(spark, rows)) == expected_classes(rows)
+    matrix = settled["matrix"][-1].select("token", "before").collect()
+    held = Counter(r["token"] for r in matrix)
+    assert matrix and all((r["before"] is None) == (held[r["token"]] <= few) for r in matrix)
+    assert all(held[r["token"]] > few for r in settled["group-tokens"][0].collect())
+
+
 @pytest.mark.parametrize("look_back", [1, 8])
 def test_texts_of_shared_sentences_equal_brute_force(spark, look_back, monkeypatch):
     """Short texts of a few common sentences in any order share many prefix tokens, in other places each."""
