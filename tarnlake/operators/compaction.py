@@ -21,6 +21,8 @@ from tarnlake.sources.scratch import remove_folder
 from tarnlake.sources.tables import read_files, write_files
 
 TARGET_BYTES = 512 << 20
+# A task keeps a file open for each of its pieces, eight at most, instead of sorting its rows by them.
+OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.optimizer.plannedWrite.enabled": "false"}
 
 
 def file_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -118,7 +120,7 @@ def _compact_batch(
         parts = spread_hash(row_hash(df, data.columns))
         return [row_count().alias("rows"), *[F.sum(p).alias(f"h{i}") for i, p in enumerate(parts)]]
 
-    with under(old, ADAPTIVE) as own:
+    with under(old, ADAPTIVE | OPEN_FILES) as own:
         # The old rows are fingerprinted as they are read for the new files, and dealt to the pieces of their
         # partition; a task writes one file for each piece it gets. ``sizes`` has a row a partition of the batch.
         read = Observation()

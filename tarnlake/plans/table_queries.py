@@ -585,6 +585,14 @@ def published_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("folder", "suffix").agg(row_count().alias("cnt"))
 
 
+ROWS_A_TASK = 1 << 21
+
+
+def _by_tasks(rows: DataFrame, least: int) -> DataFrame:
+    """The rows dealt to ``least`` tasks, or to more where these would have to sort more than ``ROWS_A_TASK`` each."""
+    return rows.repartition(max(least, -(-rows.count() // ROWS_A_TASK)))
+
+
 @query(
     "r13_compaction",
     "SELECT cast(cast(ts AS date) AS varchar) AS dt, count(*) AS cnt, true AS fewer_files FROM events GROUP BY 1",
@@ -595,7 +603,7 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     with catalog.temporary_database(spark, "r13") as (database, _):
         table = f"{database}.events"
         catalog.create_table(spark, table, plain(events.schema), partition_by=["dt"])
-        append(events.repartition(5), table, clustered=True)
+        append(_by_tasks(events, 5), table, clustered=True)
         before = compact_partitions(spark, table)
         after = file_inventory(spark.table(table), ["dt"])
         compared = after.alias("a").join(before.alias("b"), "dt", "left")
@@ -608,7 +616,7 @@ def _compacted(spark: SparkSession, rows: DataFrame, label: str, key: str) -> Da
     with catalog.temporary_database(spark, label) as (database, _):
         table = f"{database}.t"
         catalog.create_table(spark, table, plain(rows.schema), partition_by=[key])
-        append(rows.repartition(3), table, clustered=True)
+        append(_by_tasks(rows, 3), table, clustered=True)
         compact_partitions(spark, table)
         left = file_inventory(spark.table(table), [key])
         return settle(left.select(key, F.col("rows").alias("cnt"), (F.col("files") == 1).alias("one_file")), label)

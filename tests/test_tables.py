@@ -14,9 +14,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.operators import compact, compact_partitions, file_inventory
+from tarnlake.operators import compact, compact_partitions, compaction, file_inventory
 from tarnlake.operators.sync import sync_partitions
-from tarnlake.plans import reports
+from tarnlake.plans import reports, table_queries
 from tarnlake.session import session_conf, shuffle_settings
 from tarnlake.sources import catalog, scratch, tables
 
@@ -489,6 +489,24 @@ def test_compaction_of_typed_and_odd_partitions(spark, database):
         assert compact_partitions(spark, table).isEmpty()
 
 
+def test_a_compacting_task_keeps_pieces_open_instead_of_sorting(spark, database, monkeypatch):
+    """One task gets all partitions, more than it has files open at once; a key is NULL."""
+    table, asked, real = f"{database[0]}.open", [], compaction.under
+    monkeypatch.setattr(compaction, "under", lambda df, settings: asked.append(settings) or real(df, settings))
+    some = spark.range(0, 400, 1, 3).selectExpr("id", "nullif(cast(id % 20 AS int), 0) AS k")
+    with session_conf(spark, {"spark.sql.shuffle.partitions": "1"}):
+        tables.replace_table(some, table, f"{database[1]}/open", partition_by=["k"], clustered=True)
+        assert compact_partitions(spark, table).count() == 20
+    assert asked and all(int(s["spark.sql.maxConcurrentOutputFileWriters"]) > 0 for s in asked)
+    assert table_rows(spark, table) == sorted(rows(some), key=str)
+    assert {r["files"] for r in file_inventory(spark.table(table), ["k"]).collect()} == {1}
+
+
+def test_rows_before_compaction_come_from_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(table_queries, "ROWS_A_TASK", 100)
+    assert [table_queries._by_tasks(spark.range(n), 3).rdd.getNumPartitions() for n in (0, 300, 301, 1000)] == [3, 3, 4, 10]
+
+
 def test_compaction_merges_tiny_files_beside_a_big_one_and_then_stops(spark, database):
     table = f"{database[0]}.t"
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("dt", T.StringType())])
