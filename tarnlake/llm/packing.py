@@ -22,6 +22,7 @@ repeated rows are packed each; an empty table gives no rows; other columns are n
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,23 @@ from tarnlake.sources.scratch import settle
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS, CACHED_BYTES = 600_000, 64 << 20
+BLOCK = 4 << 20
+
+# What the finer split of ``WordEncoder`` is known for.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+# No two characters below U+0300 compose, nor do dashes, quotes and other marks of general punctuation.
+PLAIN = [*range(0x300), *range(0x2010, 0x2060)]
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
 
 class WordEncoder:
@@ -47,54 +63,136 @@ class WordEncoder:
     Texts are split at blanks, tabs, line feeds and carriage returns, and every distinct string in between is
     encoded once; a bounded number of them is remembered. The vocabulary drops white space and splits at it,
     so the ids are those of the whole text (``tests/llm`` compares them).
+
+    A vocabulary that composes, lower-cases and splits by the rules above is known to encode each run of letters,
+    each digit and each run of other characters by itself. Strings of plain characters are lower-cased and split
+    into these runs, of which fewer are distinct, and the runs skip those rules. A string with any other
+    character, an apostrophe or the first character of an added token is encoded as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.runs = Tokenizer.from_file(path)
+        self.kind = np.full(PLAIN[-1] + 2, ODD, np.uint8)  # by code point, the last stands for all beyond
+        self.lower = np.arange(len(self.kind), dtype=np.uint32)
+        self.kind[[ord(white) for white in " \n\t\r"]] = SPACE
+        with open(path, encoding="utf-8") as file:
+            self._split_finer(json.load(file))
         self._forget()
 
+    def _split_finer(self, rules: dict) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if (
+            (rules["normalizer"] or {}).get("normalizers") != NORMALIZERS
+            or (rules["pre_tokenizer"] or {}).get("pretokenizers") != PRE_TOKENIZERS
+            or any(token["normalized"] for token in rules["added_tokens"])
+        ):
+            return
+        normal, parts = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for code in PLAIN:
+            to = normal(chr(code))
+            if len(to) == 1:  # else its lower case is longer
+                self.lower[code] = ord(to)
+                if not parts(to):
+                    self.kind[code] = SPACE
+                elif len(parts("a" + to)) == 1:
+                    self.kind[code] = LETTER
+                else:
+                    self.kind[code] = DIGIT if len(parts(to + to)) == 2 else OTHER
+        for first in "'", *(token["content"][0] for token in rules["added_tokens"]):
+            self.kind[min(ord(first), len(self.kind) - 1)] = ODD
+        self.runs = Tokenizer(self.tokenizer.model)
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.empty(0, np.uint32)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array, odd: np.ndarray) -> None:
         """Remember the ids of new words; all of them lie one after the other in one array.
 
-        Words are encoded joined by blanks, a few thousand in a call; where a token begins says whose it is.
+        Words are encoded joined by blanks, a few hundred in a call; where a token begins says whose it is.
         """
-        for word in words:
-            self.code[word] = len(self.code)
-        pieces, sizes = [self.ids], []
-        for group in (words[i : i + 2000] for i in range(0, len(words), 2000)):
-            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(word) + 1 for word in group])
-            at = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
-            sizes.append(np.diff(np.searchsorted(at, begins)))
-            pieces.append(np.array(found.ids, np.uint32))
+        strings, pieces, held = words.to_pylist(), [self.ids], len(self.ids)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for tokenizer, those in (self.runs, np.flatnonzero(~odd)), (self.tokenizer, np.flatnonzero(odd)):
+            for some in (those[i : i + 500] for i in range(0, len(those), 500)):
+                group = [strings[i] for i in some.tolist()]
+                found = tokenizer.encode(" ".join(group), add_special_tokens=False)
+                begins = np.cumsum([0] + [len(word) + 1 for word in group])
+                at = np.fromiter((start for start, _ in found.offsets), np.int64, len(found.ids))
+                stops = np.searchsorted(at, begins)
+                sizes[some], starts[some] = np.diff(stops), held + stops[:-1]
+                pieces.append(np.array(found.ids, np.uint32))
+                held += len(at)
         self.ids = np.concatenate(pieces)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+
+    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each run of a text begins, how many ids it has, and the ids of all."""
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.minimum(chars, np.uint32(len(self.kind) - 1))
+        kind, lower = self.kind[at], self.lower[at]
+        if (odd := kind == ODD).any():  # then the whole string between white space is
+            string = np.cumsum(kind == SPACE, dtype=np.int32)
+            any_odd = np.zeros(int(string[-1]) + 1, bool)
+            any_odd[string[odd]] = True
+            odd = any_odd[string] & (kind != SPACE)
+            kind[odd] = ODD
+            lower[odd] = chars[odd]
+        held = kind != SPACE
+        first = held.copy()
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        begins = np.flatnonzero(first)
+        kept = lower[held]
+        wide = np.ones(len(kept), np.uint8)
+        for more in (0x80, 0x800, 0x10000):
+            wide += kept >= more
+        offsets = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
+        offsets = np.append(offsets[:-1][first[held]], offsets[-1])
+        data = kept.tobytes().decode("utf-32-le").encode()
+        runs = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data))
+
+        if len(self.words) > CACHED_WORDS or self.words.nbytes > CACHED_BYTES:
+            self._forget()
+        # The words known so far come first, so they keep their numbers.
+        known = len(self.words)
+        found = pa.concat_arrays([self.words, runs]).dictionary_encode()
+        codes = found.indices.to_numpy()[known:]
+        if len(found.dictionary) > known:
+            odd = np.zeros(len(found.dictionary), bool)
+            odd[codes] = kind[begins] == ODD
+            self._learn(found.dictionary[known:], odd[known:])
+            self.words = found.dictionary
+        sizes = self.sizes[codes]
+        stops = np.cumsum(sizes)
+        last = int(stops[-1]) if len(stops) else 0
+        return begins, sizes, self.ids[np.arange(last) + np.repeat(self.starts[codes] - stops + sizes, sizes)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a large-string array without nulls."""
-        for white in "\n\t\r":
-            texts = pc.replace_substring(texts, white, " ")
-        split = pc.split_pattern(texts, " ")
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.code) > CACHED_WORDS:
-            self._forget()
-        if new := [word for word in distinct if word not in self.code]:
-            self._learn(new)
-        known = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))
-        codes = known[words.indices.to_numpy()]
-        starts = self.ends[codes]
-        sizes = self.ends[codes + 1] - starts
+        whole = texts.to_pylist()
+        if not whole:
+            return []
+        text = "\n".join([*whole, ""])
+        made, start = [], 0
+        while start < len(text):  # blocks end in white space
+            stop = start + BLOCK
+            stop = max(text.rfind(white, start, stop) for white in " \n\t\r") + 1 or min(
+                (i for white in " \n\t\r" if (i := text.find(white, stop)) >= 0)
+            ) + 1
+            begins, sizes, ids = self._block(text[start:stop])
+            made.append((begins + start, sizes, ids))
+            start = stop
+        begins, sizes, ids = (np.concatenate(parts) for parts in zip(*made))
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.arange(stops[-1]) + np.repeat(starts - stops[:-1], sizes)]
-        last = np.cumsum(pc.list_value_length(split).to_numpy())
-        return np.split(ids, stops[last[:-1]]) if len(texts) else []
+        ends = np.cumsum([len(one) + 1 for one in whole])
+        return np.split(ids, stops[np.searchsorted(begins, ends[:-1])])
 
 
 def token_pieces(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -36,6 +37,65 @@ def test_ids_are_those_of_the_whole_text(texts):
     assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == whole
 
 
+ENCODER = packing.WordEncoder(BPE)
+SHOWN = "aZéÉßñIİŸſK\u212a1²½.,-$€'’“—<|>=\u0301\u0338 \n\t\x0b\x1c\x85\xa0\u205f中😀"
+MARKS = [".", ",", "!", ";", "...", "1", "42", "(", "é.", "—"]
+
+
+@given(st.lists(st.text(SHOWN, max_size=40), max_size=5), st.integers(1, 99))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_runs_are_those_of_the_whole_text(texts, block):
+    texts = texts + ["He'll don'T ''s 'Tis <|ENDOFTEXT|>A<|endoftext|>B <|startoftext|", "I'İ Cafe\u0301-ÉCLAIR²½ =\u0338 ≠"]
+    whole = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "BLOCK", block)
+        assert [x.tolist() for x in ENCODER.encode(pa.array(texts, pa.large_string()))] == whole
+
+
+def test_every_character_has_its_ids_beside_others():
+    texts = [f"x{c}Y {c}{c} 1{c}. .{c}1 {c}'s" for c in map(chr, range(0x3000))]
+    whole = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ENCODER.encode(pa.array(texts, pa.large_string()))] == whole
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them(monkeypatch):
+    seen, learn = [], packing.WordEncoder._learn
+
+    def counted(self, words, *more):
+        seen.append(len(words))
+        learn(self, words, *more)
+
+    monkeypatch.setattr(packing.WordEncoder, "_learn", counted)
+    words = ["packing", "straße", "niño"]
+    written = [x for word in words for x in (word, word.title(), word.upper().replace("SS", "ß"))]
+    texts = pa.array([f"{a}{x}{b}" for x in written for a in MARKS for b in MARKS], pa.large_string())
+    encoder = packing.WordEncoder(BPE)
+    first = [x.tolist() for x in encoder.encode(texts)]
+    assert sum(seen) < 40  # 900 different strings
+    assert [x.tolist() for x in encoder.encode(texts)] == first and len(seen) == 1
+
+
+def test_words_are_forgotten_when_they_are_many(monkeypatch):
+    encoder = packing.WordEncoder(BPE)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    texts = [" ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20)) for j in range(20)]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for text, ids in zip(texts, whole):
+        assert encoder.encode(pa.array([text], pa.large_string()))[0].tolist() == ids
+        assert len(encoder.words) <= 25
+
+
+def test_a_vocabulary_with_other_rules_is_split_at_white_space(tmp_path):
+    rules = json.loads(open(BPE, encoding="utf-8").read())
+    rules["normalizer"] = None  # cases differ then
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    texts = ["Packing PACKING packing,", "don't É1"]
+    encoder = packing.WordEncoder(str(path))
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == whole
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(0, 40), max_size=25))
 @settings(max_examples=200, deadline=None)
 def test_plans_use_every_piece_once(counts):
