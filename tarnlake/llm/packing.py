@@ -145,6 +145,8 @@ class WordEncoder:
             odd = any_odd[string] & (kind != SPACE)
             kind[odd] = ODD
             lower[odd] = chars[odd]
+            del string
+        del chars, at, odd  # as long as the text
         held = kind != SPACE
         first = held.copy()
         first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
@@ -153,8 +155,7 @@ class WordEncoder:
         wide = np.ones(len(kept), np.uint8)
         for more in (0x80, 0x800, 0x10000):
             wide += kept >= more
-        offsets = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
-        offsets = np.append(offsets[:-1][first[held]], offsets[-1])
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(wide, np.flatnonzero(first[held]), dtype=np.int64))])
         data = kept.tobytes().decode("utf-32-le").encode()
         runs = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data))
 
